@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, packing, quality, token_counts, topk
+from . import bpe, chat, lines, minhash, packing, quality, substrings, token_counts, topk
 from .common import table
 
 
@@ -23,6 +23,14 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_deletion_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digests(table(spark, sf_dir, "documents"))
+
+
+def op6_fast_similarity_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -31,6 +39,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_relative_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
@@ -39,14 +51,18 @@ QUERIES = {
     "op1_perspective_chat": op1_perspective_chat,
     "op2_risk_controlled_rules": op2_risk_controlled_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_deletion_neighbourhood": op5_deletion_neighbourhood,
+    "op6_fast_similarity_sketch": op6_fast_similarity_sketch,
     "op7_token_counts": op7_token_counts,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_relative_lempel_ziv": op9_relative_lempel_ziv,
     "op10_bit_sliced_top_k": op10_bit_sliced_top_k,
 }
 
 ORACLES: dict[str, str] = {
     "op1_perspective_chat": chat.ORACLE,
     "op2_risk_controlled_rules": quality.oracle_sql(),
+    "op5_deletion_neighbourhood": lines.ORACLE,
     "op10_bit_sliced_top_k": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
