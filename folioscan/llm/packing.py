@@ -28,18 +28,27 @@ LONGEST, LAGGING, SPREAD = 4, 24, 56
 class WordTokens:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, looked up word by word.
 
-    Fits tokenizers that drop white space and never join characters across it.
+    Fits tokenizers that fold case, drop white space, never join characters across it and part letters from other characters.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        own = Tokenizer.from_file(path)
-        self.words = BoundedCache(lambda w: np.array(own.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes(), cap=800_000)
+        self.own = Tokenizer.from_file(path)
+        self.words = BoundedCache(self.ids, cap=800_000)
+
+    def ids(self, word: bytes) -> bytes:
+        """A stop behind a small letter is a pre-token of its own; other letters may fold to several characters."""
+        text = word.decode("utf-8", "replace")
+        if len(text) > 1 and text[-1] in ".,;:!?" and text[-2].isalpha() and text[-2].islower():
+            return self.words[word[:-1]] + self.words[word[-1:]]
+        return np.array(self.own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: str | None) -> bytes:
-        return b"".join(map(self.words.__getitem__, (text or "").encode("utf-8", "replace").split()))
+        """Letters A-Z are folded first, as the tokenizer does anyway, unless the text may hold special strings, which aren't folded."""
+        data = (text or "").encode("utf-8", "replace")
+        return b"".join(map(self.words.__getitem__, (data if b"<|" in data else data.lower()).split()))
 
 
 @cache

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lines, minhash, packing, quality, substrings, token_counts, topk
+from . import bpe, chat, lines, minhash, packing, quality, scoring, substrings, token_counts, topk
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op2_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -50,6 +54,7 @@ def op10_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_perspective_chat": op1_perspective_chat,
     "op2_risk_controlled_rules": op2_risk_controlled_rules,
+    "op3_attention_scores": op3_attention_scores,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_deletion_neighbourhood": op5_deletion_neighbourhood,
     "op6_fast_similarity_sketch": op6_fast_similarity_sketch,
