@@ -106,7 +106,7 @@ def gradients(w: dict, pair: PairModel, ids: np.ndarray, target: np.ndarray, wei
     return out, loss
 
 
-def train(w: dict, pair: PairModel, windows: np.ndarray, steps: int, batch: int = 64, rate: float = 4e-3) -> dict:
+def train(w: dict, pair: PairModel, windows: np.ndarray, steps: int, batch: int = 64, rate: float = 8e-3) -> dict:
     """Adam over windows (n, WIDTH + 1); ids under 0 are padding behind the end. The rate falls to 0 in a straight line."""
     w = {k: v.copy() for k, v in w.items()}
     m, s = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))

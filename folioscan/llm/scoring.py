@@ -27,8 +27,10 @@ from .common import BoundedCache, crc32_of_id, materialize
 #: Subword ids (the first ranks of the vocabulary, which are a vocabulary of their own), and word counts that every worker holds.
 SUBWORDS, HEAD = 2048, 262_144
 #: One of so many training windows is learned from; windows and steps of one trainer.
-SAMPLED, WINDOWS, STEPS = 32, 30_000, 500
+SAMPLED, WINDOWS, STEPS = 8, 120_000, 1000
 FLUSH = 500_000
+#: Weight of a word's own share in the score, next to the attention model's; the log of words without a count at hand.
+SHARE, UNSEEN = 0.5, -1e9
 
 
 class Subwords:
@@ -101,7 +103,7 @@ def trained(windows: DataFrame, n: int, shared, size: int) -> dict[str, np.ndarr
                 x[: len(w) // 2] = np.frombuffer(w, "<i2")
                 own.append(x)
         if own:
-            steps = min(STEPS, 20 + len(own) // 8)
+            steps = min(STEPS, 200 + len(own) // 8)
             w = attention.train(start, shared.value, np.array(own), steps)
             flat = np.concatenate([v.ravel() for v in w.values()]).astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * len(own)), pa.array([len(own)] * len(flat), pa.int64())], ["k", "v", "n"])
@@ -120,10 +122,12 @@ def trained(windows: DataFrame, n: int, shared, size: int) -> dict[str, np.ndarr
 
 
 def score_documents(docs: DataFrame, ranks_path: str, subword_ids: int = SUBWORDS, head: int = HEAD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score and score.
+    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score and attention_score.
 
-    Rows whose crc32 of the id's decimal text is 0 modulo 10 are held out; the model and the counts learn from all others,
-    which score is then the log10 probability that the attention model gives the whole lower-cased text. A null or empty
+    Rows whose crc32 of the id's decimal text is 0 modulo 10 are held out; counts and model learn from all others.
+    attention_score is the log10 probability of the whole lower-cased text by the attention model alone. In score, each
+    word's probability is the mean of the attention model's, given all before it in its window, and of the word's own
+    share among training tokens, where it is one of the head most frequent; that stays a probability. A null or empty
     text is its end alone; a null id is neither held out nor left out of training; rows that repeat each count; without
     training rows every word is unknown; an empty table gives an empty one; extra columns aren't read.
     """
@@ -148,31 +152,32 @@ def score_documents(docs: DataFrame, ranks_path: str, subword_ids: int = SUBWORD
 
     def run(batches):
         log, w = pickle.loads(model.value)
-        pair, encode, row = shared.value, subwords(ranks_path, subword_ids), TaskContext.get().partitionId() << 40
+        pair, own, row = shared.value, subwords(ranks_path, subword_ids), TaskContext.get().partitionId() << 40
+        get = own.words.__getitem__
         for b in batches:
-            texts = [words_of(t) for t in b.column(2).to_pylist()]
-            out = attention.score(w, pair, [encode(t) for t in texts], subword_ids) / math.log(10)
-            sums, seen, rest = [], [], []
-            for t in texts:
-                each = Counter(t)
-                each[b""] += 1
-                far = [(k, m) for k, m in each.items() if k not in log]
-                total = sum(m for _, m in far)
-                seen.append(len(t) + 1 - total)
-                sums.append(math.fsum(m * log[k] for k, m in each.items() if k in log))
-                rest.append([{"item": k, "m": m} for k, m in far])
+            words = [[*words_of(t), b""] for t in b.column(2).to_pylist()]
+            parts = [list(map(get, t[:-1])) for t in words]
+            ids = [np.frombuffer(b"".join(p), "<u2") for p in parts]
+            first = np.cumsum([0] + [n for p in parts for n in (*(len(x) // 2 for x in p), 1)])[:-1]
+            context = np.add.reduceat(attention.score(w, pair, ids, subword_ids), first) if words else np.zeros(0)
+            alone = np.array([log.get(x, UNSEEN) for t in words for x in t])
+            met = alone > UNSEEN
+            both = np.logaddexp(context + math.log(1 - SHARE), np.where(met, alone * math.log(10), -np.inf) + math.log(SHARE)) / math.log(10)
+            text = np.repeat(np.arange(len(words)), [len(t) for t in words])
+            total = lambda x: np.bincount(text, x, len(words))  # noqa: E731, B023
+            far = [Counter(x for x in t if x not in log) for t in words]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(row, row + len(texts)), pa.int64()), b.column(0), b.column(1), pa.array([len(t) + 1 for t in texts], pa.int64()), pa.array(seen, pa.int64()), pa.array(sums, pa.float64()), pa.array(out), pa.array(rest, pa.list_(pa.struct([("item", pa.binary()), ("m", pa.int64())])))],
-                ["row", "id", "held_out", "n_tokens", "seen", "base", "score", "rest"],
+                [pa.array(range(row, row + len(words)), pa.int64()), b.column(0), b.column(1), pa.array([len(t) for t in words], pa.int64()), pa.array(total(met).astype(np.int64)), pa.array(total(np.where(met, alone, 0.0))), pa.array(total(both)), pa.array(total(context) / math.log(10)), pa.array([[{"item": k, "m": m} for k, m in f.items()] for f in far], pa.list_(pa.struct([("item", pa.binary()), ("m", pa.int64())])))],
+                ["row", "id", "held_out", "n_tokens", "seen", "base", "score", "attention_score", "rest"],
             )
-            row += len(texts)
+            row += len(words)
 
     every = docs.select(F.col(id_col).alias("id"), held.alias("held_out"), F.col(text_col).alias("text"))
-    scored = every.mapInArrow(run, f"row bigint, id {kind}, held_out boolean, n_tokens bigint, seen bigint, base double, score double, rest array<struct<item:binary,m:bigint>>")
+    scored = every.mapInArrow(run, f"row bigint, id {kind}, held_out boolean, n_tokens bigint, seen bigint, base double, score double, attention_score double, rest array<struct<item:binary,m:bigint>>")
     scored = materialize(scored, "scored")
     far = scored.select("row", F.explode("rest").alias("r")).select("row", "r.item", "r.m").join(counts, "item", "left")
     log = F.log10((F.coalesce(F.col("c"), F.lit(0)) + 0.1) / F.lit(float(bottom)))
     sums = far.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("more"), F.sum(F.col("m") * log).alias("below"))
     joined = scored.drop("rest").join(materialize(sums, "sums"), "row", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return joined.select(F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("seen") + zero("more")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + zero("below")).alias("base_score"), "score")
+    return joined.select(F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("seen") + zero("more")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + zero("below")).alias("base_score"), "score", "attention_score")
