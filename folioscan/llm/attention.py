@@ -18,7 +18,7 @@ PRIOR = 20.0
 
 def classes_of(pairs: np.ndarray, n: int = CLASSES, rounds: int = 12) -> np.ndarray:
     """A class for each id, by k-means over what comes before it. Seeded, so equal counts give equal classes."""
-    rng = np.random.default_rng(0)
+    rng, n = np.random.default_rng(0), min(n, len(pairs))
     before = np.sqrt(pairs.T / np.maximum(1, pairs.sum(axis=0))[:, None]).astype(np.float32)
     x = before @ rng.normal(0, 1, (pairs.shape[0], 48)).astype(np.float32)
     centre = x[np.argsort(-pairs.sum(axis=0), kind="stable")[:n]]

@@ -42,7 +42,17 @@ def materialize(df: DataFrame, label: str = "part") -> DataFrame:
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete tables that materialize() has written, once all that reads them is itself a durable copy."""
+    for df in stored:
+        spark = df.sparkSession
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 class BoundedCache(dict):

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, arrow_map, materialize
+from .common import SPACE, arrow_map, discard, materialize
 from .hashing import A, mix, run_hashes, word_hashes
 
 SIZE, ANCHOR = 13, 4
@@ -59,8 +59,9 @@ def indexed_factors(docs: DataFrame, size: int, anchor: int, id_col: str, text_c
 
     every = materialize(arrow_map(own, ["id", "text"], anchored, f"anchor bigint, id {kind}"), "anchors")
     shared = every.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter(F.col("low") != F.col("high")).select("anchor")
-    parts = every.join(materialize(shared, "shared"), "anchor", "left_semi").groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
-    parts = materialize(parts, "parts")
+    shared = materialize(shared, "shared")
+    parts = materialize(every.join(shared, "anchor", "left_semi").groupBy("id").agg(F.collect_set("anchor").alias("anchors")), "parts")
+    discard(every, shared)
 
     def parse(ids, texts, known):
         rows = []
@@ -70,7 +71,9 @@ def indexed_factors(docs: DataFrame, size: int, anchor: int, id_col: str, text_c
         columns = list(zip(*rows, strict=True)) or [()] * 5
         return dict(zip(("id", "start", "n", "factor", "windows"), columns, strict=True))
 
-    return materialize(arrow_map(own.join(parts, "id"), ["id", "text", "anchors"], parse, f"id {kind}, start int, n int, factor bigint, windows binary"), "factors")
+    out = materialize(arrow_map(own.join(parts, "id"), ["id", "text", "anchors"], parse, f"id {kind}, start int, n int, factor bigint, windows binary"), "factors")
+    discard(parts)
+    return out
 
 
 def duplicate_windows(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -78,7 +81,8 @@ def duplicate_windows(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR, i
     parsed = indexed_factors(docs, size, anchor, id_col, text_col)
     kind = dict(parsed.dtypes)["id"]
     first = materialize(parsed.groupBy("factor").agg(F.min("id").alias("first")), "first")
-    met = materialize(parsed.join(first, "factor"), "met")
+    met = materialize(parsed.join(first, "factor").drop("factor"), "met")
+    discard(parsed, first)
     whole = met.filter(F.col("first") < F.col("id")).select("id", "start", "n")
 
     def single(ids, starts, windows):
@@ -90,8 +94,11 @@ def duplicate_windows(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR, i
     edge = arrow_map(met.filter(F.col("first") == F.col("id")), ["id", "start", "windows"], single, f"id {kind}, start int, window bigint")
     edge = materialize(edge, "windows")
     early = edge.groupBy("window").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter(F.col("low") != F.col("high"))
-    late = edge.join(materialize(early.select("window", "low"), "early"), "window").filter(F.col("low") < F.col("id")).select("id", "start", F.lit(1).alias("n"))
-    return materialize(whole.union(late).groupBy("id").agg(F.collect_set(F.struct("start", "n")).alias("runs")), "runs")
+    early = materialize(early.select("window", "low"), "early")
+    late = edge.join(early, "window").filter(F.col("low") < F.col("id")).select("id", "start", F.lit(1).alias("n"))
+    out = materialize(whole.union(late).groupBy("id").agg(F.collect_set(F.struct("start", "n")).alias("runs")), "runs")
+    discard(met, edge, early)
+    return out
 
 
 def spans(runs: list, size: int) -> list[tuple[int, int]]:
