@@ -1,11 +1,396 @@
-"""All registered queries of the audit engine, with the SQL that says what each must return."""
+"""All registered queries of the audit engine, with the SQL that says what each must return.
+
+Queries run over whole tables. Rules whose text needs look-around or back-references are told to DuckDB by an
+equivalent without them; what SQL can't tell at all has no SQL and is held against brute force in the tests.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import patterns as P
+from ..operators import bibliography, content, identity, layout, liveness, pageformat, urls
+from ..sources.papers import Tables, empty, from_texts
+from . import audit as audits
+from . import seeds
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+CONTENT = seeds.sql(seeds.PAGES)
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return keep
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content.content_pages(seeds.frame(spark, sf_dir, seeds.PAGES))
+
+
+def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seeds.frame(spark, sf_dir, seeds.PAPERS)
+
+
+def csv(col) -> F.Column:
+    return F.array_join(F.col(col).cast("array<string>") if isinstance(col, str) else col, ",")
+
+
+def matches(spark: SparkSession, sf_dir: str, rule: str) -> DataFrame:
+    return content.page_matches(pages(spark, sf_dir)).filter(F.col("rule") == rule)
+
+
+def matched_pages(rule: str, where: str) -> tuple[Query, str]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return matches(spark, sf_dir, rule).groupBy("paper_id").agg(F.array_sort(F.collect_set("page_num")).alias("p")).select("paper_id", csv("p").alias("pages"))
+
+    return run, f"SELECT paper_id, string_agg(CAST(page_num AS VARCHAR), ',' ORDER BY page_num) AS pages FROM ({CONTENT}) WHERE {where} GROUP BY paper_id"
+
+
+def match_counts(rule: str, count: str) -> tuple[Query, str]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return matches(spark, sf_dir, rule).groupBy("paper_id").agg(F.sum("n").alias("n"))
+
+    return run, f"SELECT paper_id, CAST(sum({count}) AS BIGINT) AS n FROM ({CONTENT}) GROUP BY paper_id HAVING sum({count}) > 0"
+
+
+READ = r"regexp_matches(raw_text, '\S')"
+TEXT_RULES = {
+    "r09_long_numbers": matched_pages("R09", rf"{READ} AND len(list_filter(list_concat(regexp_extract_all(raw_text, '\b(?:Figure|Fig\.?)\s*(\d+)\b', 1), regexp_extract_all(raw_text, '\bTable\s*(\d+)\b', 1)), lambda x: length(x) > 9)) > 0"),
+    "r10_unreadable_pages": matched_pages("R10", f"NOT {READ}"),
+    "r11_unresolved_references": matched_pages("R11", r"regexp_matches(raw_text, '(?i)\[\?\]|\?\?|\b(?:Figure|Fig\.|Table|Equation|Eq\.|Section|Chapter)\s+\?')"),
+    "r12_draft_markers": match_counts("R12", r"len(regexp_extract_all(raw_text, '(?i)\b(?:TODO|FIXME|XXX|TBD)\b'))"),
+    "r14_odd_punctuation": match_counts("R14", r"len(regexp_extract_all(raw_text, ',,|;;')) + len(list_filter(regexp_extract_all(raw_text, '[.\d]+'), lambda x: x = '..')) + len(list_filter(regexp_split_to_array(raw_text, '\s+'), lambda x: x IN (',', ';')))"),
+    "r15_lower_case_floats": match_counts("R15", r"len(regexp_extract_all(raw_text, '\b(?:figure|fig\.?|table)\s*\d+\b'))"),
+}
+for _name, (_run, _sql) in TEXT_RULES.items():
+    query(_name, _sql)(_run)
+
+
+@query(
+    "r13_repeated_words",
+    rf"""
+WITH w AS (SELECT paper_id, page_num, list_filter(regexp_split_to_array(raw_text, '\s+'), lambda x: x <> '') AS w FROM ({CONTENT})),
+p AS (SELECT paper_id, lower(regexp_extract(w[i], '(?:^|[^\p{{L}}\p{{N}}_])([A-Za-z]{{2,}})$', 1)) AS a, lower(regexp_extract(w[i + 1], '^([A-Za-z]{{2,}})(?:$|[^\p{{L}}\p{{N}}_])', 1)) AS b FROM w, unnest(range(1, len(w))) AS u(i))
+SELECT DISTINCT paper_id FROM p WHERE a <> '' AND a = b""",
+)
+def repeated_words(spark, sf_dir):
+    return matches(spark, sf_dir, "R13").select("paper_id").distinct()
+
+
+@query("r12_draft_contexts")
+def draft_contexts(spark, sf_dir):
+    return matches(spark, sf_dir, "R12").select("paper_id", "page_num", F.array_join("examples", " | ").alias("contexts"))
+
+
+@query(
+    "r16_bracket_balance",
+    "WITH c AS (SELECT paper_id, k AS kind, sum(length(raw_text) - length(replace(raw_text, k[1], '')) - length(raw_text) + length(replace(raw_text, k[2], ''))) AS d "
+    f"FROM ({CONTENT}), unnest(['()', '[]', '{{}}']) AS u(k) GROUP BY ALL) SELECT paper_id, kind, CAST(d AS BIGINT) AS diff FROM c WHERE d <> 0",
+)
+def bracket_balance(spark, sf_dir):
+    return content.bracket_balance(pages(spark, sf_dir)).withColumn("diff", F.col("diff").cast("bigint"))
+
+
+@query("r16_bracket_places")
+def bracket_places(spark, sf_dir):
+    own = pages(spark, sf_dir)
+    return content.bracket_places(own, content.bracket_balance(own)).select("paper_id", F.array_join("examples", " | ").alias("places"))
+
+
+NUMBERS = rf"""
+SELECT DISTINCT paper_id, label, CAST(x AS INTEGER) AS number FROM (
+  SELECT paper_id, 'Figure' AS label, unnest(regexp_extract_all(raw_text, '\b(?:Figure|Fig\.?)\s*(\d+)\b', 1)) AS x FROM ({CONTENT})
+  UNION ALL SELECT paper_id, 'Table', unnest(regexp_extract_all(raw_text, '\bTable\s*(\d+)\b', 1)) FROM ({CONTENT})) WHERE length(x) <= 9"""
+
+
+@query("e03_float_numbers", NUMBERS)
+def float_numbers(spark, sf_dir):
+    return content.float_numbers(pages(spark, sf_dir))
+
+
+@query(
+    "r17_number_gaps",
+    f"""
+WITH n AS ({NUMBERS}), g AS (SELECT *, lead(number) OVER (PARTITION BY paper_id, label ORDER BY number) AS next FROM n),
+m AS (SELECT paper_id, label, number, next - number - 1 AS k, range(number + 1, least(next, number + {P.GAP_PREVIEW} + 1)) AS x FROM g WHERE next - number > 1)
+SELECT paper_id, label, CAST(sum(k) AS BIGINT) AS missing, array_to_string(list_slice(flatten(list(x ORDER BY number)), 1, {P.GAP_PREVIEW}), ',') AS preview FROM m GROUP BY ALL""",
+)
+def number_gaps(spark, sf_dir):
+    return content.number_gaps(content.float_numbers(pages(spark, sf_dir))).withColumn("preview", csv("preview"))
+
+
+def told(findings: DataFrame) -> DataFrame:
+    return findings.select("paper_id", F.array_join("examples", "|").alias("said"))
+
+
+PAPERS = seeds.sql(seeds.PAPERS)
+
+
+@query("r18_author_metadata", rf"SELECT paper_id, author AS said FROM ({PAPERS}) WHERE trim(lower(regexp_replace(coalesce(author, ''), '\s+', ' ', 'g'))) NOT IN ('', {', '.join(f"'{a}'" for a in P.ANONYMOUS_AUTHORS)})")
+def author_metadata(spark, sf_dir):
+    return told(identity.author_findings(papers(spark, sf_dir)))
+
+
+@query("r19_word_processor", f"SELECT paper_id, creator AS said FROM ({PAPERS}) WHERE lower(creator) LIKE '%word%'")
+def word_processor(spark, sf_dir):
+    return told(identity.creator_findings(papers(spark, sf_dir)))
+
+
+@query(
+    "r20_local_paths",
+    rf"SELECT paper_id, f || ' ' || p AS said FROM (SELECT paper_id, f, regexp_extract(v, '([A-Za-z]:\\Users\\[^\\\s]+|/Users/[^/\s]+|/home/[^/\s]+)', 1) AS p FROM (SELECT paper_id, 'Creator' AS f, creator AS v FROM ({PAPERS}) UNION ALL SELECT paper_id, 'Producer', producer FROM ({PAPERS}))) WHERE p <> ''",
+)
+def local_paths(spark, sf_dir):
+    return told(identity.path_findings(papers(spark, sf_dir)))
+
+
+@query(
+    "r21_first_page_identity",
+    rf"""
+WITH h AS (SELECT paper_id, list_sort(list_distinct(list_concat(
+  regexp_extract_all(raw_text, '(?i)\b(?:University|College|Institute|Institute of|Laboratory|Academy|Corporation|Company|School of|Department of)\b'),
+  regexp_extract_all(raw_text, '(?i)[\p{{L}}\p{{N}}_.!#$%&''*+/=?^`{{|}}~-]+@(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{{2,}}\b')))) AS h FROM ({CONTENT}) WHERE page_num = 1)
+SELECT paper_id, array_to_string(h, '|') AS hits FROM h WHERE len(h) > 0""",
+)
+def first_page(spark, sf_dir):
+    return identity.first_page_hits(pages(spark, sf_dir)).select("paper_id", F.array_join("hits", "|").alias("hits"))
+
+
+@query("r22_acknowledgments", rf"SELECT paper_id, string_agg(CAST(page_num AS VARCHAR), ',' ORDER BY page_num) AS pages FROM ({CONTENT}) WHERE regexp_matches(raw_text, '(?i)\b(?:Acknowledgments?|Acknowledgements?)\b') GROUP BY paper_id")
+def acknowledgments(spark, sf_dir):
+    return identity.acknowledgment_findings(pages(spark, sf_dir)).select("paper_id", csv("pages").alias("pages"))
+
+
+ANNOTATED = f"SELECT paper_id, page_num, CASE WHEN uri LIKE 'doi.org/%' THEN 'https://' || uri ELSE uri END AS url FROM ({seeds.sql(seeds.LINKS)}) WHERE uri LIKE 'http%' OR uri LIKE 'doi%'"
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seeds.frame(spark, sf_dir, seeds.LINKS).withColumn("rect", F.lit(None).cast("struct<x0: double, y0: double, x1: double, y1: double>"))
+
+
+@query("a08_link_annotations", ANNOTATED)
+def link_annotations(spark, sf_dir):
+    return urls.annotations(links(spark, sf_dir)).drop("rect")
+
+
+TEXTED = rf"SELECT DISTINCT paper_id, CASE WHEN u LIKE 'doi.org/%' THEN 'https://' || rtrim(u, '.,;:') ELSE rtrim(u, '.,;:') END AS url FROM (SELECT paper_id, unnest(regexp_extract_all(raw_text, '(https?://[^\s\]>}}\"''<>]+|doi\.org/[^\s\]>}}\"''<>]+)')) AS u FROM ({CONTENT}))"
+
+
+@query("c11_text_urls", TEXTED)
+def text_urls(spark, sf_dir):
+    return urls.text_urls(pages(spark, sf_dir))
+
+
+REVEALING = "(" + " OR ".join([*(f"contains(lower(url), '{h}')" for h in P.REVEALING_HOSTS), "contains(lower(url), '/~')"]) + ")"
+
+
+@query("r23_revealing_links", f"SELECT paper_id, string_agg(url, '|' ORDER BY url) AS said FROM (SELECT paper_id, url FROM ({TEXTED}) UNION SELECT paper_id, url FROM ({ANNOTATED})) WHERE {REVEALING} GROUP BY paper_id")
+def revealing_links(spark, sf_dir):
+    every = urls.text_urls(pages(spark, sf_dir)).union(urls.annotations(links(spark, sf_dir)).select("paper_id", "url")).distinct()
+    return told(identity.link_findings(every))
+
+
+@query("r01_file_size", f"SELECT paper_id, CASE WHEN file_bytes / 1048576.0 > 10 THEN 'Warning' ELSE 'Pass' END AS level FROM ({PAPERS})")
+def file_size(spark, sf_dir):
+    return pageformat.size_findings(papers(spark, sf_dir)).select("paper_id", "level")
+
+
+@query("r02_page_limit", f"SELECT paper_id, CASE WHEN page_count > 9 THEN 'Error' ELSE 'Pass' END AS level FROM ({PAPERS})")
+def page_limit(spark, sf_dir):
+    return pageformat.length_findings(papers(spark, sf_dir), 9).select("paper_id", "level")
+
+
+@query("r03_blank_pages", f"SELECT paper_id, string_agg(CAST(page_num AS VARCHAR), ',' ORDER BY page_num) AS pages FROM ({CONTENT}) WHERE NOT {READ} GROUP BY paper_id")
+def blank_pages(spark, sf_dir):
+    own = pages(spark, sf_dir).withColumns({"n_images": F.lit(0), "n_drawings": F.lit(0)})
+    return pageformat.blank_pages(own).select("paper_id", csv("p").alias("pages"))
+
+
+BASE = ", ".join(f"'{f}'" for f in P.BASE_FONTS)
+
+
+@query(
+    "r04_r05_fonts",
+    f"""
+WITH f AS (SELECT paper_id, regexp_replace(font_name, '^[A-Z]{{6}}\\+', '') AS name, bool_or(embedded) AS e FROM ({seeds.sql(seeds.FONTS)}) GROUP BY paper_id, xref, font_name)
+SELECT paper_id, coalesce(string_agg(DISTINCT name, ',' ORDER BY name) FILTER (WHERE NOT e AND name NOT IN ({BASE})), '') AS missing,
+       coalesce(string_agg(DISTINCT name, ',' ORDER BY name) FILTER (WHERE NOT e AND name IN ({BASE})), '') AS standard FROM f GROUP BY paper_id""",
+)
+def fonts(spark, sf_dir):
+    return pageformat.font_verdicts(seeds.frame(spark, sf_dir, seeds.FONTS)).select("paper_id", csv("missing").alias("missing"), csv("standard").alias("standard"))
+
+
+@query(
+    "r07_low_resolution",
+    f"SELECT paper_id, page_num, img_no, round(dpi, 6) AS dpi FROM (SELECT *, least(width_px / (wide / 72), height_px / (high / 72)) AS dpi FROM ({seeds.sql(seeds.IMAGES)}) WHERE wide > 0 AND high > 0) WHERE dpi > 0 AND dpi < {P.MIN_DPI}",
+)
+def low_resolution(spark, sf_dir):
+    box = F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.col("wide").alias("x1"), F.col("high").alias("y1"))
+    return pageformat.low_resolution(seeds.frame(spark, sf_dir, seeds.IMAGES).withColumn("bbox", box)).withColumn("dpi", F.round("dpi", 6))
+
+
+def paper_pages(lines: DataFrame) -> DataFrame:
+    return lines.select("paper_id", "page_num").distinct().select("paper_id", "page_num", *(F.lit(v).alias(c) for c, v in (("x0", 0.0), ("y0", 0.0), ("x1", 500.0), ("y1", 792.0))))
+
+
+def unmarked(lines: DataFrame) -> DataFrame:
+    """Lines for the margin rule where no review numbers are possible."""
+    rect = {"page_x0": F.lit(0.0), "page_y0": F.lit(0.0), "page_x1": F.lit(500.0), "page_y1": F.lit(792.0)}
+    return layout.flat_lines(lines).withColumns(rect | {"is_review": F.lit(False), "is_header": F.lit(False)})
+
+
+@query(
+    "r08_overflow_fixed_margin",
+    rf"SELECT paper_id, string_agg(DISTINCT CAST(page_num AS VARCHAR), ',' ORDER BY CAST(page_num AS VARCHAR)) AS pages FROM ({seeds.LAYOUT}) WHERE regexp_matches(line, '\S') AND (x0 < 36 - 3 OR x1 > 500 - 36 + 3) GROUP BY paper_id",
+)
+def overflow_fixed(spark, sf_dir):
+    lines = seeds.layout_lines(spark, sf_dir)
+    out = layout.overflow_pages(paper_pages(lines), unmarked(lines), empty(spark, "images"), 36.0)
+    return out.select("paper_id", csv(F.array_sort(F.col("pages").cast("array<string>"))).alias("pages"))
+
+
+@query("r08_overflow_inferred_bands")
+def overflow_inferred(spark, sf_dir):
+    lines = seeds.layout_lines(spark, sf_dir)
+    return layout.overflow_pages(paper_pages(lines), layout.marked_lines(lines, paper_pages(lines)), empty(spark, "images")).select("paper_id", csv("pages").alias("pages"))
+
+
+@query("f02_text_bands")
+def text_bands(spark, sf_dir):
+    bands = layout.paper_bands(seeds.frame(spark, sf_dir, seeds.EDGES))
+    return bands.select("paper_id", F.explode("bands").alias("b")).select("paper_id", F.col("b.l").alias("left_edge"), F.col("b.r").alias("right_edge"))
+
+
+@query(
+    "e08_order_statistics",
+    f"""
+WITH e AS (SELECT paper_id, list_sort(list(x1)) AS v FROM ({seeds.sql(seeds.EDGES)}) GROUP BY paper_id)
+SELECT paper_id, list_median(v) AS middle, v[CAST(round_even(0.95 * (len(v) - 1), 0) AS INTEGER) + 1] AS nearest, v[CAST(floor((len(v) - 1) * 0.1) AS INTEGER) + 1] AS low FROM e""".replace("list_median(v)", "list_aggregate(v, 'median')"),
+)
+def order_statistics(spark, sf_dir):
+    own = seeds.frame(spark, sf_dir, seeds.EDGES).groupBy("paper_id").agg(F.median("x1").alias("middle"), F.sort_array(F.collect_list("x1")).alias("v"))
+    last = F.size("v") - 1
+    return own.select("paper_id", "middle", F.get("v", F.bround(last * 0.95).cast("int")).alias("nearest"), F.get("v", F.floor(last * 0.1).cast("int")).alias("low"))
+
+
+@query(
+    "f05_consecutive_runs",
+    """
+WITH n AS (SELECT DISTINCT l_orderkey AS paper_id, l_linenumber AS number, l_partkey AS y FROM lineitem),
+b AS (SELECT *, CASE WHEN number = lag(number) OVER w + 1 AND y > lag(y) OVER w + 2 THEN 0 ELSE 1 END AS cut FROM n WINDOW w AS (PARTITION BY paper_id ORDER BY y, number)),
+r AS (SELECT *, sum(cut) OVER (PARTITION BY paper_id ORDER BY y, number ROWS UNBOUNDED PRECEDING) AS run FROM b)
+SELECT paper_id, CAST(run AS BIGINT) AS run, CAST(min(number) AS BIGINT) AS first, count(*) AS n FROM r GROUP BY paper_id, run""",
+)
+def consecutive_runs(spark, sf_dir):
+    from pyspark.sql import Window
+
+    own = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("paper_id"), F.col("l_linenumber").alias("number"), F.col("l_partkey").alias("y")).distinct()
+    w = Window.partitionBy("paper_id").orderBy("y", "number")
+    on = (F.col("number") == F.lag("number").over(w) + 1) & (F.col("y") > F.lag("y").over(w) + 2)
+    runs = own.withColumn("cut", F.when(on, 0).otherwise(1)).withColumn("run", F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("paper_id", "run").agg(F.min("number").cast("bigint").alias("first"), F.count(F.lit(1)).alias("n"))
+
+
+ENTRIES = r"""
+SELECT doc_id AS paper_id, i - 1 AS no, s[i] AS text, trim(regexp_replace(lower(regexp_replace(string_split(s[i], '.')[1], '[^A-Za-z0-9\s]', '', 'g')), '\s+', ' ', 'g')) AS t
+FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents), unnest(range(1, len(s) + 1)) AS u(i)"""
+
+
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of a document as a reference of that paper."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select(F.col("doc_id").alias("paper_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("no", "text"))
+
+
+@query("d01_identical_titles", f"WITH e AS (SELECT * FROM ({ENTRIES}) WHERE length(t) >= 10) SELECT a.paper_id, CAST(a.no AS INTEGER) AS i, CAST(b.no AS INTEGER) AS j FROM e a JOIN e b ON a.paper_id = b.paper_id AND a.t = b.t AND a.no < b.no")
+def identical_titles(spark, sf_dir):
+    """First sentences stand for titles, reduced to ASCII letters and digits on both sides."""
+    plain = F.trim(F.regexp_replace(F.lower(F.regexp_replace(F.split("text", r"\.")[0], r"[^A-Za-z0-9\s]", "")), r"\s+", " "))
+    return bibliography.title_pairs(entries(spark, sf_dir), F.when(F.length(plain) >= P.TITLE_CHARS, plain))
+
+
+@query("d02_similar_entries")
+def similar_entries(spark, sf_dir):
+    return bibliography.similar_pairs(entries(spark, sf_dir))
+
+
+@query("d03_repeated_fragments")
+def repeated_fragments(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select(F.col("doc_id").alias("paper_id"), F.explode(bibliography.repeated_fragments("text")).alias("fragment"))
+
+
+@query("f11_bibliographies")
+def bibliographies(spark, sf_dir):
+    lines = seeds.layout_lines(spark, sf_dir)
+    heading = F.when(F.col("block_no") == 0, F.lit("References")).otherwise(F.concat(F.lit("["), F.col("block_no").cast("string"), F.lit("] "), F.col("text")))
+    return bibliography.bibliographies(lines.withColumn("text", heading), paper_pages(lines))
+
+
+@query("j01_link_liveness")
+def link_liveness(spark, sf_dir):
+    """Liveness of the planted links against a transport that answers by the address; nothing is requested."""
+    own = urls.annotations(links(spark, sf_dir)).select("paper_id", "url")
+    return told(liveness.liveness_findings(own, liveness.probe(own, canned)))
+
+
+def canned(url: str) -> tuple[int, str | None]:
+    kind = sum(map(ord, url)) % 4
+    return ((200, None), (404, None), (503, None), (301, url))[kind]
+
+
+def tables(spark: SparkSession, sf_dir: str) -> Tables:
+    out = from_texts(papers(spark, sf_dir), seeds.frame(spark, sf_dir, seeds.PAGES))
+    out.lines = empty(spark, "lines")
+    return out
+
+
+def text_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings that texts and metadata give; offline."""
+    own = pages(spark, sf_dir)
+    parts = [pageformat.size_findings(papers(spark, sf_dir)), content.content_findings(own), identity.identity_findings(papers(spark, sf_dir), own, urls.text_urls(own))]
+    return audits.union(parts)
+
+
+@query("h04_all_text_findings")
+def all_text_findings(spark, sf_dir):
+    return text_findings(spark, sf_dir).select("paper_id", "seq", "level", "check_type", "rule_id", "n", csv("pages").alias("pages"), F.array_join("examples", "|").alias("examples"), "message_en")
+
+
+@query("a10_summary")
+def summaries(spark, sf_dir):
+    return audits.summary(text_findings(spark, sf_dir), papers(spark, sf_dir))
+
+
+@query("a09_report")
+def reports(spark, sf_dir):
+    return audits.report(text_findings(spark, sf_dir), papers(spark, sf_dir), "en")
+
+
+@query("k01_full_audit")
+def full_audit(spark, sf_dir):
+    """Every rule over the seeded papers, liveness against canned answers."""
+    found = audits.audit(tables(spark, sf_dir), audits.Options(max_pages=9, transport=canned, lang="en"))
+    return found.select("paper_id", "level", "rule_id", "n", "message_en")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_text_findings(spark, sf_dir)
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
