@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -13,7 +13,7 @@ def _digest(edges: DataFrame) -> tuple:
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Joins each node's neighbours to the least of them: the larger neighbours, or itself and the smaller ones.
+    """Joins each node's neighbours to the least of them: the larger neighbours, or itself and the smaller ones. edges, a stored table, is used up.
 
     The least neighbours are pre-aggregated and written before the join, so that both of its sides are plain exchanges,
     of which Spark can split the partition of a node with very many neighbours.
@@ -26,7 +26,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.filter(F.col("v") != F.col("m")).select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("w"), F.col("m")))
-    return materialize(out.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    out = materialize(out.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    discard(edges, least)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:

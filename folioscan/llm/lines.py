@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, discard, materialize
 
 #: Lines under this many code points are held for equal only if they are identical.
 NEAR = 16
@@ -104,13 +104,16 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, lines): for each document that has any, the numbers, from 0, of its lines that go."""
     every = materialize(first_lines(docs, id_col, text_col), "lines")
     first = materialize(every.groupBy("h1", "h2").agg(F.min(F.struct("id", "line")).alias("first")), "firsts")
-    met = materialize(every.join(first, ["h1", "h2"]).select("id", "line", "h1", "keys", "h2", "first"), "met")
+    met = materialize(every.join(first, ["h1", "h2"]).select("id", "line", "h1", "keys", "first"), "met")
+    discard(every, first)
     at = F.struct("id", "line")
-    firsts = met.filter(F.col("first") == at).select("id", "line", "h1", "h2", "keys")
+    firsts = met.filter(F.col("first") == at).select("id", "line", "h1", "keys")
     close = materialize(near(firsts, docs, id_col, text_col).select("id", "line").distinct(), "close")
     same = met.filter(F.col("first") < at).select("id", "line")
     # Copies of a line that goes for being near an earlier one go as copies.
-    return materialize(same.union(close).groupBy("id").agg(F.collect_set("line").alias("lines")), "gone")
+    out = materialize(same.union(close).groupBy("id").agg(F.collect_set("line").alias("lines")), "gone")
+    discard(met, close)
+    return out
 
 
 def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

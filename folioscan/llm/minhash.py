@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize
+from .common import arrow_map, discard, materialize
 from .components import components
 from .hashing import A, mix, shingle_set, word_hashes
 
@@ -143,11 +143,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, id_col: s
     reps = materialize(reps.dropDuplicates(["id"]), "reps")
     bands = reps.select(F.explode("bands").alias("key"), "id", "n")
     buckets = bands.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("other")).filter(F.col("leader") != F.col("other")).select("key", "leader")
-    members = materialize(bands.join(materialize(buckets, "buckets"), "key"), "members")
+    buckets = materialize(buckets, "buckets")
+    members = materialize(bands.join(buckets, "key"), "members")
+    discard(reps, buckets)
     sets = whole_sets(docs, members.select("id").distinct(), size, id_col, text_col).dropDuplicates(["id"])
     label = materialize(links_of(members, sets, percent), "labels")
     named = classes.join(label, F.col("rep") == F.col("node"), "left").select("set1", "set2", F.coalesce("component", "rep").alias("found"))
     named = materialize(named, "named")
+    discard(classes, members, label)
     same = (own.set1 == named.set1) & (own.set2 == named.set2) & own.id.isNotNull() & (own.n_shingles > 0)
     out = own.join(named, same, "left").select(own.id.alias(id_col), "n_shingles", F.coalesce("found", own.id).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
