@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .patterns import CONTEXT, HYPHENATED, PREVIEW
 
@@ -52,7 +53,7 @@ def plain(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKC", text).casefold() if c.isalnum() or c.isspace())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normal_title(titles: pd.Series) -> pd.Series:
     """NFKC, case folding, letters, digits and single blanks; Spark has no built-in for the first two."""
     return titles.map(lambda t: None if t is None else " ".join(plain(t).split()))

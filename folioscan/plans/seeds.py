@@ -47,7 +47,7 @@ SELECT o_orderkey AS paper_id, 1 AS page_num, CAST(o_custkey AS INT) AS xref,
 IMAGES = """
 SELECT l_orderkey AS paper_id, CAST(l_linenumber AS INT) AS page_num, CAST(l_linenumber AS INT) AS img_no,
        CAST(l_partkey % 50 - 5 AS DOUBLE) AS wide, CAST(l_suppkey % 40 AS DOUBLE) AS high, CAST(l_quantity AS INT) AS width_px, CAST(l_quantity * 2 AS INT) AS height_px FROM {lineitem}"""
-EDGES = "SELECT l_orderkey AS paper_id, CAST(l_partkey % 97 AS DOUBLE) AS x0, CAST(l_partkey % 97 + 100 + l_suppkey % 31 AS DOUBLE) AS x1 FROM {lineitem}"
+EDGES = "SELECT CAST(floor(l_orderkey / 16) AS BIGINT) AS paper_id, CAST(l_partkey % 97 AS DOUBLE) AS x0, CAST(l_partkey % 97 + 100 + l_suppkey % 31 AS DOUBLE) AS x1 FROM {lineitem}"
 
 TABLES = ("documents", "pages", "orders", "lineitem")
 
