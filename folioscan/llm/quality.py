@@ -54,7 +54,11 @@ def with_features(docs: DataFrame, text_col: str = "text", prefix: str = "") ->
         "n_repeat_words": F.expr(repeated),
         "n_lines": F.size(lines),
     }
-    return own.select(*(F.col(f"`{c}`") for c in docs.columns), *(made[k].cast("long").alias(prefix + k) for k in FEATURES))
+    # The row number keeps filters on the features above this projection; pushed below, they would put the array
+    # expressions into each other, and each would be evaluated anew for every element.
+    fence = F.monotonically_increasing_id().alias(f"__{prefix}fence")
+    out = own.select(*(F.col(f"`{c}`") for c in docs.columns), *(made[k].cast("long").alias(prefix + k) for k in FEATURES), fence)
+    return out.filter(F.col(f"__{prefix}fence") >= 0).drop(f"__{prefix}fence")
 
 
 def base_failed(prefix: str = "") -> Column:
