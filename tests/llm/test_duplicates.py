@@ -6,7 +6,7 @@ from hashlib import sha256
 import numpy as np
 
 from folioscan.llm.components import components
-from folioscan.llm.minhash import keep_one, near_duplicates, sketch
+from folioscan.llm.minhash import SLACK, T, keep_one, near_duplicates, short_sketch, sketch
 from folioscan.llm.substrings import digests, remove_repeats
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -102,6 +102,20 @@ def test_sketch_estimates_similarity_and_fills():
         assert (sketch(a, 384) == sketch(a[::-1].copy(), 384)).all()
 
 
+def test_short_sketches_rule_out_distant_pairs_alone():
+    rng = np.random.default_rng(6)
+    differ = lambda a, b: sum(bin((x | x >> 1) & 0x5555555555555555).count("1") for x in (short_sketch(a) ^ short_sketch(b)).view(np.uint64).tolist())
+    limit = int(T * 0.75 * (0.25 + SLACK))
+    out = {}
+    for share in (0.4, 0.75):
+        out[share] = []
+        for _ in range(150):
+            x = rng.integers(0, 2**63, 400).astype(np.uint64)
+            own = (400 - int(400 * share)) // 2
+            out[share].append(differ(sketch(x[own:]), sketch(x[: 400 - own])) <= limit)
+    assert all(out[0.75]) and not any(out[0.4])
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(500, 560)] + [(900, k) for k in range(901, 990)] + [(3, 3), (None, 4)]
