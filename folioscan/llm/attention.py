@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 
-WIDTH, OVERLAP = 32, 8
-DIM, CLASSES = 16, 32
+WIDTH, OVERLAP = 24, 6
+DIM, HIDDEN, CLASSES = 16, 16, 32
 #: Weight of single-id shares in the pair model.
 PRIOR = 20.0
 
@@ -19,9 +19,10 @@ PRIOR = 20.0
 def classes_of(pairs: np.ndarray, n: int = CLASSES, rounds: int = 12) -> np.ndarray:
     """A class for each id, by k-means over what comes before it. Seeded, so equal counts give equal classes."""
     rng, n = np.random.default_rng(0), min(n, len(pairs))
-    before = np.sqrt(pairs.T / np.maximum(1, pairs.sum(axis=0))[:, None]).astype(np.float32)
-    x = before @ rng.normal(0, 1, (pairs.shape[0], 48)).astype(np.float32)
-    centre = x[np.argsort(-pairs.sum(axis=0), kind="stable")[:n]]
+    total = pairs.sum(axis=0, dtype=np.float64)
+    x = np.sqrt(pairs, dtype=np.float32).T @ rng.normal(0, 1, (pairs.shape[0], 48)).astype(np.float32)
+    x /= np.sqrt(np.maximum(1, total))[:, None].astype(np.float32)
+    centre = x[np.argsort(-total, kind="stable")[:n]]
     for _ in range(rounds):
         own = ((x**2).sum(1)[:, None] - 2 * x @ centre.T + (centre**2).sum(1)).argmin(axis=1)
         centre = np.array([x[own == c].mean(axis=0) if (own == c).any() else centre[c] for c in range(n)])
@@ -29,24 +30,30 @@ def classes_of(pairs: np.ndarray, n: int = CLASSES, rounds: int = 12) -> np.ndar
 
 
 class PairModel:
-    """Log shares of ids and classes given the id before, from counts pairs[before, next]."""
+    """Log shares of ids and classes given the id before, from counts pairs[before, next] (32-bit floats, reused in place)."""
 
     def __init__(self, pairs: np.ndarray):
-        total = pairs.sum(axis=0)
-        single = (total + 0.5) / (total.sum() + 0.5 * len(total))
-        share = (pairs + PRIOR * single) / (pairs.sum(axis=1, keepdims=True) + PRIOR)
         self.own = classes_of(pairs)
-        of = np.zeros((len(pairs), CLASSES))
+        total = pairs.sum(axis=0, dtype=np.float64)
+        single = ((total + 0.5) / (total.sum() + 0.5 * len(total))).astype(np.float32)
+        share = np.asarray(pairs, np.float32)
+        bottom = (share.sum(axis=1, keepdims=True, dtype=np.float64) + PRIOR).astype(np.float32)
+        share += np.float32(PRIOR) * single
+        share /= bottom
+        of = np.full((len(share), CLASSES), 1e-30, np.float32)
         for c in range(CLASSES):
-            of[:, c] = share[:, self.own == c].sum(axis=1)
-        self.of = np.log(np.maximum(of, 1e-30)).astype(np.float32)
-        self.within = (np.log(share) - np.log(np.maximum(of, 1e-30))[:, self.own]).astype(np.float32)
+            of[:, c] += share[:, self.own == c].sum(axis=1)
+        self.of = np.log(of)
+        np.log(share, out=share)
+        for c in range(CLASSES):
+            share[:, self.own == c] -= self.of[:, c : c + 1]
+        self.within = share
 
 
 def fresh(ids: int) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(1)
     put = lambda *shape: rng.normal(0, shape[0] ** -0.5, shape).astype(np.float32)
-    return {"E": rng.normal(0, 0.5, (ids, DIM)).astype(np.float32), "P": rng.normal(0, 0.5, (WIDTH, DIM)).astype(np.float32), "Q": put(DIM, DIM), "K": put(DIM, DIM), "V": put(DIM, DIM), "O": put(DIM, DIM), "A": put(DIM, 2 * DIM), "B": put(2 * DIM, DIM), "U": np.zeros((DIM, CLASSES), np.float32)}
+    return {"E": rng.normal(0, 0.5, (ids, DIM)).astype(np.float32), "P": rng.normal(0, 0.5, (WIDTH, DIM)).astype(np.float32), "Q": put(DIM, DIM), "K": put(DIM, DIM), "V": put(DIM, DIM), "O": put(DIM, DIM), "A": put(DIM, HIDDEN), "B": put(HIDDEN, DIM), "U": np.zeros((DIM, CLASSES), np.float32)}
 
 
 MASK = np.triu(np.full((WIDTH, WIDTH), -1e9, np.float32), 1)

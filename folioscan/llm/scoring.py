@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import math
 import pickle
+import uuid
 import zlib
 from collections import Counter
 from functools import cache
@@ -27,8 +28,10 @@ from .common import BoundedCache, crc32_of_id, materialize
 #: Subword ids (the first ranks of the vocabulary, which are a vocabulary of their own), and word counts that every worker holds.
 SUBWORDS, HEAD = 2048, 262_144
 #: One of so many training windows is learned from; windows and steps of one trainer.
-SAMPLED, WINDOWS, STEPS = 8, 120_000, 1000
-FLUSH = 500_000
+SAMPLED, WINDOWS, STEPS = 16, 120_000, 1000
+FLUSH = 200_000
+#: Words that are scored at once.
+SLICE = 150_000
 #: Weight of a word's own share in the score, next to the attention model's; the log of words without a count at hand.
 SHARE, UNSEEN = 0.5, -1e9
 
@@ -42,12 +45,43 @@ class Subwords:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         own = tiktoken.Encoding("prefix", pat_str=r"[\s\S]+", mergeable_ranks={k: v for k, v in ranks.items() if v < size}, special_tokens={})
-        self.words = BoundedCache(lambda w: np.array(own.encode_ordinary(" " + w.decode("utf-8", "replace")), "<u2").tobytes())
+        self.ids = lambda w: np.array(own.encode_ordinary(" " + w.decode("utf-8", "replace")), "<u2").tobytes()
+        self.words = BoundedCache(self.ids, cap=250_000)
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u2")
 
 
+class Known:
+    """For a word its ids and the log10 of its share, or UNSEEN; one for each run."""
+
+    last: tuple[str, Known] | None = None
+
+    def __init__(self, model: bytes, own: Subwords):
+        self.log, self.weights = pickle.loads(model)
+        self.words = BoundedCache(lambda w: (own.ids(w), self.log.get(w, UNSEEN)), cap=250_000)
+
+    @classmethod
+    def of(cls, run: str, model, own: Subwords) -> Known:
+        if cls.last is None or cls.last[0] != run:
+            cls.last = None
+            own.words.clear()
+            cls.last = run, cls(model.value, own)
+        return cls.last[1]
+
+
+def slices(words: list[list[bytes]]):
+    """Ranges of texts of about SLICE words."""
+    first = n = 0
+    for k, t in enumerate(words):
+        n += len(t)
+        if n >= SLICE:
+            yield first, k + 1
+            first, n = k + 1, 0
+    if first < len(words):
+        yield first, len(words)
+
+
 @cache
 def subwords(path: str, size: int) -> Subwords:
     return Subwords(path, size)
@@ -77,9 +111,8 @@ def gathered(train: DataFrame, path: str, size: int, text_col: str) -> DataFrame
                 words[b""] += 1
                 x = np.concatenate(([end], encode(own), [end])).astype(np.int64)
                 np.add.at(pairs, x[:-1] * ids + x[1:], 1)
-                for f in attention.cut(len(x) - 1):
-                    if zlib.crc32(w := x[f : f + attention.WIDTH + 1].astype("<i2").tobytes()) % SAMPLED == 0:
-                        windows.append(w)
+                for f in attention.cut(len(x) - 1)[zlib.crc32(x.tobytes()) % SAMPLED :: SAMPLED]:
+                    windows.append(x[f : f + attention.WIDTH + 1].astype("<i2").tobytes())
                 if len(words) > FLUSH:
                     yield from counts()
             yield pa.RecordBatch.from_arrays([pa.array([2] * len(windows), pa.int8()), pa.array(windows, pa.binary()), pa.nulls(len(windows), pa.int64()), pa.nulls(len(windows), pa.int64())], ["kind", "item", "code", "n"])
@@ -139,38 +172,62 @@ def score_documents(docs: DataFrame, ranks_path: str, subword_ids: int = SUBWORD
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     ids = subword_ids + 1
     # At most ids * ids rows and head rows come to the driver.
-    rows = found.filter("kind = 1").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
-    pairs = np.zeros(ids * ids)
-    pairs[rows["code"].to_numpy(np.int64)] = rows["n"].to_numpy()
+    rows = found.filter("kind = 1").groupBy("code").agg(F.sum("n").cast("float").alias("n")).select(F.col("code").cast("int").alias("code"), "n").toArrow()
+    pairs = np.zeros(ids * ids, np.float32)
+    pairs[rows["code"].to_numpy()] = rows["n"].to_numpy()
+    del rows
     shared = spark.sparkContext.broadcast(attention.PairModel(pairs.reshape(ids, ids)))
+    del pairs
     windows = found.filter("kind = 2").select("item")
     weights = trained(windows, windows.count(), shared, subword_ids)
-    top = counts.orderBy(F.col("c").desc(), "item").limit(head).toPandas()
     bottom = n + 0.1 * (v + 1)
-    known = {bytes(w): math.log10((c + 0.1) / bottom) for w, c in zip(top["item"], top["c"], strict=True)}
+    known = {}
+    for b in counts.orderBy(F.col("c").desc(), "item").limit(head).toArrow().to_batches(max_chunksize=20_000):
+        known.update(zip(b.column(0).to_pylist(), (math.log10((c + 0.1) / bottom) for c in b.column(1).to_pylist()), strict=True))
     model = spark.sparkContext.broadcast(pickle.dumps((known, weights)))
-
-    def run(batches):
-        log, w = pickle.loads(model.value)
-        pair, own, row = shared.value, subwords(ranks_path, subword_ids), TaskContext.get().partitionId() << 40
-        get = own.words.__getitem__
-        for b in batches:
-            words = [[*words_of(t), b""] for t in b.column(2).to_pylist()]
-            parts = [list(map(get, t[:-1])) for t in words]
-            ids = [np.frombuffer(b"".join(p), "<u2") for p in parts]
-            first = np.cumsum([0] + [n for p in parts for n in (*(len(x) // 2 for x in p), 1)])[:-1]
-            context = np.add.reduceat(attention.score(w, pair, ids, subword_ids), first) if words else np.zeros(0)
-            alone = np.array([log.get(x, UNSEEN) for t in words for x in t])
+    del known
+    run_id = uuid.uuid4().hex
+
+    def score(texts: list[str | None]) -> dict:
+        own = Known.of(run_id, model, subwords(ranks_path, subword_ids))
+        words = list(map(words_of, texts))
+        out = {k: [] for k in ("seen", "base", "score", "attention_score", "rest")}
+        end = own.log.get(b"", UNSEEN)
+        for a, z in slices(words):
+            some = words[a:z]
+            parts = [list(map(own.words.__getitem__, t)) for t in some]
+            ids = [np.frombuffer(b"".join([p[0] for p in t]), "<u2") for t in parts]
+            first = np.cumsum([0] + [n for t in parts for n in (*[len(p[0]) >> 1 for p in t], 1)])[:-1]
+            context = np.add.reduceat(attention.score(own.weights, shared.value, ids, subword_ids), first)
+            alone = np.array([x for t in parts for x in (*[p[1] for p in t], end)])
             met = alone > UNSEEN
             both = np.logaddexp(context + math.log(1 - SHARE), np.where(met, alone * math.log(10), -np.inf) + math.log(SHARE)) / math.log(10)
-            text = np.repeat(np.arange(len(words)), [len(t) for t in words])
-            total = lambda x: np.bincount(text, x, len(words))  # noqa: E731, B023
-            far = [Counter(x for x in t if x not in log) for t in words]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(row, row + len(words)), pa.int64()), b.column(0), b.column(1), pa.array([len(t) for t in words], pa.int64()), pa.array(total(met).astype(np.int64)), pa.array(total(np.where(met, alone, 0.0))), pa.array(total(both)), pa.array(total(context) / math.log(10)), pa.array([[{"item": k, "m": m} for k, m in f.items()] for f in far], pa.list_(pa.struct([("item", pa.binary()), ("m", pa.int64())])))],
-                ["row", "id", "held_out", "n_tokens", "seen", "base", "score", "attention_score", "rest"],
-            )
-            row += len(words)
+            sizes = [len(t) + 1 for t in some]
+            text = np.repeat(np.arange(len(some)), sizes)
+            total = lambda x: np.bincount(text, x, len(some))  # noqa: E731, B023
+            out["seen"] += total(met).astype(np.int64).tolist()
+            out["base"] += total(np.where(met, alone, 0.0)).tolist()
+            out["score"] += total(both).tolist()
+            out["attention_score"] += (total(context) / math.log(10)).tolist()
+            begin = np.cumsum([0, *sizes])
+            far: list[Counter] = [Counter() for _ in some]
+            for i in np.flatnonzero(~met).tolist():
+                k = text[i]
+                at = i - begin[k]
+                far[k][some[k][at] if at < len(some[k]) else b""] += 1
+            out["rest"] += [[{"item": w, "m": m} for w, m in f.items()] for f in far]
+        return out | {"n_tokens": [len(t) + 1 for t in words]}
+
+    def run(batches):
+        row = TaskContext.get().partitionId() << 40
+        rest = pa.list_(pa.struct([("item", pa.binary()), ("m", pa.int64())]))
+        for whole in batches:
+            for k in range(0, len(whole), 500):
+                b = whole.slice(k, 500)
+                got = score(b.column(2).to_pylist())
+                columns = [pa.array(range(row, row + len(b)), pa.int64()), b.column(0), b.column(1), *(pa.array(got[c], t) for c, t in (("n_tokens", pa.int64()), ("seen", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("attention_score", pa.float64()), ("rest", rest)))]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "id", "held_out", "n_tokens", "seen", "base", "score", "attention_score", "rest"])
+                row += len(b)
 
     every = docs.select(F.col(id_col).alias("id"), held.alias("held_out"), F.col(text_col).alias("text"))
     scored = every.mapInArrow(run, f"row bigint, id {kind}, held_out boolean, n_tokens bigint, seen bigint, base double, score double, attention_score double, rest array<struct<item:binary,m:bigint>>")
