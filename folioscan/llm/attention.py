@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 
-WIDTH, OVERLAP = 24, 6
-DIM, HIDDEN, CLASSES = 16, 16, 32
+WIDTH, OVERLAP = 32, 8
+DIM, HIDDEN, CLASSES = 16, 32, 32
 #: Weight of single-id shares in the pair model.
 PRIOR = 20.0
 
@@ -108,18 +108,25 @@ def gradients(w: dict, pair: PairModel, ids: np.ndarray, target: np.ndarray, wei
     out |= {name: flat(f["x"]).T @ flat(part) for name, part in (("Q", dq), ("K", dk), ("V", dv))}
     dx = dh + dq @ w["Q"].T + dk @ w["K"].T + dv @ w["V"].T
     out["P"] = dx.sum(axis=0)
-    out["E"] = np.zeros_like(w["E"])
-    np.add.at(out["E"], ids.ravel(), flat(dx))
+    place = (ids.reshape(-1, 1) * DIM + np.arange(DIM)).ravel()
+    out["E"] = np.bincount(place, dx.ravel(), w["E"].size).reshape(w["E"].shape)
     return out, loss
 
 
 def train(w: dict, pair: PairModel, windows: np.ndarray, steps: int, batch: int = 64, rate: float = 8e-3) -> dict:
-    """Adam over windows (n, WIDTH + 1); ids under 0 are padding behind the end. The rate falls to 0 in a straight line."""
+    """Adam over windows (n, WIDTH + 1); ids under 0 are padding behind the end. The rate falls to 0 in a straight line.
+
+    Windows are taken in a random order, each once before any again, so n / batch steps see them all.
+    """
     w = {k: v.copy() for k, v in w.items()}
     m, s = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
     rng = np.random.default_rng(2)
+    order, at = rng.permutation(len(windows)), 0
     for step in range(steps):
-        own = windows[rng.integers(0, len(windows), batch)]
+        if at >= len(order):
+            order, at = rng.permutation(len(windows)), 0
+        own = windows[order[at : at + batch]].astype(np.int64)
+        at += batch
         target, weight = own[:, 1:], (own[:, 1:] >= 0).astype(np.float32)
         grad, _ = gradients(w, pair, np.maximum(own[:, :-1], 0), pair.own[np.maximum(target, 0)], weight)
         for k, g in grad.items():

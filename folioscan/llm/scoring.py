@@ -23,13 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import attention
-from .common import BoundedCache, crc32_of_id, materialize
+from .common import BoundedCache, crc32_of_id, discard, materialize
 
 #: Subword ids (the first ranks of the vocabulary, which are a vocabulary of their own), and word counts that every worker holds.
 SUBWORDS, HEAD = 2048, 262_144
-#: One of so many training windows is learned from; windows and steps of one trainer.
-SAMPLED, WINDOWS, STEPS = 16, 120_000, 1000
-FLUSH = 200_000
+#: Windows of one trainer, windows of a step, and steps that a trainer of fewer windows takes at most, over and over them.
+WINDOWS, BATCH, STEPS = 120_000, 128, 1000
+#: Words and windows that a worker gathers before it hands them on.
+FLUSH, HELD = 200_000, 20_000
 #: Words that are scored at once.
 SLICE = 150_000
 #: Weight of a word's own share in the score, next to the attention model's; the log of words without a count at hand.
@@ -103,19 +104,27 @@ def gathered(train: DataFrame, path: str, size: int, text_col: str) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array([0] * len(words), pa.int8()), pa.array(list(words), pa.binary()), pa.nulls(len(words), pa.int64()), pa.array(list(words.values()), pa.int64())], ["kind", "item", "code", "n"])
             words.clear()
 
+        windows = []
+
+        def cuts():
+            yield pa.RecordBatch.from_arrays([pa.array([2] * len(windows), pa.int8()), pa.array(windows, pa.binary()), pa.nulls(len(windows), pa.int64()), pa.nulls(len(windows), pa.int64())], ["kind", "item", "code", "n"])
+            windows.clear()
+
         for b in batches:
-            windows = []
             for text in b.column(0).to_pylist():
                 own = words_of(text)
                 words.update(own)
                 words[b""] += 1
                 x = np.concatenate(([end], encode(own), [end])).astype(np.int64)
                 np.add.at(pairs, x[:-1] * ids + x[1:], 1)
-                for f in attention.cut(len(x) - 1)[zlib.crc32(x.tobytes()) % SAMPLED :: SAMPLED]:
-                    windows.append(x[f : f + attention.WIDTH + 1].astype("<i2").tobytes())
+                x = x.astype("<i2")
+                for f in attention.cut(len(x) - 1).tolist():
+                    windows.append(x[f : f + attention.WIDTH + 1].tobytes())
+                    if len(windows) == HELD:
+                        yield from cuts()
                 if len(words) > FLUSH:
                     yield from counts()
-            yield pa.RecordBatch.from_arrays([pa.array([2] * len(windows), pa.int8()), pa.array(windows, pa.binary()), pa.nulls(len(windows), pa.int64()), pa.nulls(len(windows), pa.int64())], ["kind", "item", "code", "n"])
+        yield from cuts()
         yield from counts()
         seen = np.flatnonzero(pairs)
         yield pa.RecordBatch.from_arrays([pa.array([1] * len(seen), pa.int8()), pa.nulls(len(seen), pa.binary()), pa.array(seen), pa.array(pairs[seen])], ["kind", "item", "code", "n"])
@@ -123,21 +132,26 @@ def gathered(train: DataFrame, path: str, size: int, text_col: str) -> DataFrame
     return train.select(text_col).mapInArrow(run, "kind tinyint, item binary, code bigint, n bigint")
 
 
+def steps_for(n: int) -> int:
+    """Steps of a trainer of n windows: enough to see each at least once."""
+    return max(-(-n // BATCH), min(STEPS, 200 + n // 8))
+
+
 def trained(windows: DataFrame, n: int, shared, size: int) -> dict[str, np.ndarray]:
     """Weights averaged over trainers, each of which has about WINDOWS windows; one row a trainer and weight is summed."""
     trainers = max(1, round(n / WINDOWS))
     start = attention.fresh(size + 1)
 
     def run(batches):
-        own = []
+        own = [np.full((0, attention.WIDTH + 1), -1, np.int16)]
         for b in batches:
-            for w in b.column(0).to_pylist():
-                x = np.full(attention.WIDTH + 1, -1, np.int64)
-                x[: len(w) // 2] = np.frombuffer(w, "<i2")
-                own.append(x)
-        if own:
-            steps = min(STEPS, 200 + len(own) // 8)
-            w = attention.train(start, shared.value, np.array(own), steps)
+            part = np.full((len(b), attention.WIDTH + 1), -1, np.int16)
+            for k, x in enumerate(b.column(0).to_pylist()):
+                part[k, : len(x) // 2] = np.frombuffer(x, "<i2")
+            own.append(part)
+        own = np.concatenate(own)
+        if len(own):
+            w = attention.train(start, shared.value, own, steps_for(len(own)), BATCH)
             flat = np.concatenate([v.ravel() for v in w.values()]).astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * len(own)), pa.array([len(own)] * len(flat), pa.int64())], ["k", "v", "n"])
 
@@ -180,6 +194,7 @@ def score_documents(docs: DataFrame, ranks_path: str, subword_ids: int = SUBWORD
     del pairs
     windows = found.filter("kind = 2").select("item")
     weights = trained(windows, windows.count(), shared, subword_ids)
+    discard(found)
     bottom = n + 0.1 * (v + 1)
     known = {}
     for b in counts.orderBy(F.col("c").desc(), "item").limit(head).toArrow().to_batches(max_chunksize=20_000):

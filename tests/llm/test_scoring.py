@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers as P
 
 from folioscan.llm import attention
-from folioscan.llm.scoring import Subwords, score_documents, words_of
+from folioscan.llm.scoring import BATCH, Subwords, gathered, score_documents, steps_for, words_of
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
 
@@ -76,6 +76,28 @@ def test_training_learns_what_pairs_cannot():
     assert loss(learned) < loss(start) - 0.3
 
 
+def test_training_takes_every_window(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["ab", "cat", "the", "né"], n)) for n in (0, 1, 60, 700, 3000)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    got = Counter(bytes(r.item) for r in gathered(docs, RANKS, 300, "text").filter("kind = 2").collect())
+    own, want = Subwords(RANKS, 300), Counter()
+    for t in texts:
+        x = np.concatenate(([300], own(words_of(t)), [300])).astype("<i2")
+        want.update(x[f : f + attention.WIDTH + 1].tobytes() for f in attention.cut(len(x) - 1))
+    assert got == want
+
+    met = Counter()
+    real = attention.gradients
+    monkeypatch.setattr(attention, "gradients", lambda w, pair, ids, *rest: met.update(ids[:, 0].tolist()) or real(w, pair, ids, *rest))
+    w, pair, rng = model(ids=1500)
+    windows = rng.integers(0, 1500, (1500, attention.WIDTH + 1)).astype(np.int16)
+    windows[:, 0] = np.arange(1500)
+    attention.train(w, pair, windows, -(-1500 // BATCH), BATCH)
+    assert met == Counter(range(1500))
+    assert all(steps_for(n) * BATCH >= n for n in (1, 127, 128, 129, 5000, 120_000, 179_999, 10**6))
+
+
 def base(rows):
     c = Counter()
     for i, t in rows:
