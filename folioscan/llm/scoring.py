@@ -2,8 +2,8 @@
 
 One pass over the training documents writes word counts, counts of subword pairs and training windows. Word counts are
 summed by word; the most frequent ones, a bounded number, go to every worker, and words beyond them are looked up by a
-join. Windows are dealt out to trainers whose number grows with the corpus; their weights are averaged. A second pass
-over all documents scores them.
+join, where their part of both scores is made. Windows are dealt out to trainers whose number grows with the corpus;
+their weights are averaged. A second pass over all documents scores them.
 """
 
 from __future__ import annotations
@@ -174,7 +174,8 @@ def score_documents(docs: DataFrame, ranks_path: str, subword_ids: int = SUBWORD
     Rows whose crc32 of the id's decimal text is 0 modulo 10 are held out; counts and model learn from all others.
     attention_score is the log10 probability of the whole lower-cased text by the attention model alone. In score, each
     word's probability is the mean of the attention model's, given all before it in its window, and of the word's own
-    share among training tokens, where it is one of the head most frequent; that stays a probability. A null or empty
+    share among training tokens, 0 for an unknown word; that stays a probability. head is the number of words whose
+    counts every worker holds; no result depends on it. A null or empty
     text is its end alone; a null id is neither held out nor left out of training; rows that repeat each count; without
     training rows every word is unknown; an empty table gives an empty one; extra columns aren't read.
     """
@@ -216,26 +217,26 @@ def score_documents(docs: DataFrame, ranks_path: str, subword_ids: int = SUBWORD
             context = np.add.reduceat(attention.score(own.weights, shared.value, ids, subword_ids), first)
             alone = np.array([x for t in parts for x in (*[p[1] for p in t], end)])
             met = alone > UNSEEN
-            both = np.logaddexp(context + math.log(1 - SHARE), np.where(met, alone * math.log(10), -np.inf) + math.log(SHARE)) / math.log(10)
+            both = np.logaddexp(context + math.log(1 - SHARE), alone * math.log(10) + math.log(SHARE)) / math.log(10)
             sizes = [len(t) + 1 for t in some]
             text = np.repeat(np.arange(len(some)), sizes)
             total = lambda x: np.bincount(text, x, len(some))  # noqa: E731, B023
             out["seen"] += total(met).astype(np.int64).tolist()
             out["base"] += total(np.where(met, alone, 0.0)).tolist()
-            out["score"] += total(both).tolist()
+            out["score"] += total(np.where(met, both, 0.0)).tolist()
             out["attention_score"] += (total(context) / math.log(10)).tolist()
             begin = np.cumsum([0, *sizes])
-            far: list[Counter] = [Counter() for _ in some]
+            far: list[dict[bytes, list[float]]] = [{} for _ in some]
             for i in np.flatnonzero(~met).tolist():
                 k = text[i]
                 at = i - begin[k]
-                far[k][some[k][at] if at < len(some[k]) else b""] += 1
-            out["rest"] += [[{"item": w, "m": m} for w, m in f.items()] for f in far]
+                far[k].setdefault(some[k][at] if at < len(some[k]) else b"", []).append(context[i])
+            out["rest"] += [[{"item": w, "logs": x} for w, x in f.items()] for f in far]
         return out | {"n_tokens": [len(t) + 1 for t in words]}
 
     def run(batches):
         row = TaskContext.get().partitionId() << 40
-        rest = pa.list_(pa.struct([("item", pa.binary()), ("m", pa.int64())]))
+        rest = pa.list_(pa.struct([("item", pa.binary()), ("logs", pa.list_(pa.float64()))]))
         for whole in batches:
             for k in range(0, len(whole), 500):
                 b = whole.slice(k, 500)
@@ -245,11 +246,20 @@ def score_documents(docs: DataFrame, ranks_path: str, subword_ids: int = SUBWORD
                 row += len(b)
 
     every = docs.select(F.col(id_col).alias("id"), held.alias("held_out"), F.col(text_col).alias("text"))
-    scored = every.mapInArrow(run, f"row bigint, id {kind}, held_out boolean, n_tokens bigint, seen bigint, base double, score double, attention_score double, rest array<struct<item:binary,m:bigint>>")
+    scored = every.mapInArrow(run, f"row bigint, id {kind}, held_out boolean, n_tokens bigint, seen bigint, base double, score double, attention_score double, rest array<struct<item:binary,logs:array<double>>>")
     scored = materialize(scored, "scored")
-    far = scored.select("row", F.explode("rest").alias("r")).select("row", "r.item", "r.m").join(counts, "item", "left")
-    log = F.log10((F.coalesce(F.col("c"), F.lit(0)) + 0.1) / F.lit(float(bottom)))
-    sums = far.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("more"), F.sum(F.col("m") * log).alias("below"))
+    far = scored.select("row", F.explode("rest").alias("r")).select("row", "r.item", "r.logs").join(counts, "item", "left")
+    c, m = F.coalesce("c", F.lit(0)), F.size("logs").cast("long")
+    log = F.log10((c + 0.1) / F.lit(float(bottom)))
+
+    def mixed(context):
+        """log10 of the mean of a word's context probability and its share; an unknown word's share is 0."""
+        a, b = context + math.log(1 - SHARE), log * math.log(10) + math.log(SHARE)
+        return F.when(c > 0, F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))).otherwise(a) / math.log(10)
+
+    both = F.aggregate("logs", F.lit(0.0), lambda so_far, context: so_far + mixed(context))
+    sums = far.select("row", F.when(c > 0, m).otherwise(0).alias("more"), (m * log).alias("below"), both.alias("both"))
+    sums = sums.groupBy("row").agg(*(F.sum(k).alias(k) for k in ("more", "below", "both")))
     joined = scored.drop("rest").join(materialize(sums, "sums"), "row", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return joined.select(F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("seen") + zero("more")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + zero("below")).alias("base_score"), "score", "attention_score")
+    zero = lambda x: F.coalesce(x, F.lit(0))
+    return joined.select(F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("seen") + zero("more")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + zero("below")).alias("base_score"), (F.col("score") + zero("both")).alias("score"), "attention_score")

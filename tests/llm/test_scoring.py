@@ -121,6 +121,17 @@ def test_base_scores_equal_brute_force_and_cases_are_defined(spark):
     assert score_documents(docs.limit(0), RANKS, subword_ids=300).collect() == []
 
 
+def test_scores_do_not_depend_on_a_words_rank(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{k}" for k in rng.zipf(1.3, int(rng.integers(0, 60))) % 500)) for i in range(120)] + [(500, None), (501, "never met " * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    few, all_ = ({r.doc_id: r for r in score_documents(docs, RANKS, subword_ids=300, head=n).collect()} for n in (2, 100_000))
+    assert few.keys() == all_.keys()
+    for i, r in few.items():
+        assert abs(r.attention_score - all_[i].attention_score) < 1e-3
+        assert abs(r.score - all_[i].score) < 1e-3
+
+
 def test_held_out_texts_on_a_table(spark):
     """One held-out word in eight is unknown here; the base gives each of them the share of a single type, which isn't a probability."""
     from folioscan.llm.queries import op3_attention_scores
