@@ -7,8 +7,8 @@ bounds. BANDS bands of ROWS coordinates make candidates: a pair of similarity 0.
 (1 - 0.75**6)**64 < 4e-6.
 
 Documents of one shingle set are one class from the start. In a bucket all members are tied to the least one by
-verified links; members that such links leave outside are then held against all members of other components whose short
-sketches don't rule a link out. So no group of copies is expanded into its pairs.
+verified links; members that such links leave outside are then held against all members of other components whose
+bitmaps don't rule a link out, which never loses one. So no group of copies is expanded into its pairs.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from .hashing import A, mix, shingle_set, word_hashes
 
 BANDS, ROWS, SLACK = 64, 6, 0.10
 T = BANDS * ROWS
+#: Bits of a set's bitmap.
+BITS = 1024
 LOW = np.uint64(0xFFFFFFFF)
 S32, S40 = np.uint64(32), np.uint64(40)
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -59,24 +61,26 @@ def band_keys(coordinates: np.ndarray) -> np.ndarray:
 
 
 def short_sketch(rows: np.ndarray) -> np.ndarray:
-    """Two bits of each coordinate, 32 coordinates to a 64-bit word."""
+    """Two bits of each coordinate, 32 coordinates to a 64-bit word. An estimate; no pair is ruled out by it."""
     bits = (rows & np.uint64(3)).reshape(-1, 32)
     return (bits << (2 * np.arange(32, dtype=np.uint64))).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
-def hopeful(a: Column, b: Column, percent: int) -> Column:
-    """Whether short sketches agree as often as those of sets over the threshold do, but for SLACK.
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """Bit j of BITS is the parity of the number of members that fall into class j of as many, by their top bits."""
+    odd = np.bincount((s >> np.uint64(32)).astype(np.int64) * BITS >> 32, minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
-    Two bits agree with the chance s + (1 - s) / 4 at similarity s, with a deviation of 0.02 over T coordinates, so a pair
-    on the threshold fails here with a chance under 1e-4, and one five points above it with a chance under 1e-8.
-    """
-    odd = F.lit(0x5555555555555555)
 
-    def differ(x: Column) -> Column:
-        return F.bit_count(x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(odd))
+def hopeful(a: Column, b: Column, n: Column, m: Column, percent: int) -> Column:
+    """Whether the bitmaps a and b of sets of n and m members leave room for a link; lossless.
 
-    apart_in = reduce(lambda x, y: x + y, (differ(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(T // 32)))
-    return apart_in <= int(T * 0.75 * (1 - percent / 100 + SLACK))
+    A bit in which two bitmaps differ takes a member of its class that one set alone has, so the sets share at most
+    half of n + m less these bits.
+    """
+    bits = reduce(lambda x, y: x + y, (F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(BITS // 64)))
+    # shared <= (n + m - bits) / 2 and all >= (n + m + bits) / 2
+    return (n + m - bits) * 100 >= (n + m + bits) * percent
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -85,10 +89,10 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def sketched(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles, a 128-bit hash of the set, its band keys and its short sketch."""
+    """id, n_shingles, a 128-bit hash of the set, its band keys and its bitmap."""
 
     def batch(ids, texts):
-        n, one, two, keys, short = [], [], [], [], []
+        n, one, two, keys, bits = [], [], [], [], []
         for i, t in zip(ids, texts, strict=True):
             s = shingle_set(word_hashes(t, True), size)
             n.append(len(s))
@@ -97,11 +101,11 @@ def sketched(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
             two.append((whole & (1 << 64) - 1) - (1 << 63))
             own = sketch(s) if len(s) and i is not None else None
             keys.append(None if own is None else band_keys(own))
-            short.append(None if own is None else short_sketch(own))
-        return {"id": ids, "n_shingles": n, "set1": one, "set2": two, "bands": keys, "short": short}
+            bits.append(None if own is None else bitmap(s))
+        return {"id": ids, "n_shingles": n, "set1": one, "set2": two, "bands": keys, "bits": bits}
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return arrow_map(docs, [id_col, text_col], batch, f"id {kind}, n_shingles bigint, set1 bigint, set2 bigint, bands array<bigint>, short array<bigint>")
+    return arrow_map(docs, [id_col, text_col], batch, f"id {kind}, n_shingles bigint, set1 bigint, set2 bigint, bands array<bigint>, bits array<bigint>")
 
 
 def whole_sets(docs: DataFrame, ids: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
@@ -135,8 +139,8 @@ def apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").filter(of("a") != of("b")).select("a", "b")
 
 
-def links_of(members: DataFrame, shorts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, component) from bucket members (key, id, n, leader) and short sketches (id, short)."""
+def links_of(members: DataFrame, bitmaps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, component) from bucket members (key, id, n, leader) and bitmaps (id, bits)."""
     tied = materialize(members.filter(F.col("id") != F.col("leader")).select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), "tied")
     first = tied.groupBy("a").agg(F.min("b").alias("b"))
     links = verified(first, sets, percent)
@@ -148,11 +152,11 @@ def links_of(members: DataFrame, shorts: DataFrame, sets: DataFrame, percent: in
     known = known.join(at.withColumnRenamed("node", "leader").withColumnRenamed("component", "d"), "leader", "left")
     known = materialize(known.select("key", "id", "n", F.coalesce("c", "id").alias("c"), F.coalesce("d", "leader").alias("d")), "known")
     odd = known.filter(F.col("c") != F.col("d"))
-    # Only buckets with an outsider go on, and only their rows get their sketches.
-    known = known.join(materialize(odd.select("key").distinct(), "odd"), "key", "left_semi").join(shorts, "id")
-    outside = materialize(odd.join(shorts, "id").select(F.col("key").alias("at"), F.col("id").alias("out"), F.col("n").alias("m"), F.col("short").alias("brief"), F.col("c").alias("e")), "outside")
+    # Only buckets with an outsider go on, and only their rows get their bitmaps.
+    known = known.join(materialize(odd.select("key").distinct(), "odd"), "key", "left_semi").join(bitmaps, "id")
+    outside = materialize(odd.join(bitmaps, "id").select(F.col("key").alias("at"), F.col("id").alias("out"), F.col("n").alias("m"), F.col("bits").alias("others"), F.col("c").alias("e")), "outside")
     fit = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.col("c") != F.col("e"))
-    fit = fit & hopeful(F.col("short"), F.col("brief"), percent)
+    fit = fit & hopeful(F.col("bits"), F.col("others"), F.col("n"), F.col("m"), percent)
     more = known.join(outside, F.col("key") == F.col("at")).filter(fit).select(F.greatest("id", "out").alias("a"), F.least("id", "out").alias("b")).distinct()
     more = materialize(more.join(tied, ["a", "b"], "left_anti"), "others")
     return components(links.union(verified(more, sets, percent)))
@@ -168,7 +172,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, id_col: s
     own = materialize(sketched(docs, size, id_col, text_col), "sketches")
     alive = own.filter(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
     classes = materialize(alive.groupBy("set1", "set2").agg(F.min("id").alias("rep")), "classes")
-    reps = alive.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", F.col("n_shingles").alias("n"), "bands", "short")
+    reps = alive.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", F.col("n_shingles").alias("n"), "bands", "bits")
     reps = materialize(reps.dropDuplicates(["id"]), "reps")
     bands = reps.select(F.explode("bands").alias("key"), "id", "n")
     buckets = bands.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("other")).filter(F.col("leader") != F.col("other")).select("key", "leader")
@@ -176,7 +180,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, id_col: s
     members = materialize(bands.join(buckets, "key"), "members")
     discard(buckets)
     sets = whole_sets(docs, members.select("id").distinct(), size, id_col, text_col).dropDuplicates(["id"])
-    label = materialize(links_of(members, reps.select("id", "short"), sets, percent), "labels")
+    label = materialize(links_of(members, reps.select("id", "bits"), sets, percent), "labels")
     named = classes.join(label, F.col("rep") == F.col("node"), "left").select("set1", "set2", F.coalesce("component", "rep").alias("found"))
     named = materialize(named, "named")
     discard(classes, reps, members, label)

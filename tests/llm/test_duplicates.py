@@ -6,7 +6,7 @@ from hashlib import sha256
 import numpy as np
 
 from folioscan.llm.components import components
-from folioscan.llm.minhash import SLACK, T, keep_one, near_duplicates, short_sketch, sketch
+from folioscan.llm.minhash import SLACK, T, bitmap, hopeful, keep_one, near_duplicates, short_sketch, sketch
 from folioscan.llm.substrings import digests, remove_repeats
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -116,6 +116,34 @@ def test_short_sketches_rule_out_distant_pairs_alone():
     assert all(out[0.75]) and not any(out[0.4])
 
 
+def test_bitmaps_never_rule_out_a_link(spark):
+    """The last pair is on the threshold, and its short sketches differ in more places than was allowed for."""
+    differ = lambda a, b: sum(bin((x | x >> 1) & 0x5555555555555555).count("1") for x in (short_sketch(a) ^ short_sketch(b)).view(np.uint64).tolist())
+    rng = np.random.default_rng(7)
+    rows, limit = [], int(T * 0.75 * (0.25 + SLACK))
+
+    def pair(each, own):
+        x = rng.integers(0, 2**63, each + own, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, each + own, dtype=np.uint64)
+        return x[own:], x[:each]
+
+    put = lambda a, b, link: rows.append((bitmap(a).tolist(), bitmap(b).tolist(), len(a), len(b), link))
+    for each, own in ((7, 1), (70, 10), (350, 50), (3500, 500), (35000, 5000)):
+        for _ in range(40):
+            put(*pair(each, own), True)
+    for _ in range(40):
+        put(*pair(160, 40), False)
+    for _ in range(100_000):
+        a, b = pair(7, 1)
+        if differ(sketch(a), sketch(b)) > limit:
+            break
+    else:
+        raise AssertionError("no such pair")
+    put(a, b, True)
+    frame = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>, n bigint, m bigint, link boolean")
+    got = frame.select("link", hopeful(*(frame[c] for c in "abnm"), 75).alias("fine")).collect()
+    assert all(r.fine for r in got if r.link) and not any(r.fine for r in got if not r.link)
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(500, 560)] + [(900, k) for k in range(901, 990)] + [(3, 3), (None, 4)]
