@@ -1,13 +1,11 @@
-"""Column functions over page texts; all but the normalisers stay in the JVM."""
+"""Column functions over page texts, all in the JVM, and the normaliser that Python functions share."""
 
 from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .patterns import CONTEXT, HYPHENATED, PREVIEW
 
@@ -33,27 +31,24 @@ def contexts(text: Column, pattern: str, limit: int = PREVIEW) -> Column:
     """The first matches with CONTEXT characters on either side.
 
     What lies between matches is what splitting by the pattern leaves, so an offset is the sum of the lengths before
-    it; only the few that are shown are added up.
+    it; only the few that are shown are added up. Matches and rests are bound once, and only where there is a match.
     """
-    found, between = hits(text, pattern), F.split(text, pattern, -1)
 
     def total(parts: Column) -> Column:
         return F.aggregate(parts, F.lit(0), lambda a, x: a + F.length(x))
 
-    def shown(i: Column) -> Column:
-        start = total(F.slice(between, 1, i + 1)) + total(F.slice(found, 1, i))
-        end = start + F.length(F.get(found, i))
+    def shown(m: Column, i: Column) -> Column:
+        start = total(F.slice(m.rests, 1, i + 1)) + total(F.slice(m.matched, 1, i))
+        end = start + F.length(F.get(m.matched, i))
         first = F.greatest(start - CONTEXT, F.lit(0))
         return squeeze(F.substring(text, first + 1, end + CONTEXT - first))
 
-    return F.when(F.size(found) > 0, F.transform(F.sequence(F.lit(0), F.least(F.size(found), F.lit(limit)) - 1), shown)).otherwise(F.array().cast("array<string>"))
+    def some(m: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.least(F.size(m.matched), F.lit(limit)) - 1), lambda i: shown(m, i))
+
+    bound = F.array(F.struct(F.slice(hits(text, pattern), 1, limit).alias("matched"), F.split(text, pattern, limit + 1).alias("rests")))
+    return F.when(text.rlike(pattern), F.get(F.transform(bound, some), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def plain(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKC", text).casefold() if c.isalnum() or c.isspace())
-
-
-@F.pandas_udf(T.StringType())
-def normal_title(titles: pd.Series) -> pd.Series:
-    """NFKC, case folding, letters, digits and single blanks; Spark has no built-in for the first two."""
-    return titles.map(lambda t: None if t is None else " ".join(plain(t).split()))

@@ -6,6 +6,8 @@ shuffle brings the few numbers and previews of a paper together.
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +16,9 @@ from ..functions import patterns as P
 from ..functions.text import contexts, dehyphenate, hits, occurrences
 from ..plans.findings import finding, union
 
+#: The digits 0 to 9 of every script that has any, in that order.
+DIGITS = "".join(c for c in map(chr, range(128, 0x110000)) if unicodedata.decimal(c, None) is not None)
+
 
 def content_pages(pages: DataFrame, lines: DataFrame | None = None, review_numbers: DataFrame | None = None) -> DataFrame:
     """pages with content_text: the lines that aren't review numbers, in order, or the raw text where there are none; hyphens at line ends are undone."""
@@ -32,27 +37,38 @@ def _blank(text: Column) -> Column:
     return ~text.rlike(r"(?U)\S")
 
 
-def page_matches(pages: DataFrame) -> DataFrame:
-    """(paper_id, page_num, rule, n, examples): one row for each rule that matches on a page."""
+def page_matches(pages: DataFrame, rules: tuple[str, ...] | None = None) -> DataFrame:
+    """(paper_id, page_num, rule, n, examples): one row for each rule (of those asked for) that matches on a page.
+
+    Counts are made in the scan; previews only behind the filter on them, and not at all where nobody reads them.
+    """
     t = F.col("content_text")
     none = F.array().cast("array<string>")
     long_number = F.exists(F.concat(hits(t, P.FIGURE, 1), hits(t, P.TABLE, 1)), lambda x: F.length(x) > P.MAX_NUMBER_DIGITS)
     read = ~_blank(t)
-
-    def rule(name: str, n: Column, examples: Column = none) -> Column:
-        return F.struct(F.lit(name).alias("rule"), n.cast("bigint").alias("n"), examples.alias("examples"))
-
-    found = F.array(
-        rule("R10", F.when(read, 0).otherwise(1)),
-        rule("R09", F.when(read & long_number, 1).otherwise(0)),
-        rule("R11", F.when(t.rlike(P.UNRESOLVED), 1).otherwise(0)),
-        rule("R12", occurrences(t, P.DRAFT), contexts(t, P.DRAFT)),
-        rule("R13", occurrences(t, P.REPEATED), contexts(t, P.REPEATED)),
-        rule("R14", occurrences(t, P.STUTTER) + occurrences(t, P.ISOLATED), F.slice(F.concat(contexts(t, P.STUTTER), contexts(t, P.ISOLATED)), 1, P.PREVIEW)),
-        rule("R15", occurrences(t, P.SMALL_FLOAT), F.slice(hits(t, P.SMALL_FLOAT), 1, P.PREVIEW)),
-    )
-    rows = pages.select("paper_id", "page_num", F.explode(found).alias("m")).select("paper_id", "page_num", "m.*")
-    return rows.filter(F.col("n") > 0)
+    counts = {
+        "R09": F.when(read & long_number, 1).otherwise(0),
+        "R10": F.when(read, 0).otherwise(1),
+        "R11": F.when(t.rlike(P.UNRESOLVED), 1).otherwise(0),
+        "R12": occurrences(t, P.DRAFT),
+        "R13": occurrences(t, P.REPEATED),
+        "R14": occurrences(t, P.STUTTER) + occurrences(t, P.ISOLATED),
+        "R15": occurrences(t, P.SMALL_FLOAT),
+    }
+    previews = {
+        "R12": lambda: contexts(t, P.DRAFT),
+        "R13": lambda: contexts(t, P.REPEATED),
+        "R14": lambda: F.slice(F.concat(contexts(t, P.STUTTER), contexts(t, P.ISOLATED)), 1, P.PREVIEW),
+        "R15": lambda: F.slice(hits(t, P.SMALL_FLOAT), 1, P.PREVIEW),
+    }
+    wanted = [r for r in counts if rules is None or r in rules]
+    found = F.array(*(F.struct(F.lit(r).alias("rule"), counts[r].cast("bigint").alias("n")) for r in wanted))
+    rows = pages.select("paper_id", "page_num", "content_text", F.explode(found).alias("m")).select("paper_id", "page_num", "content_text", "m.rule", "m.n").filter(F.col("n") > 0)
+    examples = none
+    for r in wanted:
+        if r in previews:
+            examples = F.when(F.col("rule") == r, previews[r]()).otherwise(examples)
+    return rows.select("paper_id", "page_num", "rule", "n", examples.alias("examples"))
 
 
 def match_findings(matches: DataFrame) -> DataFrame:
@@ -113,7 +129,7 @@ def bracket_findings(pages: DataFrame) -> DataFrame:
 def float_numbers(pages: DataFrame) -> DataFrame:
     """(paper_id, label, number), distinct; over-long numbers are left out (R09). Digits of other scripts are read as such."""
     t = F.when(_blank(F.col("content_text")), F.lit("")).otherwise(F.col("content_text"))
-    both = F.array(*(F.struct(F.lit(k).alias("label"), F.transform(hits(t, p, 1), lambda x: F.translate(x, "０１２３４５６７８９٠١٢٣٤٥٦٧٨٩", "01234567890123456789")).alias("x")) for k, p in (("Figure", P.FIGURE), ("Table", P.TABLE))))
+    both = F.array(*(F.struct(F.lit(k).alias("label"), F.transform(hits(t, p, 1), lambda x: F.translate(x, DIGITS, "0123456789" * (len(DIGITS) // 10))).alias("x")) for k, p in (("Figure", P.FIGURE), ("Table", P.TABLE))))
     rows = pages.select("paper_id", F.explode(both).alias("b")).select("paper_id", "b.label", F.explode("b.x").alias("x"))
     number = F.expr("try_cast(x as int)")
     return rows.filter(F.length("x") <= P.MAX_NUMBER_DIGITS).select("paper_id", "label", number.alias("number")).filter(F.col("number").isNotNull()).distinct()

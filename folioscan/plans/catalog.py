@@ -46,7 +46,7 @@ def csv(col) -> F.Column:
 
 
 def matches(spark: SparkSession, sf_dir: str, rule: str) -> DataFrame:
-    return content.page_matches(pages(spark, sf_dir)).filter(F.col("rule") == rule)
+    return content.page_matches(pages(spark, sf_dir), (rule,))
 
 
 def matched_pages(rule: str, where: str) -> tuple[Query, str]:
