@@ -1,16 +1,15 @@
-"""Helpers that the corpus operators share: shared-folder tables, bounded caches, Arrow batches."""
+"""Helpers that the corpus operators share: names, row keys, bounded caches, Arrow batches."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import discard, materialize, shared_dir  # noqa: F401  for the operators
+
 #: White space that parts words: U+0020 and U+0009 to U+000D, which is also what bytes.split() parts by.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
@@ -20,39 +19,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one only where that is unset (local runs)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="folioscan-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str = "part") -> DataFrame:
-    """Write df to the shared folder and read it back.
-
-    Lineage is cut at a durable copy, so a lost executor costs at most the running stage; shuffle files behind
-    the copy can go, and the collections below let Spark's cleaner drop them.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    schema = df.schema
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    out = spark.read.schema(schema).parquet(path)
-    out.stored_at = path
+def fresh(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, each behind as many underscores as make it differ from every column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        name = f"__{name}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
     return out
 
 
-def discard(*stored: DataFrame) -> None:
-    """Delete tables that materialize() has written, once all that reads them is itself a durable copy."""
-    for df in stored:
-        spark = df.sparkSession
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+def columns_of(df: DataFrame) -> list[F.Column]:
+    """All columns of df, whatever signs their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def row_key(id_col: str, text_col: str) -> F.Column:
+    """What tells documents apart: the id and a hash of the text, as rows may share an id and differ in their texts."""
+    return F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"))
 
 
 class BoundedCache(dict):
