@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Seconds between two collections that let Spark's cleaner drop the shuffle files behind stored tables.
-COLLECT_EVERY = 3.0
+COLLECT_EVERY = 1.0
 _collected = [0.0]
 
 
