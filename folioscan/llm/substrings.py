@@ -1,164 +1,331 @@
 """Substring dedup by relative Lempel-Ziv parsing.
 
-The reference of a document is every document with a smaller id, indexed in blocks. Each window of SIZE words has an
-anchor: the run of ANCHOR words in it with the least hash, leftmost of equals. Consecutive windows with one anchor are
-a factor, of up to 2 * SIZE - ANCHOR words; the same words give the same factor in any document, so a block of the
-index is a range of anchors and factors, and a document is parsed against the blocks that its anchors fall into. Only
-anchors that two documents share are indexed. A factor that an earlier document holds whole is a duplicate span. At the
-boundaries of such spans, where factors are cut by other surroundings, each window of the first copy of a factor is
-looked up on its own. Together that finds exactly the windows that start in an earlier document.
+Documents are factored against the documents with smaller ids. The reference is indexed in blocks by anchors: every
+window of size words holds an anchor, its run of anchor words with the least hash, and the index keeps for an anchor the
+block of words around its first occurrence, in the document with the least id. So a document meets just the blocks that
+it can share a window with, one for each of its anchors, and never all of them.
+
+At an anchor the longest match with the block is taken, to the left and to the right. Matches with one reference
+document at one distance that overlap or touch are parts of one longer match; of these the greedy parse takes, from left
+to right, the one that reaches farthest, and what no match holds stays literal. A match of size words or more is a
+duplicate span.
+
+Windows at the ends of matches, where this document parts from the first occurrence, may still start in another earlier
+document. Each is looked up among the windows that other documents have at the ends of their matches with the same
+block: a window that equals one of the block's own is part of a match, so an equal window anywhere else is at the end of
+one, too. Together that finds exactly the windows that start in an earlier document.
 """
 
 from __future__ import annotations
 
-import re
-from itertools import pairwise
+from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import SPACE, arrow_map, discard, materialize
-from .hashing import A, mix, run_hashes, word_hashes
+from .common import SPACE, discard, fresh, materialize, row_key
+from .hashing import A, FACTOR, mix, run_hashes, words_of
 
-SIZE, ANCHOR = 13, 4
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+SIZE, ANCHOR = 13, 8
 
 
-def anchors(h: np.ndarray, size: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window, the place and the hash of its anchor."""
+class Anchored(NamedTuple):
+    """Anchors of the windows of some rows: row, place (in the words of all rows), value, and the places of its first and last window."""
+
+    row: np.ndarray
+    place: np.ndarray
+    value: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+
+
+def anchors(h: np.ndarray, offsets: np.ndarray, size: int, anchor: int) -> Anchored:
+    """Anchors of the rows whose words h lie between offsets; leftmost of equals. No window reaches over a row's end."""
+    none = np.empty(0, np.int64)
+    if len(h) < size:
+        return Anchored(none, none, none.astype(np.uint64), none, none)
     g = run_hashes(h, anchor)
-    wide = size - anchor + 1
-    if len(g) < wide:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    place = np.lib.stride_tricks.sliding_window_view(g, wide).argmin(axis=1) + np.arange(len(g) - wide + 1)
-    return place, g[place]
-
-
-def factors(h: np.ndarray, indexed: np.ndarray, size: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Factors with indexed anchors: first window, number of windows, hash of all words; and the hashes of all windows."""
-    place, value = anchors(h, size, anchor)
-    cuts = np.flatnonzero(np.diff(place, prepend=-1))
-    n = np.diff(cuts, append=len(place))
-    mine = np.isin(value[cuts].view(np.int64), indexed)
-    start, n = cuts[mine], n[mine]
-    windows = run_hashes(h, size)
-    # The first and the last window overlap, so their hashes and distance say all words.
-    return start, n, mix(mix(windows[start] * A + n.astype(np.uint64)) * A + windows[start + n - 1]), windows
-
-
-def indexed_factors(docs: DataFrame, size: int, anchor: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, start, n, factor, windows) of all factors whose anchors are in two documents at least."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    own = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-
-    def anchored(ids, texts):
-        found = [np.unique(anchors(word_hashes(t), size, anchor)[1]).view(np.int64) for t in texts]
-        n = [len(x) for x in found]
-        return {"anchor": np.concatenate(found) if found else [], "id": np.repeat(np.array(ids, object), n)}
-
-    every = materialize(arrow_map(own, ["id", "text"], anchored, f"anchor bigint, id {kind}"), "anchors")
-    shared = every.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter(F.col("low") != F.col("high")).select("anchor")
-    shared = materialize(shared, "shared")
-    parts = materialize(every.join(shared, "anchor", "left_semi").groupBy("id").agg(F.collect_set("anchor").alias("anchors")), "parts")
-    discard(every, shared)
-
-    def parse(ids, texts, known):
-        rows = []
-        for i, t, k in zip(ids, texts, known, strict=True):
-            start, n, whole, windows = factors(word_hashes(t), np.array(k, np.int64), size, anchor)
-            rows += [(i, s, m, w, windows[s : s + m].tobytes()) for s, m, w in zip(start.tolist(), n.tolist(), whole.view(np.int64).tolist(), strict=True)]
-        columns = list(zip(*rows, strict=True)) or [()] * 5
-        return dict(zip(("id", "start", "n", "factor", "windows"), columns, strict=True))
-
-    out = materialize(arrow_map(own.join(parts, "id"), ["id", "text", "anchors"], parse, f"id {kind}, start int, n int, factor bigint, windows binary"), "factors")
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    window = np.flatnonzero(np.arange(size, len(h) + 1) <= offsets[1:][row[: len(h) - size + 1]])
+    # The least of size - anchor + 1 neighbours, leftmost of equals, by comparing one shift after another.
+    least, place = g[window].copy(), window.copy()
+    for k in range(1, size - anchor + 1):
+        other = g[window + k]
+        better = other < least
+        least[better] = other[better]
+        place[better] = window[better] + k
+    cut = np.flatnonzero(np.diff(place, prepend=-1) | np.diff(row[window], prepend=-1))
+    ends = np.append(cut[1:], len(window)) - 1
+    return Anchored(row[window[cut]], place[cut], least[cut], window[cut], window[ends])
+
+
+def shared_anchors(own: DataFrame, size: int, anchor: int) -> DataFrame:
+    """(id, anchors): for each id the anchors (a, own) that another id has too, and whether this id is the least that has them."""
+    kind = own.schema["id"].dataType
+    arrow = to_arrow_type(kind)
+
+    def run(batches):
+        for b in batches:
+            for w in words_of(b.column(1)):
+                found = anchors(w.hashes[0], w.offsets, size, anchor)
+                order = np.lexsort((found.value, found.row))
+                row, value = found.row[order], found.value[order]
+                once = np.flatnonzero(np.diff(row, prepend=-1).astype(bool) | (value != np.roll(value, 1)))
+                yield pa.RecordBatch.from_arrays([pa.array(value[once].view(np.int64)), b.column(0).take(pa.array(row[once] + w.first)).cast(arrow)], ["anchor", "id"])
+
+    every = materialize(own.select("id", "text").mapInArrow(run, f"anchor bigint, id {kind.simpleString()}"), "anchors")
+    met = every.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter(F.col("low") != F.col("high")).select("anchor", "low")
+    met = materialize(met, "shared")
+    parts = every.join(met.hint("merge"), "anchor").select("id", F.struct(F.col("anchor").alias("a"), (F.col("low") == F.col("id")).alias("own")).alias("s"))
+    out = materialize(parts.groupBy("id").agg(F.collect_set("s").alias("anchors")), "parts")
+    discard(every, met)
+    return out
+
+
+def occurrences(own: DataFrame, parts: DataFrame, size: int, anchor: int) -> DataFrame:
+    """Every occurrence of a shared anchor: (id, mark, anchor, check, place, few, many, block, lead).
+
+    check is a second hash of the anchor; the windows that have it start few to many words before it; block holds the
+    hashes of the size - anchor words on either side, outward, 0 where the text ends; lead says that it is the id's
+    first occurrence and the id the least that has the anchor: its block is the index's.
+    """
+    kind = own.schema["id"].dataType
+    side = size - anchor
+
+    def run(batches):
+        for b in batches:
+            lists = b.column(3).combine_chunks() if isinstance(b.column(3), pa.ChunkedArray) else b.column(3)
+            bounds = lists.offsets.to_numpy()
+            values, leads = lists.values.field("a").to_numpy().view(np.uint64), lists.values.field("own").to_numpy(zero_copy_only=False)
+            for w in words_of(b.column(2), seeds=2):
+                h, offsets = w.hashes[0], w.offsets
+                found = anchors(h, offsets, size, anchor)
+                low, high = bounds[w.first], bounds[w.first + len(offsets) - 1]
+                of = np.repeat(np.arange(len(offsets) - 1, dtype=np.uint64), np.diff(bounds[w.first : w.first + len(offsets)]))
+                # A key for an anchor in a row; that two meet costs a row that nothing joins, and no more.
+                keys = values[low:high] ^ mix(of)
+                order = np.argsort(keys, kind="stable")
+                mine = found.value ^ mix(found.row.astype(np.uint64))
+                at = np.searchsorted(keys, mine, sorter=order)
+                hit = at < len(keys)
+                hit[hit] = keys[order[at[hit]]] == mine[hit]
+                k = np.flatnonzero(hit)
+                row, place = found.row[k], found.place[k]
+                lead = leads[low:high][order[at[k]]]
+                _, firsts = np.unique(mine[k], return_index=True)
+                once = np.zeros(len(k), bool)
+                once[firsts] = True
+                around = np.concatenate((place[:, None] - 1 - np.arange(side), place[:, None] + anchor + np.arange(side)), axis=1)
+                inside = (around >= offsets[row][:, None]) & (around < offsets[row + 1][:, None])
+                block = np.where(inside, h[np.clip(around, 0, max(0, len(h) - 1))], np.uint64(0)) if len(h) else np.zeros((0, 2 * side), np.uint64)
+                take = pa.array(row + w.first)
+                columns = [
+                    b.column(0).take(take), b.column(1).take(take), pa.array(found.value[k].view(np.int64)), pa.array(run_hashes(w.hashes[1], anchor)[place].view(np.int64) if len(k) else np.empty(0, np.int64)),
+                    pa.array((place - offsets[row]).astype(np.int32)), pa.array((place - found.last[k]).astype(np.int32)), pa.array((place - found.first[k]).astype(np.int32)),
+                    rows_as_bytes(block), pa.array(lead & once),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "mark", "anchor", "check", "place", "few", "many", "block", "lead"])
+
+    texts = own.select("id", "mark", "text").join(parts.hint("merge"), "id")
+    schema = f"id {kind.simpleString()}, mark bigint, anchor bigint, check bigint, place int, few int, many int, block binary, lead boolean"
+    return materialize(texts.select("id", "mark", "text", "anchors").mapInArrow(run, schema), "occurrences")
+
+
+def rows_as_bytes(rows: np.ndarray) -> pa.Array:
+    """Each row of 64-bit numbers as one binary value."""
+    edges = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(8 * rows.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def bytes_as_rows(column: pa.Array, width: int) -> np.ndarray:
+    own = pa.concat_arrays([column.cast(pa.large_binary())])
+    edges = np.frombuffer(own.buffers()[1], np.int64, len(own) + 1, own.offset * 8)
+    return np.frombuffer(own.buffers()[2], np.uint64, (edges[-1] - edges[0]) // 8, edges[0]).reshape(-1, width)
+
+
+def matched(mine: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """How many words from the anchor outward are equal, for each row of words; 0 stands for none."""
+    return np.cumprod((mine == other) & (mine != 0), axis=1).sum(axis=1)
+
+
+def matches(found: DataFrame, size: int, anchor: int) -> DataFrame:
+    """Longest matches with the index's blocks, and the windows at their ends that no match holds.
+
+    (id, mark, start, n, ref, ref_start): a match of n words at a smaller id; (id, mark, start, w1, w2): a window.
+    """
+    side = size - anchor
+    kind = dict(found.dtypes)["id"]
+    index = materialize(found.filter("lead").select("anchor", F.col("id").alias("ref"), F.col("mark").alias("ref_mark"), F.col("place").alias("ref_place"), F.col("check").alias("ref_check"), F.col("block").alias("ref_block")).dropDuplicates(["anchor"]), "index")
+
+    def run(batches):
+        for b in batches:
+            get = lambda c: b.column(c).to_numpy(zero_copy_only=False)  # noqa: E731, B023
+            block, other = (bytes_as_rows(b.column(c), 2 * side) for c in ("block", "ref_block"))
+            same = get("check") == get("ref_check")
+            left = np.where(same, matched(block[:, :side], other[:, :side]), -1)
+            right = np.where(same, matched(block[:, side:], other[:, side:]), -1)
+            earlier, place, few, many = get("earlier"), get("place"), get("few"), get("many")
+            whole = np.flatnonzero(same & earlier)
+            none = pa.nulls(len(whole), pa.int64())
+            start = place[whole] - left[whole]
+            length = anchor + left[whole] + right[whole]
+            take = pa.array(whole)
+            names = ["id", "mark", "start", "n", "ref", "ref_start", "w1", "w2"]
+            yield pa.RecordBatch.from_arrays([b.column("id").take(take), b.column("mark").take(take), pa.array(start.astype(np.int32)), pa.array(length.astype(np.int32)), b.column("ref").take(take), pa.array((get("ref_place")[whole] - left[whole]).astype(np.int32)), none, none], names)
+            for o in range(side + 1):
+                # Windows o words before the anchor that the block doesn't hold as well.
+                k = np.flatnonzero((few <= o) & (o <= many) & ((left < o) | (right < side - o)))
+                words = np.concatenate((block[k, :o], block[k, side : 2 * side - o]), axis=1)
+                w1 = get("anchor").view(np.uint64)[k] * A + np.uint64(o)
+                w2 = get("check").view(np.uint64)[k] * FACTOR + np.uint64(o)
+                for j in range(side):
+                    w1 = mix(w1) * A + words[:, j]
+                    w2 = mix(w2) * FACTOR + words[:, j]
+                take = pa.array(k)
+                none = pa.nulls(len(k), pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column("id").take(take), b.column("mark").take(take), pa.array((place[k] - o).astype(np.int32)), none, pa.nulls(len(k), b.schema.field("ref").type), none, pa.array(mix(w1).view(np.int64)), pa.array(mix(w2).view(np.int64))], names)
+
+    itself = (F.col("ref") == F.col("id")) & (F.col("ref_mark") == F.col("mark")) & (F.col("ref_place") == F.col("place"))
+    met = found.join(index.hint("merge"), "anchor").filter(~itself).withColumn("earlier", F.col("ref") < F.col("id"))
+    met = met.select("id", "mark", "anchor", "check", "place", "few", "many", "block", "ref", "ref_place", "ref_check", "ref_block", "earlier")
+    out = materialize(met.mapInArrow(run, f"id {kind}, mark bigint, start int, n int, ref {kind}, ref_start int, w1 bigint, w2 bigint"), "matches")
+    discard(index)
+    return out
+
+
+def duplicate_runs(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, mark, runs): for each document that has any, its matches (start, n, ref, ref_start) of size words or more and
+    its windows (ref null) that start in another earlier document. id and mark are as in common.row_key."""
+    own = docs.filter(F.col(id_col).isNotNull()).select(row_key(id_col, text_col).alias("k"), F.col(text_col).alias("text")).select("k.id", "k.mark", "text")
+    parts = shared_anchors(own, size, anchor)
+    found = occurrences(own, parts, size, anchor)
     discard(parts)
+    every = matches(found, size, anchor)
+    discard(found)
+    ends = every.filter(F.col("w1").isNotNull()).select("w1", "w2", "id", "mark", "start")
+    early = ends.groupBy("w1", "w2").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter(F.col("low") != F.col("high")).select("w1", "w2", "low")
+    early = materialize(early, "early")
+    late = ends.join(early.hint("merge"), ["w1", "w2"]).filter(F.col("low") < F.col("id"))
+    run = lambda n: F.struct("start", n.cast("int").alias("n"), "ref", "ref_start")
+    spans = every.filter(F.col("n") >= size).select("id", "mark", run(F.col("n")).alias("r"))
+    late = late.select("id", "mark", "start", F.lit(None).cast(dict(every.dtypes)["ref"]).alias("ref"), F.lit(None).cast("int").alias("ref_start")).select("id", "mark", run(F.lit(size)).alias("r"))
+    out = materialize(spans.union(late).groupBy("id", "mark").agg(F.collect_set("r").alias("runs")), "runs")
+    discard(every, early)
     return out
 
 
-def duplicate_windows(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, runs): for each document that has any, its runs (start, n) of windows that also start in an earlier document."""
-    parsed = indexed_factors(docs, size, anchor, id_col, text_col)
-    kind = dict(parsed.dtypes)["id"]
-    first = materialize(parsed.groupBy("factor").agg(F.min("id").alias("first")), "first")
-    met = materialize(parsed.join(first, "factor").drop("factor"), "met")
-    discard(parsed, first)
-    whole = met.filter(F.col("first") < F.col("id")).select("id", "start", "n")
-
-    def single(ids, starts, windows):
-        each = [np.frombuffer(w, np.int64) for w in windows]
-        n = [len(w) for w in each]
-        place = np.concatenate([np.arange(s, s + k, dtype=np.int32) for s, k in zip(starts, n, strict=True)]) if n else []
-        return {"id": np.repeat(np.array(ids, object), n), "start": place, "window": np.concatenate(each) if n else []}
-
-    edge = arrow_map(met.filter(F.col("first") == F.col("id")), ["id", "start", "windows"], single, f"id {kind}, start int, window bigint")
-    edge = materialize(edge, "windows")
-    early = edge.groupBy("window").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter(F.col("low") != F.col("high"))
-    early = materialize(early.select("window", "low"), "early")
-    late = edge.join(early, "window").filter(F.col("low") < F.col("id")).select("id", "start", F.lit(1).alias("n"))
-    out = materialize(whole.union(late).groupBy("id").agg(F.collect_set(F.struct("start", "n")).alias("runs")), "runs")
-    discard(met, edge, early)
+class Factor(NamedTuple):
+    start: int
+    n: int
+    ref: object
+    ref_start: int
+
+
+def merged(runs: list) -> list[Factor]:
+    """Matches with one reference at one distance that overlap or touch, as one each: nothing longer matches there."""
+    out: list[Factor] = []
+    by: dict[tuple, int] = {}
+    for start, n, ref, ref_start in sorted((r["start"], r["n"], r["ref"], r["ref_start"]) for r in runs if r["ref"] is not None):
+        key = ref, ref_start - start
+        k = by.get(key)
+        if k is not None and start <= out[k].start + out[k].n:
+            out[k] = out[k]._replace(n=max(out[k].n, start + n - out[k].start))
+        else:
+            by[key] = len(out)
+            out.append(Factor(start, n, ref, ref_start))
     return out
 
 
-def spans(runs: list, size: int) -> list[tuple[int, int]]:
-    """Word spans [from, to) that the windows of the runs cover, in order and apart."""
+def greedy_parse(runs: list) -> list[Factor]:
+    """The factors of a document from left to right: of the matches at a place the one that reaches farthest, from where the
+    factor before it ends; words between factors are literals."""
+    every, out, at, k = sorted(merged(runs), key=lambda f: f.start), [], 0, 0
+    best: Factor | None = None
+    while True:
+        while k < len(every) and every[k].start <= at:
+            if best is None or every[k].start + every[k].n > best.start + best.n:
+                best = every[k]
+            k += 1
+        if best is not None and best.start + best.n > at:
+            skip = at - best.start
+            out.append(Factor(at, best.n - skip, best.ref, best.ref_start + skip))
+            at += best.n - skip
+        elif k < len(every):
+            at = every[k].start
+        else:
+            return out
+
+
+def spans(runs: list, words: int) -> list[tuple[int, int]]:
+    """Word spans [from, to) that the runs cover, in order and apart."""
     out: list[tuple[int, int]] = []
-    for start, n in sorted(runs):
-        end = start + n - 1 + size
+    for start, n in sorted((r["start"], r["n"]) for r in runs):
+        end = min(start + n, words)
         if out and start <= out[-1][1]:
             out[-1] = out[-1][0], max(out[-1][1], end)
-        else:
+        elif start < end:
             out.append((start, end))
     return out
 
 
-def without(text: str, cut: list[tuple[int, int]]) -> str:
-    """text less the words of the spans, each with the white space behind it."""
-    data = text.encode("utf-8", "surrogatepass")
-    starts = [m.start() for m in WORD.finditer(data)] + [len(data)]
-    edges = [0, *(starts[x] for span in cut for x in span), len(data)]
-    return b"".join(data[a:b] for a, b in list(pairwise(edges))[::2]).decode("utf-8", "surrogatepass")
+def without(data: bytes, starts: np.ndarray, cut: list[tuple[int, int]]) -> str:
+    """data less the words of the spans, each with the white space behind it; starts are the places of all words."""
+    place = lambda word: int(starts[word]) if word < len(starts) else len(data)
+    kept, at = [], 0
+    for a, e in cut:
+        kept.append(data[at : place(a)])
+        at = place(e)
+    return b"".join([*kept, data[at:]]).decode("utf-8", "replace")
 
 
-def remove_repeats(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text", n_words: str | None = None, n_removed: str | None = None, factors: str | None = None) -> DataFrame:
     """docs, all columns, with text_col less all words covered by a window of size words that also starts in a document
-    with a smaller id; __n_words, __n_removed and __spans (word spans removed) come on top.
+    with a smaller id. n_words, n_removed and factors name columns for the number of words, of those removed, and for the
+    greedy parse (start, n, ref, ref_start, in words) relative to the documents with smaller ids.
 
     Windows are judged on the input. A null text stays null and has no words; a null id is neither cut nor a reference;
-    rows that repeat an id are one document, cut alike if their texts are equal; an empty table gives an empty one; a
-    text without duplicates comes back unchanged. Any length is parsed whole.
+    rows that repeat an id and its text are one document; rows that share an id alone are each cut for what they hold,
+    and none is a reference for the other; an empty table gives an empty one; a text without duplicates comes back
+    unchanged; columns of any name stay as they are. Any length is parsed whole.
     """
-    runs = duplicate_windows(docs, size, anchor, id_col, text_col).select(F.col("id").alias("__runs_id"), F.col("runs").alias("__runs"))
-    joined = docs.join(runs, F.col(id_col) == F.col("__runs_id"), "left").drop("__runs_id")
-    kinds = docs.schema
-    names = [f"`{f.name}` {f.dataType.simpleString()}" for f in kinds]
-
-    import pyarrow as pa
-
-    at = kinds.fieldNames().index(text_col)
-    width = len(kinds)
-    span = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
+    key, mark, runs = fresh(docs, "key", "mark", "runs")
+    found = duplicate_runs(docs, size, anchor, id_col, text_col).select(F.col("id").alias(key), F.col("mark").alias(mark), F.col("runs").alias(runs))
+    # Whole texts are joined by merging at every size: what they meet grows with them.
+    joined = docs.join(found.hint("merge"), (F.col(id_col) == F.col(key)) & (F.xxhash64(text_col) == F.col(mark)), "left").drop(key, mark)
+    fields = docs.schema.fields
+    at, width = docs.schema.fieldNames().index(text_col), len(fields)
+    names = [f"c{k}" for k in range(width)]
+    kinds = [f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(fields)]
+    kind = docs.schema[id_col].dataType
+    extra = [(n_words, "bigint"), (n_removed, "bigint"), (factors, f"array<struct<start:int,n:int,ref:{kind.simpleString()},ref_start:int>>")]
+    factor = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("ref", to_arrow_type(kind)), ("ref_start", pa.int32())]))
 
     def run(batches):
         for b in batches:
-            texts, n, gone, cuts = b.column(at).to_pylist(), [], [], []
-            for k, found in enumerate(b.column(width).to_pylist()):
-                words = len((texts[k] or "").encode("utf-8", "surrogatepass").split())
-                cut = [(a, min(e, words)) for a, e in spans([(r["start"], r["n"]) for r in found or ()], size) if a < words]
-                if cut:
-                    texts[k] = without(texts[k], cut)
-                n.append(words)
-                gone.append(sum(e - a for a, e in cut))
-                cuts.append([{"from": a, "to": e} for a, e in cut])
+            texts, found = b.column(at).to_pylist(), b.column(width).to_pylist()
+            n, gone, parsed = [], [], []
+            for w in words_of(b.column(at), seeds=0, spans=True):
+                for k, (first, end) in enumerate(zip(w.offsets[:-1].tolist(), w.offsets[1:].tolist(), strict=True), w.first):
+                    cut = spans(found[k], end - first) if found[k] else []
+                    if cut:
+                        texts[k] = without(texts[k].encode("utf-8", "replace"), w.start[first:end], cut)
+                    n.append(end - first)
+                    gone.append(sum(e - a for a, e in cut))
+                    parsed.append([f._asdict() for f in greedy_parse(found[k])] if factors and found[k] else [])
             columns = [pa.array(texts, b.schema.field(at).type) if j == at else b.column(j) for j in range(width)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(cuts, span)], [*kinds.fieldNames(), "__n_words", "__n_removed", "__spans"])
+            more = [pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(parsed, factor)]
+            yield pa.RecordBatch.from_arrays(columns + [m for m, (x, _) in zip(more, extra, strict=True) if x], names + [f"x{j}" for j, (x, _) in enumerate(extra) if x])
 
-    return joined.mapInArrow(run, ", ".join(names) + ", __n_words bigint, __n_removed bigint, __spans array<struct<from:int,to:int>>")
+    # Names that mapInArrow can't resolve are set again behind it.
+    out = joined.toDF(*names, "runs").mapInArrow(run, ", ".join(kinds + [f"x{j} {t}" for j, (x, t) in enumerate(extra) if x]))
+    return out.toDF(*docs.columns, *(x for x, _ in extra if x))
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, n_removed and the SHA-256 of the kept words joined by blanks, from the texts that remove_repeats leaves."""
-    left = remove_repeats(docs.select(id_col, text_col), id_col=id_col, text_col=text_col)
+    left = remove_repeats(docs.select(id_col, text_col), id_col=id_col, text_col=text_col, n_words="n_words", n_removed="n_removed")
     words = F.filter(F.split(F.coalesce(text_col, F.lit("")), f"{SPACE}+"), lambda x: x != "")
-    return left.select(id_col, F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.sha2(F.array_join(words, " ").cast("binary"), 256).alias("kept_sha256"))
+    return left.select(id_col, "n_words", "n_removed", F.sha2(F.array_join(words, " ").cast("binary"), 256).alias("kept_sha256"))

@@ -4,7 +4,9 @@ from collections import defaultdict
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 
+from folioscan.llm import hashing
 from folioscan.llm.components import components
 from folioscan.llm.minhash import SLACK, T, bitmap, hopeful, keep_one, near_duplicates, short_sketch, sketch
 from folioscan.llm.substrings import digests, remove_repeats
@@ -175,16 +177,87 @@ def test_repeats_equal_brute_force(spark):
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in digests(frame(spark, rows)).collect()}
     assert got == brute_repeats(rows)
     docs = frame(spark, rows[:60] + rows[:3] + [(None, rows[0][1]), (None, None)])
-    out = remove_repeats(docs).collect()
+    out = remove_repeats(docs, n_removed="gone").collect()
     assert len(out) == 65
     assert digests(docs.limit(0)).collect() == []
     texts = dict(rows)
     for r in out:
-        row = r.asDict()
-        if not row["__n_removed"] and r.doc_id is not None:
+        if not r.gone and r.doc_id is not None:
             assert r.text == texts[r.doc_id]
         if r.doc_id is None:
-            assert row["__n_removed"] == 0
+            assert r.gone == 0
+    small = remove_repeats(docs, size=4, anchor=2, n_removed="gone")
+    assert {r.doc_id: r.gone for r in small.collect() if r.doc_id is not None} == {i: v[1] for i, v in brute_repeats(rows[:60], 4).items()}
+
+
+def brute_parse(words, earlier, least=13):
+    out, at = [], 0
+    while at < len(words):
+        n = 0
+        for w in earlier:
+            for s in range(len(w)):
+                k = 0
+                while at + k < len(words) and s + k < len(w) and w[s + k] == words[at + k]:
+                    k += 1
+                n = max(n, k)
+        if n >= least:
+            out.append((at, n))
+        at += n if n >= least else 1
+    return out
+
+
+def test_factors_equal_a_greedy_parse(spark):
+    rng = random.Random(4)
+    count = iter(range(10**6))
+    new = lambda n: [f"w{next(count)}" for _ in range(n)]
+    words = [new(rng.randint(40, 90)) for _ in range(12)]
+    for _ in range(30):
+        w = new(3)
+        for _ in range(rng.randint(0, 4)):
+            one = rng.choice(words[:12])
+            a = rng.randrange(len(one) - 13)
+            w += one[a : a + rng.randint(8, 60)] + new(rng.randint(1, 5))
+        words.append(w)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "doc_id long, text string").repartition(6)
+    got = {r.doc_id: r.f for r in remove_repeats(docs, factors="f").collect()}
+    for i, w in enumerate(words):
+        assert [(f.start, f.n) for f in got[i]] == brute_parse(w, words[:i])
+        assert all(words[f.ref][f.ref_start : f.ref_start + f.n] == w[f.start : f.start + f.n] for f in got[i])
+
+
+def test_rows_that_share_an_id_are_cut_for_their_own_words(spark):
+    words = lambda c, n: " ".join(f"{c}{k}" for k in range(n))
+    rows = [(1, words("a", 40)), (5, words("b", 30)), (5, words("c", 5) + " " + words("a", 20)), (7, words("b", 30) + " x")]
+    got = {(r.doc_id, r.text.strip()) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {rows[0], rows[1], (5, words("c", 5)), (7, "x")}
+
+
+def test_repeats_leave_columns_of_any_name(spark):
+    text = " ".join(map(str, range(20)))
+    rows = [(1, text, "a", 3, "k"), (2, f"y {text} z", "b", 4, "l")]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "__runs", "__KEY", "a`b.c"])
+    got = remove_repeats(df)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect())) == [rows[0], (2, "y z", "b", 4, "l")]
+
+
+def test_words_of_columns_equal_words_of_texts(monkeypatch):
+    rng = random.Random(1)
+    texts = ["".join(rng.choices("abcAé \n\t\x0b漢", k=rng.randint(0, 60))) for _ in range(800)] + [None, "", " ", "x" * 500 + " yy " + "z" * 64 + " " + "q" * 65, "ab " * 200]
+    for chunk in (64, 1 << 12):
+        monkeypatch.setattr(hashing, "CHUNK", chunk)
+        monkeypatch.setattr(hashing, "_polynomials", [])
+        for lower in (False, True):
+            seen, met = {}, 0
+            for w in hashing.words_of(pa.array(texts, pa.string()), lower, 2, True):
+                for k in range(len(w.offsets) - 1):
+                    data = (texts[w.first + k] or "").encode()
+                    own = range(w.offsets[k], w.offsets[k + 1])
+                    said = (data.lower() if lower else data).split()
+                    assert [data[w.start[i] : w.end[i]].lower() for i in own] == [x.lower() for x in said]
+                    for x, i in zip(said, own, strict=True):
+                        assert seen.setdefault(x, (w.hashes[0][i], w.hashes[1][i])) == (w.hashes[0][i], w.hashes[1][i])
+                    met += 1
+            assert met == len(texts) and all(len({v[s] for v in seen.values()}) == len(seen) for s in (0, 1))
 
 
 def test_queries_on_a_table(spark):
