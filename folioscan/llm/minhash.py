@@ -7,25 +7,32 @@ bounds. BANDS bands of ROWS coordinates make candidates: a pair of similarity 0.
 (1 - 0.75**6)**64 < 4e-6.
 
 Documents of one shingle set are one class from the start. In a bucket all members are tied to the least one by
-verified links; members that such links leave outside are then held against all members of other components whose
-bitmaps don't rule a link out, which never loses one. So no group of copies is expanded into its pairs.
+verified links. Where that leaves a bucket with several components, its members are dealt out at random into small
+hands, again and again while that joins components, each round making fewer pairs than members. What is left then is
+settled exactly: sets of open buckets that are in different components meet where a prefix of their rarest shingles
+does, and bitmaps rule out what can't be linked. So no group of copies is expanded into its pairs, and no link of a
+bucket is lost.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, discard, materialize
+from .common import arrow_map, discard, fresh, materialize
 from .components import components
-from .hashing import A, mix, shingle_set, word_hashes
+from .hashing import A, mix, shingle_set, words_of
 
-BANDS, ROWS, SLACK = 64, 6, 0.10
+BANDS, ROWS = 64, 6
 T = BANDS * ROWS
+#: Members of a hand, and rounds of dealing at most; what they leave is settled exactly.
+HAND, TURNS = 4, 6
 #: Bits of a set's bitmap.
 BITS = 1024
 LOW = np.uint64(0xFFFFFFFF)
@@ -60,12 +67,6 @@ def band_keys(coordinates: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def short_sketch(rows: np.ndarray) -> np.ndarray:
-    """Two bits of each coordinate, 32 coordinates to a 64-bit word. An estimate; no pair is ruled out by it."""
-    bits = (rows & np.uint64(3)).reshape(-1, 32)
-    return (bits << (2 * np.arange(32, dtype=np.uint64))).sum(axis=1, dtype=np.uint64).view(np.int64)
-
-
 def bitmap(s: np.ndarray) -> np.ndarray:
     """Bit j of BITS is the parity of the number of members that fall into class j of as many, by their top bits."""
     odd = np.bincount((s >> np.uint64(32)).astype(np.int64) * BITS >> 32, minlength=BITS) & 1
@@ -89,47 +90,56 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def sketched(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles, a 128-bit hash of the set, its band keys and its bitmap."""
-
-    def batch(ids, texts):
-        n, one, two, keys, bits = [], [], [], [], []
-        for i, t in zip(ids, texts, strict=True):
-            s = shingle_set(word_hashes(t, True), size)
-            n.append(len(s))
-            whole = xxhash.xxh3_128_intdigest(s.tobytes())
-            one.append((whole >> 64) - (1 << 63))
-            two.append((whole & (1 << 64) - 1) - (1 << 63))
-            own = sketch(s) if len(s) and i is not None else None
-            keys.append(None if own is None else band_keys(own))
-            bits.append(None if own is None else bitmap(s))
-        return {"id": ids, "n_shingles": n, "set1": one, "set2": two, "bands": keys, "bits": bits}
+    """Per row: id, mark, n_shingles, a 128-bit hash of the set, its band keys and its bitmap."""
+
+    def run(batches):
+        for b in batches:
+            live = b.column(0).is_valid().to_numpy(zero_copy_only=False)
+            for w in words_of(b.column(2), True):
+                n, one, two, keys, bits = [], [], [], [], []
+                for k, (first, end) in enumerate(pairwise(w.offsets.tolist()), w.first):
+                    s = shingle_set(w.hashes[0][first:end], size)
+                    n.append(len(s))
+                    whole = xxhash.xxh3_128_intdigest(s.tobytes())
+                    one.append((whole >> 64) - (1 << 63))
+                    two.append((whole & (1 << 64) - 1) - (1 << 63))
+                    fine = len(s) and live[k]
+                    keys.append(band_keys(sketch(s)) if fine else None)
+                    bits.append(bitmap(s) if fine else None)
+                rows = b.slice(w.first, len(n))
+                numbers = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *(pa.array(x, pa.int64()) for x in (n, one, two)), pa.array(keys, numbers), pa.array(bits, numbers)], ["id", "mark", "n_shingles", "set1", "set2", "bands", "bits"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return arrow_map(docs, [id_col, text_col], batch, f"id {kind}, n_shingles bigint, set1 bigint, set2 bigint, bands array<bigint>, bits array<bigint>")
+    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    return own.mapInArrow(run, f"id {kind}, mark bigint, n_shingles bigint, set1 bigint, set2 bigint, bands array<bigint>, bits array<bigint>")
 
 
-def whole_sets(docs: DataFrame, ids: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, s) with the full set of each document in ids (column id)."""
+def whole_sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, s) with the full set of each document in wanted (id, mark, node)."""
 
-    def batch(keys, texts):
-        return {"id": keys, "s": [shingle_set(word_hashes(t, True), size).tobytes() for t in texts]}
+    def run(batches):
+        for b in batches:
+            for w in words_of(b.column(1), True):
+                sets = [shingle_set(w.hashes[0][first:end], size).tobytes() for first, end in pairwise(w.offsets.tolist())]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(w.first, len(sets)), pa.array(sets, pa.binary())], ["node", "s"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    wanted = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
-    return materialize(arrow_map(wanted, ["id", "text"], batch, f"id {kind}, s binary"), "sets")
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    # Whole texts are joined by merging at every size: what they meet grows with them.
+    own = texts.join(wanted.hint("merge"), ["id", "mark"]).select("node", "text")
+    return materialize(own.mapInArrow(run, "node bigint, s binary").dropDuplicates(["node"]), "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    kind = dict(pairs.dtypes)["a"]
-    one = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
-    both = one.join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    """The pairs (a, b) of nodes whose full sets are similar enough."""
+    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")).hint("merge"), "a")
+    both = one.join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")).hint("merge"), "b")
 
     def batch(a, b, x, y):
         fine = [similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent) for p, q in zip(x, y, strict=True)]
         return {"a": [v for v, f in zip(a, fine, strict=True) if f], "b": [v for v, f in zip(b, fine, strict=True) if f]}
 
-    return materialize(arrow_map(both, ["a", "b", "x", "y"], batch, f"a {kind}, b {kind}"), "links")
+    return materialize(arrow_map(both, ["a", "b", "x", "y"], batch, "a bigint, b bigint"), "links")
 
 
 def apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
@@ -139,57 +149,149 @@ def apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").filter(of("a") != of("b")).select("a", "b")
 
 
-def links_of(members: DataFrame, bitmaps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, component) from bucket members (key, id, n, leader) and bitmaps (id, bits)."""
-    tied = materialize(members.filter(F.col("id") != F.col("leader")).select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), "tied")
-    first = tied.groupBy("a").agg(F.min("b").alias("b"))
-    links = verified(first, sets, percent)
-    label = materialize(components(links), "labels")
-    links = materialize(links.union(verified(apart(tied, label), sets, percent)), "links")
-    label = materialize(components(links), "labels")
-    at = label.select(F.col("node"), F.col("component"))
-    known = members.join(at.withColumnRenamed("node", "id").withColumnRenamed("component", "c"), "id", "left")
-    known = known.join(at.withColumnRenamed("node", "leader").withColumnRenamed("component", "d"), "leader", "left")
-    known = materialize(known.select("key", "id", "n", F.coalesce("c", "id").alias("c"), F.coalesce("d", "leader").alias("d")), "known")
-    odd = known.filter(F.col("c") != F.col("d"))
-    # Only buckets with an outsider go on, and only their rows get their bitmaps.
-    known = known.join(materialize(odd.select("key").distinct(), "odd"), "key", "left_semi").join(bitmaps, "id")
-    outside = materialize(odd.join(bitmaps, "id").select(F.col("key").alias("at"), F.col("id").alias("out"), F.col("n").alias("m"), F.col("bits").alias("others"), F.col("c").alias("e")), "outside")
-    fit = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.col("c") != F.col("e"))
-    fit = fit & hopeful(F.col("bits"), F.col("others"), F.col("n"), F.col("m"), percent)
-    more = known.join(outside, F.col("key") == F.col("at")).filter(fit).select(F.greatest("id", "out").alias("a"), F.least("id", "out").alias("b")).distinct()
-    more = materialize(more.join(tied, ["a", "b"], "left_anti"), "others")
-    return components(links.union(verified(more, sets, percent)))
+class Links:
+    """Verified links and the components that they make so far; both are stored tables, replaced as links are added."""
 
+    def __init__(self, sets: DataFrame, percent: int):
+        self.sets, self.percent = sets, percent
+        spark = sets.sparkSession
+        self.links = materialize(spark.createDataFrame([], "a bigint, b bigint"), "links")
+        self.label = materialize(spark.createDataFrame([], "node bigint, component bigint"), "labels")
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_shingles, component_id (least id reachable over links) and kept (id = component_id).
+    def add(self, pairs: DataFrame) -> None:
+        """Verify pairs, a stored table that is used up, and bring components up to date."""
+        old = self.links, self.label
+        fine = verified(pairs, self.sets, self.percent)
+        # Links within old components are done with: each old component stands for them as one star.
+        self.links = materialize(fine.union(self.label.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))), "links")
+        self.label = materialize(components(self.links), "labels")
+        discard(pairs, fine, *old)
 
-    Two documents are linked if 100 * shared shingles >= percent * all their shingles. Texts without words, null or
-    empty, are linked with nothing; a null id is linked with nothing, has no component and is kept; repeated rows of
-    one id are one document; an empty table gives an empty one; extra columns aren't read. Any length is taken whole.
+    def of(self, members: DataFrame) -> DataFrame:
+        """members (node, ...) with the component c of each."""
+        return members.join(self.label, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+
+
+def open_buckets(members: DataFrame, links: Links) -> DataFrame:
+    """The members of buckets whose members aren't all in one component; with c and the size of the bucket."""
+    known = materialize(links.of(members.select("key", "node", "n")), "known")
+    mixed = known.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("size")).filter("low <> high").select("key", "size")
+    out = materialize(known.join(materialize(mixed, "mixed").hint("merge"), "key"), "open")
+    discard(known)
+    return out
+
+
+def cross_pairs(known: DataFrame) -> int:
+    """How many pairs of a bucket are in different components, summed over buckets."""
+    per = known.groupBy("key", "c").agg(F.count(F.lit(1)).cast("double").alias("m")).groupBy("key").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("x"))
+    return int((per.agg(F.sum("x")).first()[0] or 0) / 2)
+
+
+def dealt(known: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components: the members of a bucket are dealt out into hands of about HAND at random, and
+    each is paired with the least of its hand. That makes fewer pairs than members, whatever the size of a bucket."""
+    hands = known.withColumn("hand", F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("size") / HAND)))
+    least = hands.groupBy("key", "hand").agg(F.min("node").alias("b")).join(known.select(F.col("key").alias("k"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("c").alias("e")), ["b"]).filter(F.col("key") == F.col("k")).drop("k")
+    fit = (F.col("c") != F.col("e")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
+    return hands.join(materialize(least, "hands").hint("merge"), ["key", "hand"]).filter(fit).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
+
+
+def rest_pairs(known: DataFrame, bitmaps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Every pair (a, b) of different components in known that may be linked, by the prefix filter: exact.
+
+    With the shingles of all sets in one order, rare ones first, two sets of n and m shingles that are linked share one
+    among the first n - ceil(t n) + 1 and m - ceil(t m) + 1, and from the first that they share on, both have enough
+    shingles left. So copies of a template that differ too much to be linked don't meet at the template's shingles.
     """
+    nodes = materialize(known.select("node", "n", "c").distinct(), "nodes")
+
+    def spread(node, s):
+        each = [np.frombuffer(x, np.int64) for x in s]
+        return {"node": np.repeat(np.array(node, np.int64), [len(x) for x in each]), "shingle": np.concatenate(each) if each else []}
+
+    own = sets.join(nodes.select("node").hint("merge"), "node", "left_semi")
+    flat = materialize(arrow_map(own, ["node", "s"], spread, "node bigint, shingle bigint"), "shingles")
+    often = materialize(flat.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")), "often")
+    ranked = flat.join(often.hint("merge"), "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("s"))
+    keep = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
+    heads = ranked.join(nodes.hint("merge"), "node").select("node", "n", "c", F.posexplode(F.slice("s", 1, keep.cast("int"))).alias("at", "x"))
+    # A shingle of one document alone meets nothing.
+    heads = materialize(heads.filter("x.often > 1").select("node", "n", "c", "at", F.col("x.shingle").alias("shingle")), "heads")
+    discard(flat, often, nodes)
+    other = heads.select("shingle", F.col("node").alias("b"), F.col("n").alias("m"), F.col("c").alias("e"), F.col("at").alias("to"))
+    need = F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent))
+    fit = (F.col("node") > F.col("b")) & (F.col("c") != F.col("e")) & (F.least(F.col("n") - F.col("at"), F.col("m") - F.col("to")) >= need)
+    pairs = materialize(heads.join(other.hint("merge"), "shingle").filter(fit).select(F.col("node").alias("a"), "b").distinct(), "pairs")
+    discard(heads)
+    end = lambda c, x, k: bitmaps.select(F.col("node").alias(c), F.col("bits").alias(x), F.col("n").alias(k))
+    both = pairs.join(end("a", "x", "n"), "a").join(end("b", "y", "m"), "b")
+    out = materialize(both.filter(hopeful(F.col("x"), F.col("y"), F.col("n"), F.col("m"), percent)).select("a", "b"), "rest")
+    discard(pairs)
+    return out
+
+
+def linked(members: DataFrame, bitmaps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """A stored table (node, component) from bucket members (key, node, n, leader) and bitmaps (node, n, bits)."""
+    tied = materialize(members.filter(F.col("node") != F.col("leader")).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "tied")
+    links = Links(sets, percent)
+    links.add(materialize(tied.groupBy("a").agg(F.min("b").alias("b")), "first"))
+    links.add(materialize(apart(tied, links.label), "others"))
+    discard(tied)
+    known = open_buckets(members, links)
+    turn, left = 0, cross_pairs(known)
+    while left > known.count() * HAND and turn < TURNS:
+        links.add(materialize(dealt(known, turn, percent), "dealt"))
+        discard(known)
+        known = open_buckets(members, links)
+        turn, before, left = turn + 1, left, cross_pairs(known)
+        if left > before * 0.8:
+            break
+    if left:
+        links.add(rest_pairs(known, bitmaps, sets, percent))
+    discard(known, links.links)
+    return links.label
+
+
+def judged(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Per row: id, mark, n_shingles, component_id and kept."""
     own = materialize(sketched(docs, size, id_col, text_col), "sketches")
     alive = own.filter(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = materialize(alive.groupBy("set1", "set2").agg(F.min("id").alias("rep")), "classes")
-    reps = alive.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", F.col("n_shingles").alias("n"), "bands", "bits")
-    reps = materialize(reps.dropDuplicates(["id"]), "reps")
-    bands = reps.select(F.explode("bands").alias("key"), "id", "n")
-    buckets = bands.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("other")).filter(F.col("leader") != F.col("other")).select("key", "leader")
+    same = ["set1", "set2"]
+    # Nodes are classes of rows with one set, numbered: rows may share an id and differ in their sets.
+    classes = materialize(alive.groupBy(*same).agg(F.min("id").alias("rep")).withColumn("node", F.monotonically_increasing_id()), "classes")
+    reps = alive.join(classes.hint("merge"), same).filter(F.col("id") == F.col("rep")).dropDuplicates(["node"]).select("node", "id", "mark", F.col("n_shingles").alias("n"), "bands", "bits")
+    reps = materialize(reps, "reps")
+    bands = reps.select(F.explode("bands").alias("key"), "node", "n")
+    buckets = bands.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other")).filter(F.col("leader") != F.col("other")).select("key", "leader")
     buckets = materialize(buckets, "buckets")
-    members = materialize(bands.join(buckets, "key"), "members")
+    members = materialize(bands.join(buckets.hint("merge"), "key"), "members")
     discard(buckets)
-    sets = whole_sets(docs, members.select("id").distinct(), size, id_col, text_col).dropDuplicates(["id"])
-    label = materialize(links_of(members, reps.select("id", "bits"), sets, percent), "labels")
-    named = classes.join(label, F.col("rep") == F.col("node"), "left").select("set1", "set2", F.coalesce("component", "rep").alias("found"))
-    named = materialize(named, "named")
-    discard(classes, reps, members, label)
-    same = (own.set1 == named.set1) & (own.set2 == named.set2) & own.id.isNotNull() & (own.n_shingles > 0)
-    out = own.join(named, same, "left").select(own.id.alias(id_col), "n_shingles", F.coalesce("found", own.id).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    wanted = materialize(reps.select("node", "id", "mark").join(members.select("node").distinct(), "node", "left_semi"), "wanted")
+    sets = whole_sets(docs, wanted, size, id_col, text_col)
+    label = linked(members, reps.select("node", "n", "bits"), sets, percent)
+    discard(members, wanted, sets, reps)
+    of = classes.join(label, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    least = materialize(of.groupBy("c").agg(F.min("rep").alias("found")), "least")
+    named = materialize(of.join(least, "c").select("set1", "set2", "found"), "named")
+    discard(classes, label, least)
+    met = (own.set1 == named.set1) & (own.set2 == named.set2) & own.id.isNotNull() & (own.n_shingles > 0)
+    out = own.join(named.hint("merge"), met, "left").select("id", "mark", "n_shingles", F.coalesce("found", "id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, n_shingles, component_id (least id reachable over links) and kept (id = component_id).
+
+    Two documents are linked if 100 * shared shingles >= percent * all their shingles. Texts without words, null or
+    empty, are linked with nothing; a null id is linked with nothing, has no component and is kept; rows that share an
+    id are judged each by its own text, and component_id is the least id of all rows reachable; an empty table gives an
+    empty one; extra columns aren't read. Any length is taken whole.
+    """
+    return judged(docs, size, percent, id_col, text_col).select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, less those whose component has a smaller id."""
-    gone = near_duplicates(docs, size, percent, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("__near_id")).distinct()
-    return docs.join(materialize(gone, "gone"), F.col(id_col) == F.col("__near_id"), "left_anti")
+    """The rows of docs, all columns of any names, less those whose component has a smaller id; cases as in near_duplicates."""
+    key, mark = fresh(docs, "key", "mark")
+    gone = judged(docs, size, percent, id_col, text_col).filter(~F.col("kept")).select(F.col("id").alias(key), F.col("mark").alias(mark)).distinct()
+    return docs.join(materialize(gone, "gone").hint("merge"), (F.col(id_col) == F.col(key)) & (F.xxhash64(text_col) == F.col(mark)), "left_anti")
