@@ -1,10 +1,15 @@
 """Packing tokenized documents into sequences by a configuration linear program.
 
-Rows of the program are piece lengths with their counts, columns are configurations: multisets of lengths that fit
-into one sequence. Multiplicative weights price the lengths, a knapsack dynamic program finds the configuration worth
-most at those prices, and its level is rounded down to whole sequences at once, so that the lengths still open shrink
-with every step. The plan depends on the length histogram alone, which has as many entries as a sequence has tokens
-at most; the pieces themselves stay where they are and look up their places by length and rank.
+Rows of the program are piece lengths with their counts, columns are configurations: multisets of lengths that fit into
+one sequence. A covering program is solved: as few sequences, fractional ones too, as cover every count. Multiplicative
+weights price the lengths, each by exp(-eta * covered share); a knapsack dynamic program finds the configuration worth
+most at those prices, which is used until its scarcest length is covered. Most pricings look at the lengths that lag and
+at random ones; every FULL rounds one looks at all lengths, and its value makes the prices a feasible dual solution, and
+so a lower bound for any packing. The fractional levels are then rounded down, and what that leaves, less than a sequence
+for each configuration, is solved again in whole steps.
+
+The plan depends on the length histogram alone, which has as many entries as a sequence has tokens at most; the pieces
+themselves stay where they are and look up their places by length and rank.
 """
 
 from __future__ import annotations
@@ -12,6 +17,7 @@ from __future__ import annotations
 import os
 import zlib
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import BoundedCache, materialize
 
-#: Lengths that one pricing looks at: the longest, those that lag most, and some spread over all lengths.
-LONGEST, LAGGING, SPREAD = 4, 24, 56
+#: Lengths that most pricings look at: the longest open, those that lag most, and random ones; and rounds from one pricing over all lengths to the next.
+LONGEST, LAGGING, SPREAD, FULL = 4, 24, 56, 50
 
 
 class WordTokens:
@@ -85,34 +91,73 @@ def configuration(lengths: np.ndarray, left: np.ndarray, prices: np.ndarray, cap
     return used
 
 
-def configurations(histogram: dict[int, int], capacity: int, eta: float = 1.0) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(sequences, [(length, pieces a sequence), ...]) that together use every piece of the histogram exactly once.
+def most_valuable(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> float:
+    """The price of the best configuration of any of the lengths, which ascend, each used any number of times."""
+    best = np.zeros(capacity + 1)
+    upto = np.searchsorted(lengths, np.arange(capacity + 1), "right")
+    for c in range(1, capacity + 1):
+        k = upto[c]
+        best[c] = max(best[c - 1], float((best[c - lengths[:k]] + prices[:k]).max())) if k else best[c - 1]
+    return float(best[capacity])
+
+
+def covering(lengths: np.ndarray, demand: np.ndarray, capacity: int, whole: bool, eta: float = 1.0) -> tuple[dict[tuple, float], float]:
+    """Levels of configurations that cover the demand of the lengths, which ascend, and a lower bound on their sum.
 
-    The weight of a length is exp(-eta * covered share), the multiplicative update of a covering program; its price is
-    length times weight. Each round prices the lengths that lag most, the longest ones open and some spread over all,
-    and uses the configuration for half of what its scarcest length has left, once at least. The number of rounds, and with it the
-    size of the plan, is at most capacity * log2(largest count).
+    Each round covers a length, in whole steps at least one piece, so there are no more rounds than lengths, and in
+    whole steps no more than that times the logarithm of the largest demand.
     """
-    lengths = np.array(sorted((k for k in histogram if k > 0), reverse=True), np.int64)
-    total = np.array([histogram[k] for k in lengths.tolist()], np.int64)
-    left, plan = total.copy(), []
-    shortest = lengths[-1] if len(lengths) else 0
-    for k in np.flatnonzero(lengths + shortest > capacity).tolist():
-        if lengths[k] * 2 > capacity:
-            plan.append((int(left[k]), [(int(lengths[k]), 1)]))
-            left[k] = 0
+    rng, left, levels = np.random.default_rng(0), demand.astype(np.float64), {}
+    bound, rounds = float((lengths * demand).sum()) / capacity, 0
     while len(live := np.flatnonzero(left)):
-        weight = np.exp(-eta * (1 - left[live] / total[live]))
-        lag = np.argsort(-weight, kind="stable")[:LAGGING]
-        spread = np.linspace(0, len(live) - 1, min(SPREAD, len(live))).astype(np.int64)
-        chosen = live[np.unique(np.concatenate((lag, spread, np.arange(min(LONGEST, len(live))))))]
-        some = np.exp(-eta * (1 - left[chosen] / total[chosen]))
-        used = configuration(lengths[chosen], left[chosen], lengths[chosen] * some, capacity)
+        if not whole and rounds % FULL == 0:
+            price = lengths * np.exp(-eta * (1 - left / demand))
+            bound = max(bound, float((demand * price).sum()) / most_valuable(lengths, price, capacity))
+        share = left[live] / demand[live]
+        lag = np.argpartition(-share, min(LAGGING, len(live)) - 1)[:LAGGING]
+        some = rng.integers(0, len(live), SPREAD)
+        chosen = live[np.unique(np.concatenate((lag, some, np.arange(max(0, len(live) - LONGEST), len(live)))))]
+        price = lengths[chosen] * np.exp(-eta * (1 - left[chosen] / demand[chosen]))
+        used = configuration(lengths[chosen], np.ceil(left[chosen]).astype(np.int64), price, capacity)
         at = np.flatnonzero(used)
-        times = max(1, int((left[chosen[at]] // used[at]).min()) // 2)
-        left[chosen[at]] -= times * used[at]
-        plan.append((times, [(int(lengths[chosen[k]]), int(used[k])) for k in at]))
-    return plan
+        own, n = chosen[at], used[at]
+        level = float((left[own] / n).min())
+        level = max(1.0, np.floor(level)) if whole else level
+        left[own] -= level * n
+        left[own[left[own] < 1e-6]] = 0
+        content = tuple(zip(lengths[own].tolist(), n.tolist(), strict=True))
+        levels[content] = levels.get(content, 0) + level
+        rounds += 1
+    return levels, bound
+
+
+class Program(NamedTuple):
+    """plan: (sequences, [(length, pieces a sequence), ...]) that together use every piece exactly once; the sum of the
+    fractional levels; and a lower bound on the sequences of any packing."""
+
+    plan: list[tuple[int, list[tuple[int, int]]]]
+    fractional: float
+    bound: float
+
+
+def program(histogram: dict[int, int], capacity: int) -> Program:
+    """The covering program solved and rounded. Lengths that nothing fits beside are sequences of their own and left out of it."""
+    lengths = np.array(sorted(k for k in histogram if k > 0), np.int64)
+    demand = np.array([histogram[k] for k in lengths.tolist()], np.int64)
+    alone = lengths + (lengths[0] if len(lengths) else 0) > capacity
+    plan = [(int(n), [(int(k), 1)]) for k, n in zip(lengths[alone].tolist(), demand[alone].tolist(), strict=True)]
+    single = sum(n for n, _ in plan)
+    left = dict(zip(lengths[~alone].tolist(), demand[~alone].tolist(), strict=True))
+    levels, bound = covering(lengths[~alone], demand[~alone], capacity, False)
+    for content, level in sorted(levels.items(), key=lambda x: -x[1]):
+        if n := min([int(level + 1e-6), *(left[k] // m for k, m in content)]):
+            plan.append((n, list(content)))
+            for k, m in content:
+                left[k] -= n * m
+    rest = np.array([k for k, n in left.items() if n], np.int64)
+    again, _ = covering(rest, np.array([left[k] for k in rest.tolist()], np.int64), capacity, True)
+    plan += [(int(n), list(content)) for content, n in again.items()]
+    return Program(plan, single + sum(levels.values()), single + bound)
 
 
 class Places:
@@ -180,10 +225,11 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
     pieces = materialize(token_pieces(docs, tokenizer_path, capacity, end_id, with_ids, id_col, text_col), "pieces")
     counts = materialize(pieces.groupBy("length", "pid").agg(F.count(F.lit(1)).alias("n")), "lengths")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    places = pieces.sparkSession.sparkContext.broadcast(Places(configurations(histogram, capacity)))
+    places = pieces.sparkSession.sparkContext.broadcast(Places(program(histogram, capacity).plan))
     before = Window.partitionBy("length").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "pid", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = pieces.join(bases, ["length", "pid"]).withColumn("rank", F.col("rank") + F.col("base")).drop("base", "pid")
+    # A row for each length and partition: no table to broadcast.
+    ranked = pieces.join(bases.hint("merge"), ["length", "pid"]).withColumn("rank", F.col("rank") + F.col("base")).drop("base", "pid")
     own = ["id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     kinds = dict(pieces.dtypes)
 

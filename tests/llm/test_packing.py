@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers as P
 from tokenizers import Tokenizer
 
-from folioscan.llm.packing import Places, WordTokens, configurations, pack
+from folioscan.llm.packing import Places, WordTokens, configuration, most_valuable, pack, program
 
 WORDS = P.path("word_bpe_49k.json")
 
@@ -24,17 +24,35 @@ def test_plan_uses_each_piece_once_and_is_near_the_bound():
     rng = random.Random(1)
     for sizes in ([min(4096, int(rng.lognormvariate(6, 1)) + 1) for _ in range(20000)], [1400] * 1000, [4096] * 7 + [2049] * 9, [1] * 5000, [3000, 1000, 96] * 50, []):
         h = Counter(sizes)
-        plan = configurations(h, 4096)
+        plan, fractional, bound = program(h, 4096)
         used = Counter()
         for times, content in plan:
             assert sum(n * size for size, n in content) <= 4096
             for size, n in content:
                 used[size] += times * n
         assert used == h
-        bound = -(-sum(sizes) // 4096)
+        sequences = Places(plan).sequences
+        assert sum(sizes) / 4096 <= bound + 1e-6 and bound <= fractional + 1e-6 and bound <= sequences + 1e-6
+        assert sequences <= fractional + len(plan)
         if len(h) > 100:
-            assert Places(plan).sequences <= bound * 1.003 + 2
-    assert Places(configurations(Counter([1400] * 1000), 4096)).sequences == 500
+            assert sequences <= bound * 1.003 + 2
+    exact = program(Counter([1400] * 1000), 4096)
+    assert Places(exact.plan).sequences == 500 and abs(exact.bound - 500) < 1e-6 and abs(exact.fractional - 500) < 1e-6
+
+
+def test_pricing_equals_enumeration():
+    rng = random.Random(2)
+
+    def best(items, room):
+        return max([0.0, *(p + best(items, room - s) for s, p in items if s <= room)])
+
+    for _ in range(30):
+        sizes = sorted(rng.sample(range(2, 14), rng.randint(1, 5)))
+        prices = [rng.random() * s for s in sizes]
+        items = list(zip(sizes, prices, strict=True))
+        assert abs(most_valuable(np.array(sizes), np.array(prices), 20) - best(items, 20)) < 1e-9
+        used = configuration(np.array(sizes), np.full(len(sizes), 20), np.array(prices), 20)
+        assert abs(float(used @ np.array(prices)) - best(items, 20)) < 1e-9 and int(used @ np.array(sizes)) <= 20
 
 
 def check(rows, texts):
