@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Seconds between two collections that let Spark's cleaner drop the shuffle files behind stored tables.
+#: Seconds from one collection to the next at least.
 COLLECT_EVERY = 1.0
 _collected = [0.0]
 
@@ -27,20 +27,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _drop_consumed(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop shuffle files that no frame refers to any more; a driver with little to do hardly collects by itself.
+
+    Listeners hold the plan that ended last until another ends, hence the query without a job.
+    """
+    if time.monotonic() - _collected[0] > COLLECT_EVERY:
+        spark.sql("SELECT 1").collect()
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _collected[0] = time.monotonic()
+
+
 def materialize(df: DataFrame, label: str = "part") -> DataFrame:
     """Write df to the shared folder and read it back.
 
-    Lineage is cut at a durable copy, so a lost executor costs at most the running stage. Shuffle files behind the copy
-    are dropped when their frames are collected, which is asked for now and then.
+    Lineage is cut at a durable copy, so a lost executor costs at most the running stage. Shuffle files behind earlier
+    copies are dropped before the next is written.
     """
     spark, schema = df.sparkSession, df.schema
+    _drop_consumed(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    del df
-    if time.monotonic() - _collected[0] > COLLECT_EVERY:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        _collected[0] = time.monotonic()
     out = spark.read.schema(schema).parquet(path)
     out.stored_at = path
     return out
