@@ -1,19 +1,19 @@
 """Substring dedup by relative Lempel-Ziv parsing.
 
 Documents are factored against the documents with smaller ids. The reference is indexed in blocks by anchors: every
-window of size words holds an anchor, its run of anchor words with the least hash, and the index keeps for an anchor the
-block of words around its first occurrence, in the document with the least id. So a document meets just the blocks that
-it can share a window with, one for each of its anchors, and never all of them.
+window of size words holds an anchor, its run of anchor words with the least hash, and the index knows for an anchor its
+first occurrence in the document with the least id, and the block of words around it. So a document meets just the
+blocks that it can share a window with, one for each of its anchors, and never all of them.
 
-At an anchor the longest match with the block is taken, to the left and to the right. Matches with one reference
-document at one distance that overlap or touch are parts of one longer match; of these the greedy parse takes, from left
-to right, the one that reaches farthest, and what no match holds stays literal. A match of size words or more is a
-duplicate span.
+A document's anchors that follow each other at one distance to one reference document are a chain: as anchors overlap, all
+words from the first to the last of a chain match. A match is a chain with what its ends match in their blocks, to the left
+and to the right, so it can't be extended within reach of its anchors. The greedy parse takes, from left to right, the
+match that reaches farthest, and what no match holds stays literal. A match of size words or more is a duplicate span.
 
 Windows at the ends of matches, where this document parts from the first occurrence, may still start in another earlier
-document. Each is looked up among the windows that other documents have at the ends of their matches with the same
-block: a window that equals one of the block's own is part of a match, so an equal window anywhere else is at the end of
-one, too. Together that finds exactly the windows that start in an earlier document.
+document. Each is looked up, by 128 bits, among the windows that other documents have at the ends of their matches: a window
+that the block of its anchor holds is part of a match, so an equal window anywhere else is at the end of one, too.
+Together that finds exactly the windows that start in an earlier document.
 """
 
 from __future__ import annotations
@@ -22,12 +22,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import SPACE, discard, fresh, materialize, row_key
-from .hashing import A, FACTOR, mix, run_hashes, words_of
+from .hashing import mix, run_hashes, words_of
 
 SIZE, ANCHOR = 13, 8
 
@@ -62,88 +63,185 @@ def anchors(h: np.ndarray, offsets: np.ndarray, size: int, anchor: int) -> Ancho
     return Anchored(row[window[cut]], place[cut], least[cut], window[cut], window[ends])
 
 
-def shared_anchors(own: DataFrame, size: int, anchor: int) -> DataFrame:
-    """(id, anchors): for each id the anchors (a, own) that another id has too, and whether this id is the least that has them."""
-    kind = own.schema["id"].dataType
-    arrow = to_arrow_type(kind)
+def anchor_rows(own: DataFrame, size: int, anchor: int) -> DataFrame:
+    """(anchor, id, mark, place): the first occurrence of every anchor in every row."""
+    kind = own.schema["id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            for w in words_of(b.column(1)):
+            for w in words_of(b.column(2)):
                 found = anchors(w.hashes[0], w.offsets, size, anchor)
-                order = np.lexsort((found.value, found.row))
+                order = np.lexsort((found.place, found.value, found.row))
                 row, value = found.row[order], found.value[order]
-                once = np.flatnonzero(np.diff(row, prepend=-1).astype(bool) | (value != np.roll(value, 1)))
-                yield pa.RecordBatch.from_arrays([pa.array(value[once].view(np.int64)), b.column(0).take(pa.array(row[once] + w.first)).cast(arrow)], ["anchor", "id"])
-
-    every = materialize(own.select("id", "text").mapInArrow(run, f"anchor bigint, id {kind.simpleString()}"), "anchors")
-    met = every.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter(F.col("low") != F.col("high")).select("anchor", "low")
-    met = materialize(met, "shared")
-    parts = every.join(met.hint("merge"), "anchor").select("id", F.struct(F.col("anchor").alias("a"), (F.col("low") == F.col("id")).alias("own")).alias("s"))
-    out = materialize(parts.groupBy("id").agg(F.collect_set("s").alias("anchors")), "parts")
+                once = np.diff(row, prepend=-1).astype(bool)
+                once[1:] |= value[1:] != value[:-1]
+                take = pa.array(row[once] + w.first)
+                place = found.place[order][once] - w.offsets[row[once]]
+                yield pa.RecordBatch.from_arrays([pa.array(value[once].view(np.int64)), b.column(0).take(take), b.column(1).take(take), pa.array(place.astype(np.int32))], ["anchor", "id", "mark", "place"])
+
+    return own.select("id", "mark", "text").mapInArrow(run, f"anchor bigint, id {kind}, mark bigint, place int")
+
+
+def by_document(rows: DataFrame) -> DataFrame:
+    """(id, anchors): the other columns of rows as one list for each id. Rows are sorted by id and cut where it changes."""
+    kinds = dict(rows.dtypes)
+    names = [c for c in rows.columns if c != "id"]
+
+    def run(batches):
+        held = None
+        for b in batches:
+            whole = pa.concat_batches([held, b]) if held is not None else b
+            ids = whole.column(0)
+            change = np.flatnonzero(pc.not_equal(ids.slice(1), ids.slice(0, max(0, len(ids) - 1))).to_numpy(zero_copy_only=False)) + 1
+            last = int(change[-1]) if len(change) else 0
+            if last:
+                yield lists(whole.slice(0, last), np.concatenate(([0], change)))
+            held = whole.slice(last)
+        if held is not None and len(held):
+            yield lists(held, np.array([0, len(held)]))
+
+    def lists(b, bounds):
+        columns = [pa.concat_arrays([b.column(c)]) for c in names]
+        made = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.StructArray.from_arrays(columns, names))
+        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(bounds[:-1])), made], ["id", "anchors"])
+
+    fields = ",".join(f"{c}:{kinds[c]}" for c in names)
+    return rows.select("id", *names).repartition("id").sortWithinPartitions("id").mapInArrow(run, f"id {kinds['id']}, anchors array<struct<{fields}>>")
+
+
+def shared_anchors(own: DataFrame, size: int, anchor: int) -> DataFrame:
+    """(id, anchors): for each id its anchors (a, ref, ref_mark, ref_place) that another id has too, with their first occurrence."""
+    every = materialize(anchor_rows(own, size, anchor), "anchors")
+    met = every.groupBy("anchor").agg(F.min("id").alias("ref"), F.max("id").alias("high"), F.min_by("mark", "id").alias("ref_mark"), F.min_by("place", "id").alias("ref_place"))
+    met = materialize(met.filter(F.col("ref") != F.col("high")).drop("high"), "shared")
+    # One row an anchor on the hashed side, so the many rows needn't be sorted.
+    rows = every.select("anchor", "id").join(met.hint("shuffle_hash"), "anchor")
+    out = materialize(by_document(rows.select("id", F.col("anchor").alias("a"), "ref", "ref_mark", "ref_place")), "parts")
     discard(every, met)
     return out
 
 
+class Known(NamedTuple):
+    """Anchors of some rows that are shared: which of the anchors found, and the index of each in the rows' lists."""
+
+    which: np.ndarray
+    entry: np.ndarray
+
+
+def looked_up(found: Anchored, values: np.ndarray, row: np.ndarray) -> Known:
+    """values and row are the listed anchors and the rows that they are listed for."""
+    # A key for an anchor in a row. Two anchors that share a key are told apart by their values.
+    keys = values ^ mix(row.astype(np.uint64))
+    order = np.argsort(keys, kind="stable")
+    mine = found.value ^ mix(found.row.astype(np.uint64))
+    at = np.searchsorted(keys, mine, sorter=order)
+    hit = at < len(keys)
+    entry = order[at[hit]]
+    hit[hit] = (values[entry] == found.value[hit]) & (row[entry] == found.row[hit])
+    return Known(np.flatnonzero(hit), order[at[hit]])
+
+
+#: What a row of an anchor's occurrence stands for: a block of the index, or which sides of it aren't inside a chain.
+BLOCK, LEFT, RIGHT, BOTH = 0, 1, 2, 3
+
+
 def occurrences(own: DataFrame, parts: DataFrame, size: int, anchor: int) -> DataFrame:
-    """Every occurrence of a shared anchor: (id, mark, anchor, check, place, few, many, block, lead).
+    """Occurrences of shared anchors: (id, mark, anchor, check, place, kind, chain, few, block, windows, ref).
 
-    check is a second hash of the anchor; the windows that have it start few to many words before it; block holds the
-    hashes of the size - anchor words on either side, outward, 0 where the text ends; lead says that it is the id's
-    first occurrence and the id the least that has the anchor: its block is the index's.
+    kind says whether the row is a block of the index (the anchor's first occurrence), the left or the right end of a
+    chain of size words or more, or a member of a shorter chain, with both sides. check is a second hash of the anchor;
+    chain the number of words of a long chain, or of the anchor; block holds the hashes of the size - anchor words on either
+    side, outward, 0 where the text ends; windows holds two hashes of each window that reaches out of the chain, the
+    first of them few words before the place, each next one word earlier.
     """
     kind = own.schema["id"].dataType
     side = size - anchor
 
+    def chunk(b, w):
+        """One batch of rows for the words w of the batch b."""
+        h, offsets = w.hashes[0], w.offsets
+        rows = len(offsets) - 1
+        lists = b.column(3).slice(w.first, rows)
+        bounds = lists.offsets.to_numpy()
+        listed = lists.values.slice(bounds[0], bounds[-1] - bounds[0])
+        field = lambda c: listed.field(c).to_numpy(zero_copy_only=False)
+        found = anchors(h, offsets, size, anchor)
+        known = looked_up(found, field("a").view(np.uint64), np.repeat(np.arange(rows), np.diff(bounds)))
+        if not len(known.which):
+            return None
+        row, place = found.row[known.which], found.place[known.which]
+        local = place - offsets[row]
+        entry = known.entry
+        ref = listed.field("ref").take(pa.array(entry))
+        code = ref.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        mark, ref_place = field("ref_mark")[entry], field("ref_place")[entry].astype(np.int64)
+        take = pa.array(row + w.first)
+        ids, marks = b.column(0).take(take), b.column(1).take(take)
+        own_first = pc.equal(ids, ref).to_numpy(zero_copy_only=False) & (marks.to_numpy(zero_copy_only=False) == mark) & (local == ref_place)
+        follows = np.zeros(len(row), bool)
+        follows[1:] = (known.which[1:] == known.which[:-1] + 1) & (row[1:] == row[:-1]) & (code[1:] == code[:-1]) & (mark[1:] == mark[:-1]) & (np.diff(ref_place - local) == 0) & (np.diff(place) <= anchor) & ~own_first[1:] & ~own_first[:-1]
+        begin = np.flatnonzero(~follows)
+        end = np.append(begin[1:], len(row)) - 1
+        words = place[end] - place[begin] + anchor
+        long = (words >= size) & ~own_first[begin]
+        length = np.repeat(words, end - begin + 1)
+        single = np.flatnonzero(np.repeat(~long, end - begin + 1))
+        first, last = found.first[known.which], found.last[known.which]
+        side_of = np.where(own_first[single], BLOCK, BOTH)
+        k = np.concatenate((single, begin[long], end[long]))
+        what = np.concatenate((side_of, np.full(int(long.sum()), LEFT), np.full(int(long.sum()), RIGHT)))
+        few = np.where(what == LEFT, 1, place[k] - last[k])
+        many = np.where(what == RIGHT, side - 1, place[k] - first[k])
+        count = np.where(what == BLOCK, 0, np.maximum(0, many - few + 1))
+        of = np.repeat(np.arange(len(k)), count)
+        before = few[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        window = place[k][of] - before
+        pairs = np.stack([run_hashes(x, size)[window] for x in w.hashes], axis=1) if len(of) else np.zeros((0, 2), np.uint64)
+        around = np.concatenate((place[k][:, None] - 1 - np.arange(side), place[k][:, None] + anchor + np.arange(side)), axis=1)
+        inside = (around >= offsets[row[k]][:, None]) & (around < offsets[row[k] + 1][:, None])
+        block = np.where(inside, h[np.clip(around, 0, len(h) - 1)], np.uint64(0))
+        chain = np.where((what == LEFT) | (what == RIGHT), length[k], anchor)
+        pick = pa.array(k)
+        int32 = lambda x: pa.array(x.astype(np.int32))
+        columns = [
+            ids.take(pick), marks.take(pick), pa.array(found.value[known.which][k].view(np.int64)), pa.array(run_hashes(w.hashes[1], anchor)[place[k]].view(np.int64)),
+            int32(local[k]), int32(what), int32(chain), int32(few), ragged_bytes(block, np.full(len(k), 2 * side)), ragged_bytes(pairs, 2 * count), ref.take(pick),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["id", "mark", "anchor", "check", "place", "kind", "chain", "few", "block", "windows", "ref"])
+
     def run(batches):
+        last, marks = object(), set()
         for b in batches:
-            lists = b.column(3).combine_chunks() if isinstance(b.column(3), pa.ChunkedArray) else b.column(3)
-            bounds = lists.offsets.to_numpy()
-            values, leads = lists.values.field("a").to_numpy().view(np.uint64), lists.values.field("own").to_numpy(zero_copy_only=False)
+            # Repeated rows of an id and a text follow each other here and count once.
+            keep = np.ones(len(b), bool)
+            for k, (i, m) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                if i != last:
+                    last, marks = i, set()
+                keep[k] = m not in marks
+                marks.add(m)
+            b = b if keep.all() else b.filter(pa.array(keep))
             for w in words_of(b.column(2), seeds=2):
-                h, offsets = w.hashes[0], w.offsets
-                found = anchors(h, offsets, size, anchor)
-                low, high = bounds[w.first], bounds[w.first + len(offsets) - 1]
-                of = np.repeat(np.arange(len(offsets) - 1, dtype=np.uint64), np.diff(bounds[w.first : w.first + len(offsets)]))
-                # A key for an anchor in a row; that two meet costs a row that nothing joins, and no more.
-                keys = values[low:high] ^ mix(of)
-                order = np.argsort(keys, kind="stable")
-                mine = found.value ^ mix(found.row.astype(np.uint64))
-                at = np.searchsorted(keys, mine, sorter=order)
-                hit = at < len(keys)
-                hit[hit] = keys[order[at[hit]]] == mine[hit]
-                k = np.flatnonzero(hit)
-                row, place = found.row[k], found.place[k]
-                lead = leads[low:high][order[at[k]]]
-                _, firsts = np.unique(mine[k], return_index=True)
-                once = np.zeros(len(k), bool)
-                once[firsts] = True
-                around = np.concatenate((place[:, None] - 1 - np.arange(side), place[:, None] + anchor + np.arange(side)), axis=1)
-                inside = (around >= offsets[row][:, None]) & (around < offsets[row + 1][:, None])
-                block = np.where(inside, h[np.clip(around, 0, max(0, len(h) - 1))], np.uint64(0)) if len(h) else np.zeros((0, 2 * side), np.uint64)
-                take = pa.array(row + w.first)
-                columns = [
-                    b.column(0).take(take), b.column(1).take(take), pa.array(found.value[k].view(np.int64)), pa.array(run_hashes(w.hashes[1], anchor)[place].view(np.int64) if len(k) else np.empty(0, np.int64)),
-                    pa.array((place - offsets[row]).astype(np.int32)), pa.array((place - found.last[k]).astype(np.int32)), pa.array((place - found.first[k]).astype(np.int32)),
-                    rows_as_bytes(block), pa.array(lead & once),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "mark", "anchor", "check", "place", "few", "many", "block", "lead"])
+                if (out := chunk(b, w)) is not None:
+                    yield out
 
     texts = own.select("id", "mark", "text").join(parts.hint("merge"), "id")
-    schema = f"id {kind.simpleString()}, mark bigint, anchor bigint, check bigint, place int, few int, many int, block binary, lead boolean"
+    name = kind.simpleString()
+    schema = f"id {name}, mark bigint, anchor bigint, check bigint, place int, kind int, chain int, few int, block binary, windows binary, ref {name}"
     return materialize(texts.select("id", "mark", "text", "anchors").mapInArrow(run, schema), "occurrences")
 
 
-def rows_as_bytes(rows: np.ndarray) -> pa.Array:
-    """Each row of 64-bit numbers as one binary value."""
-    edges = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(8 * rows.shape[1])
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(rows))])
+def ragged_bytes(numbers: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """64-bit numbers, counts of them to a binary value."""
+    edges = np.concatenate(([0], np.cumsum(8 * counts))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(numbers))])
 
 
-def bytes_as_rows(column: pa.Array, width: int) -> np.ndarray:
+def numbers_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """What ragged_bytes was given."""
     own = pa.concat_arrays([column.cast(pa.large_binary())])
     edges = np.frombuffer(own.buffers()[1], np.int64, len(own) + 1, own.offset * 8)
-    return np.frombuffer(own.buffers()[2], np.uint64, (edges[-1] - edges[0]) // 8, edges[0]).reshape(-1, width)
+    n = (edges[-1] - edges[0]) // 8
+    return np.frombuffer(own.buffers()[2], np.uint64, n, edges[0]) if n else np.zeros(0, np.uint64), np.diff(edges) // 8
 
 
 def matched(mine: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -152,48 +250,43 @@ def matched(mine: np.ndarray, other: np.ndarray) -> np.ndarray:
 
 
 def matches(found: DataFrame, size: int, anchor: int) -> DataFrame:
-    """Longest matches with the index's blocks, and the windows at their ends that no match holds.
+    """Matches with the index's blocks, and the windows at their ends that no match holds.
 
     (id, mark, start, n, ref, ref_start): a match of n words at a smaller id; (id, mark, start, w1, w2): a window.
     """
     side = size - anchor
     kind = dict(found.dtypes)["id"]
-    index = materialize(found.filter("lead").select("anchor", F.col("id").alias("ref"), F.col("mark").alias("ref_mark"), F.col("place").alias("ref_place"), F.col("check").alias("ref_check"), F.col("block").alias("ref_block")).dropDuplicates(["anchor"]), "index")
+    names = ["id", "mark", "start", "n", "ref", "ref_start", "w1", "w2"]
 
     def run(batches):
         for b in batches:
-            get = lambda c: b.column(c).to_numpy(zero_copy_only=False)  # noqa: E731, B023
-            block, other = (bytes_as_rows(b.column(c), 2 * side) for c in ("block", "ref_block"))
-            same = get("check") == get("ref_check")
-            left = np.where(same, matched(block[:, :side], other[:, :side]), -1)
-            right = np.where(same, matched(block[:, side:], other[:, side:]), -1)
-            earlier, place, few, many = get("earlier"), get("place"), get("few"), get("many")
-            whole = np.flatnonzero(same & earlier)
-            none = pa.nulls(len(whole), pa.int64())
-            start = place[whole] - left[whole]
-            length = anchor + left[whole] + right[whole]
-            take = pa.array(whole)
-            names = ["id", "mark", "start", "n", "ref", "ref_start", "w1", "w2"]
-            yield pa.RecordBatch.from_arrays([b.column("id").take(take), b.column("mark").take(take), pa.array(start.astype(np.int32)), pa.array(length.astype(np.int32)), b.column("ref").take(take), pa.array((get("ref_place")[whole] - left[whole]).astype(np.int32)), none, none], names)
-            for o in range(side + 1):
-                # Windows o words before the anchor that the block doesn't hold as well.
-                k = np.flatnonzero((few <= o) & (o <= many) & ((left < o) | (right < side - o)))
-                words = np.concatenate((block[k, :o], block[k, side : 2 * side - o]), axis=1)
-                w1 = get("anchor").view(np.uint64)[k] * A + np.uint64(o)
-                w2 = get("check").view(np.uint64)[k] * FACTOR + np.uint64(o)
-                for j in range(side):
-                    w1 = mix(w1) * A + words[:, j]
-                    w2 = mix(w2) * FACTOR + words[:, j]
-                take = pa.array(k)
-                none = pa.nulls(len(k), pa.int32())
-                yield pa.RecordBatch.from_arrays([b.column("id").take(take), b.column("mark").take(take), pa.array((place[k] - o).astype(np.int32)), none, pa.nulls(len(k), b.schema.field("ref").type), none, pa.array(mix(w1).view(np.int64)), pa.array(mix(w2).view(np.int64))], names)
-
-    itself = (F.col("ref") == F.col("id")) & (F.col("ref_mark") == F.col("mark")) & (F.col("ref_place") == F.col("place"))
-    met = found.join(index.hint("merge"), "anchor").filter(~itself).withColumn("earlier", F.col("ref") < F.col("id"))
-    met = met.select("id", "mark", "anchor", "check", "place", "few", "many", "block", "ref", "ref_place", "ref_check", "ref_block", "earlier")
-    out = materialize(met.mapInArrow(run, f"id {kind}, mark bigint, start int, n int, ref {kind}, ref_start int, w1 bigint, w2 bigint"), "matches")
-    discard(index)
-    return out
+            get = lambda c: b.column(c).to_numpy(zero_copy_only=False).astype(np.int64)  # noqa: E731, B023
+            block, other = (numbers_of(b.column(c))[0].reshape(-1, 2 * side) for c in ("block", "ref_block"))
+            what, place, chain = get("kind"), get("place"), get("chain")
+            # Within a long chain other anchors at the same distance vouch for this one.
+            same = (get("check") == get("ref_check")) | (what != BOTH)
+            left = np.where(same, np.where(what == RIGHT, side, matched(block[:, :side], other[:, :side])), -1)
+            right = np.where(same, np.where(what == LEFT, side, matched(block[:, side:], other[:, side:])), -1)
+            whole = np.flatnonzero(same & b.column("earlier").to_numpy(zero_copy_only=False))
+            start = np.where(what == RIGHT, place + anchor - chain, place - left)
+            length = chain + np.where(what == RIGHT, 0, left) + np.where(what == LEFT, 0, right)
+            ref_start = start + get("ref_place") - place
+            take, none = pa.array(whole), pa.nulls(len(whole), pa.int64())
+            int32 = lambda x: pa.array(x.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column("id").take(take), b.column("mark").take(take), int32(start[whole]), int32(length[whole]), b.column("ref").take(take), int32(ref_start[whole]), none, none], names)
+            pairs, counts = numbers_of(b.column("windows"))
+            pairs, counts = pairs.reshape(-1, 2), counts // 2
+            of = np.repeat(np.arange(len(b)), counts)
+            before = get("few")[of] + np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+            k = np.flatnonzero((left[of] < before) | (right[of] < side - before))
+            take, none = pa.array(of[k]), pa.nulls(len(k), pa.int32())
+            hashes = np.ascontiguousarray(pairs[k]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("id").take(take), b.column("mark").take(take), int32(place[of[k]] - before[k]), none, pa.nulls(len(k), b.schema.field("ref").type), none, pa.array(hashes[:, 0]), pa.array(hashes[:, 1])], names)
+
+    index = found.filter(F.col("kind") == BLOCK).select("anchor", F.col("place").alias("ref_place"), F.col("check").alias("ref_check"), F.col("block").alias("ref_block"))
+    met = found.filter(F.col("kind") != BLOCK).join(index.hint("merge"), "anchor").withColumn("earlier", F.col("ref") < F.col("id"))
+    met = met.select("id", "mark", "check", "place", "kind", "chain", "few", "block", "windows", "ref", "ref_place", "ref_check", "ref_block", "earlier")
+    return materialize(met.mapInArrow(run, f"id {kind}, mark bigint, start int, n int, ref {kind}, ref_start int, w1 bigint, w2 bigint"), "matches")
 
 
 def duplicate_runs(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
