@@ -1,12 +1,15 @@
 """Quality rules whose cutoffs limit false rejection, by exact binomial bounds on labelled documents.
 
-Every rule has a fixed ladder of cutoffs from lenient to strict. In each stratum (language), the labelled good
-documents are a holdout that tells how many of them a cutoff would reject. A cutoff is certified if the exact binomial
-tail P(Bin(n, ALPHA) <= rejected) is at most DELTA over the number of (stratum, rule) ladders; a ladder is climbed
-from its lenient end until the first cutoff that isn't certified, which needs no further correction (fixed-sequence
-testing). So with probability 1 - DELTA no applied cutoff rejects more than ALPHA of a stratum's good documents.
-Of the certified cutoffs, which all carry the guarantee, the one that rejects most bad less good documents is taken,
-ties to the lenient one. Everything is DataFrame expressions.
+Every rule has a ladder of cutoffs from lenient to strict. A policy is a set of rules and a step: each of its rules cuts
+at that step of its ladder (at its strictest cutoff, if its ladder is shorter), and a document goes if any of them
+rejects it. For each stratum (language) and set of rules the policies are nested, so they are tested in order: the
+labelled good documents are a holdout that tells how many of them a policy would reject, and it is certified if the exact
+binomial tail P(Bin(n, ALPHA) <= rejected) is at most DELTA over the number of (stratum, set) ladders. A ladder is
+climbed until the first policy that isn't certified, which needs no further correction (fixed-sequence testing). So
+with probability 1 - DELTA no certified policy anywhere, all its rules together, rejects more than ALPHA of its
+stratum's good documents. Each stratum takes one: of the certified policies, which all carry the guarantee, the one that
+rejects most bad less good documents; of equals the lenient one, then the one of fewer rules. Everything is DataFrame
+expressions.
 """
 
 from __future__ import annotations
@@ -16,9 +19,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, materialize
+from .common import SPACE, WORD, columns_of, discard, fresh, materialize
 
-#: Most of a stratum's good documents that one rule may reject, and the chance that any rule anywhere breaks that.
+#: Most of a stratum's good documents that may be rejected, and the chance that this is broken anywhere.
 ALPHA, DELTA = 0.02, 0.05
 
 #: rule: (numerator, denominator, cutoffs); a document is rejected if 100 * numerator > cutoff * denominator.
@@ -29,6 +32,8 @@ RULES = {
     "long_words": ("word_chars", "n_words", (3000, 2500, 2000, 1500, 1200, 1000)),
 }
 
+STEPS = max(len(cutoffs) for _, _, cutoffs in RULES.values())
+
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 BLANKS, SYMBOLS = " \t\n\x0b\f\r", "#*$%&|<>"
 
@@ -88,34 +93,42 @@ def binomial_tail(n: Column, k: Column, share: float) -> Column:
     return F.when((n > 0) & (k < n * share), F.exp(term) * total).otherwise(1.0)
 
 
+def first_rejecting(cutoffs: tuple, numerator: Column, denominator: Column) -> Column:
+    """The first step of a ladder that rejects, STEPS if none does: each cutoff is stricter than the one before."""
+    passed = reduce(lambda a, b: a + b, ((numerator * 100 <= denominator * c).cast("int") for c in cutoffs))
+    return F.when(passed < len(cutoffs), passed).otherwise(F.lit(STEPS))
+
+
 def calibrate(features: DataFrame, labels: DataFrame, stratum_col: str, alpha: float, delta: float, id_col: str, prefix: str) -> DataFrame:
-    """One row a stratum: its stratum and, for each rule, the cutoff taken or null."""
+    """One row a stratum that has a certified policy: __stratum and, for each rule, the cutoff taken or null."""
     known = labels.filter(F.col("quality").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__labelled")).agg(F.min("quality").alias("__quality"))
     held = features.filter(~base_failed(prefix)).join(known, F.col(id_col) == F.col("__labelled"))
-    steps = F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(k).alias("step"), F.lit(c).alias("cutoff"), (F.col(prefix + a) * 100 > F.col(prefix + b) * c).alias("out")) for r, (a, b, cutoffs) in RULES.items() for k, c in enumerate(cutoffs)))
-    stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("__stratum")
-    flat = held.select(stratum, F.col("__quality"), F.explode(steps).alias("s")).select("__stratum", "__quality", "s.*")
-    good, out = F.col("__quality") >= 1, F.col("out")
-    counts = materialize(
-        flat.groupBy("__stratum", "rule", "step", "cutoff").agg(
-            F.sum(good.cast("long")).alias("n"),
-            F.sum((good & out).cast("long")).alias("k"),
-            F.sum((~good & out).cast("long")).alias("bad"),
-        ),
-        "cutoffs",
-    )
-    ladders = max(1, counts.select("__stratum", "rule").distinct().count())
-    climb = Window.partitionBy("__stratum", "rule").orderBy("step")
+    first = [first_rejecting(cutoffs, F.col(prefix + a), F.col(prefix + b)) for a, b, cutoffs in RULES.values()]
+    stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum")
+    each = held.select(stratum, (F.col("__quality") >= 1).alias("good"), F.array(*first).alias("first"))
+    rules_of = lambda m: F.filter("first", lambda x, j: F.getbit(m, j) == 1)
+    flat = each.select("stratum", "good", F.explode(F.transform(F.sequence(F.lit(1), F.lit(2 ** len(RULES) - 1)), lambda m: F.struct(m.alias("mask"), F.array_min(rules_of(m)).alias("step")))).alias("s"))
+    # Every stratum, set and step has a row, so that a step at which nothing is rejected anew is tested, too.
+    grid = flat.select("stratum", F.col("s.mask").alias("mask"), F.explode(F.array([F.struct(F.lit(k).alias("step"), (F.col("good") & (F.col("s.step") <= k)).cast("long").alias("k"), (~F.col("good") & (F.col("s.step") <= k)).cast("long").alias("bad"), F.col("good").cast("long").alias("n")) for k in range(STEPS)])).alias("g"))
+    counts = grid.select("stratum", "mask", "g.*").groupBy("stratum", "mask", "step").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum("bad").alias("bad"))
+    counts = materialize(counts, "policies")
+    ladders = max(1, counts.select("stratum", "mask").distinct().count())
+    climb = Window.partitionBy("stratum", "mask").orderBy("step")
     tested = counts.withColumn("p", binomial_tail(F.col("n"), F.col("k"), alpha)).withColumn("worst", F.max("p").over(climb))
-    best = tested.filter(F.col("worst") <= delta / ladders).groupBy("__stratum", "rule").agg(F.max(F.struct(F.col("bad") - F.col("k"), -F.col("step"), F.col("cutoff"))).alias("b"))
-    return materialize(best.groupBy("__stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("b.cutoff"))).alias(f"__{r}") for r in RULES)), "thresholds")
+    best = tested.filter(F.col("worst") <= delta / ladders).groupBy("stratum").agg(F.max(F.struct(F.col("bad") - F.col("k"), -F.col("step"), -F.bit_count("mask"), -F.col("mask"))).alias("b"))
+    mask, step = -F.col("b.col4"), -F.col("b.col2")
+    taken = [F.when(F.getbit(mask, F.lit(j)) == 1, F.element_at(F.array([F.lit(c) for c in cutoffs]), F.least(step + 1, F.lit(len(cutoffs))).cast("int"))).alias(f"__{r}") for j, (r, (_, _, cutoffs)) in enumerate(RULES.items())]
+    out = materialize(best.select(F.col("stratum").alias("__stratum"), *taken), "thresholds")
+    discard(counts)
+    return out
 
 
 def apply_rules(features: DataFrame, cutoffs: DataFrame, stratum_col: str, prefix: str) -> DataFrame:
     """features with base_failed and kept (named with the prefix). The table of cutoffs has a row a stratum; Spark broadcasts it if it is small."""
-    joined = features.join(cutoffs, F.coalesce(F.col(stratum_col).cast("string"), F.lit("")) == F.col("__stratum"), "left")
-    out = reduce(lambda a, b: a | b, (F.coalesce(F.col(prefix + a) * 100 > F.col(prefix + b) * F.col(f"__{r}"), F.lit(False)) for r, (a, b, _) in RULES.items()))
-    return joined.withColumn(prefix + "base_failed", base_failed(prefix)).withColumn(prefix + "kept", ~base_failed(prefix) & ~out).drop("__stratum", *(f"__{r}" for r in RULES))
+    names = fresh(features, "stratum", *RULES)
+    joined = features.join(cutoffs.toDF(*names), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")) == F.col(names[0]), "left")
+    out = reduce(lambda a, b: a | b, (F.coalesce(F.col(prefix + a) * 100 > F.col(prefix + b) * F.col(c), F.lit(False)) for c, (a, b, _) in zip(names[1:], RULES.values(), strict=True)))
+    return joined.withColumn(prefix + "base_failed", base_failed(prefix)).withColumn(prefix + "kept", ~base_failed(prefix) & ~out).drop(*names)
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,16 +144,18 @@ def judge(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", alpha:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that the rules keep; cases as in judge. Features are made anew rather than joined, so that texts aren't shuffled."""
-    p = "__quality_"
-    features = materialize(with_features(docs.select(id_col, stratum_col, text_col), text_col, p).drop(text_col), "features")
-    cutoffs = calibrate(features, labels, stratum_col, alpha, delta, id_col, p)
-    return apply_rules(with_features(docs, text_col, p), cutoffs, stratum_col, p).filter(F.col(p + "kept")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of docs, all columns, that the rules keep; cases as in judge. Rows are stored once beside their features,
+    which are made once; texts aren't shuffled."""
+    p = fresh(docs, "quality_")[0]
+    stored = materialize(with_features(docs, text_col, p), "features")
+    cutoffs = calibrate(stored, labels, stratum_col, alpha, delta, id_col, p)
+    return apply_rules(stored, cutoffs, stratum_col, p).filter(F.col(p + "kept")).select(*columns_of(docs))
 
 
 def oracle_sql() -> str:
-    ladder = " UNION ALL ".join(f"SELECT '{r}' AS rule, {k} AS step, {c} AS cutoff" for r, (_, _, cutoffs) in RULES.items() for k, c in enumerate(cutoffs))
-    measure = "CASE rule " + " ".join(f"WHEN '{r}' THEN 100 * {a} > cutoff * {b}" for r, (a, b, _) in RULES.items()) + " END"
+    first = ", ".join(f"coalesce(nullif(len(list_filter([{', '.join(map(str, cutoffs))}], lambda c: 100 * {a} <= {b} * c)), {len(cutoffs)}), {STEPS}) AS f{j}" for j, (a, b, cutoffs) in enumerate(RULES.values()))
+    least = ", ".join(f"CASE WHEN mask & {2**j} > 0 THEN f{j} ELSE {STEPS} END" for j in range(len(RULES)))
+    rejects = " OR ".join(f"(mask & {2**j} > 0 AND f{j} <= least(step, {len(cutoffs) - 1}))" for j, (_, _, cutoffs) in enumerate(RULES.values()))
     return rf"""
 WITH t AS (
   SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents
@@ -159,17 +174,19 @@ WITH t AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM x
 ), q AS (
   SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id
+), h AS (
+  SELECT *, {first} FROM y
 ), c AS (
-  SELECT lang, rule, step, cutoff, sum(CAST(quality >= 1 AS BIGINT)) AS n, sum(CAST(quality >= 1 AND {measure} AS BIGINT)) AS k, sum(CAST(quality < 1 AND {measure} AS BIGINT)) AS bad
-  FROM y JOIN q USING (doc_id), ({ladder}) WHERE NOT base_failed GROUP BY ALL
+  SELECT lang, mask, step, CAST(sum(CAST(quality >= 1 AS BIGINT)) AS BIGINT) AS n, CAST(sum(CAST(quality >= 1 AND least({least}) <= step AS BIGINT)) AS BIGINT) AS k, CAST(sum(CAST(quality < 1 AND least({least}) <= step AS BIGINT)) AS BIGINT) AS bad
+  FROM h JOIN q USING (doc_id), (SELECT unnest(range(1, {2 ** len(RULES)})) AS mask), (SELECT unnest(range({STEPS})) AS step) WHERE NOT base_failed GROUP BY ALL
 ), p AS (
-  SELECT *, CASE WHEN n > 0 AND k < n * {ALPHA} THEN list_sum(list_transform(range(0, CAST(k AS BIGINT) + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({ALPHA}) + (n - j) * ln(1 - {ALPHA})))) ELSE 1 END AS p FROM c
+  SELECT *, CASE WHEN n > 0 AND k < n * {ALPHA} THEN list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({ALPHA}) + (n - j) * ln(1 - {ALPHA})))) ELSE 1 END AS p FROM c
 ), b AS (
-  SELECT *, max(p) OVER (PARTITION BY lang, rule ORDER BY step) AS worst, (SELECT count(*) FROM (SELECT DISTINCT lang, rule FROM c)) AS ladders FROM p
+  SELECT *, max(p) OVER (PARTITION BY lang, mask ORDER BY step) AS worst, (SELECT count(*) FROM (SELECT DISTINCT lang, mask FROM c)) AS ladders FROM p
 ), z AS (
-  SELECT lang, rule, cutoff FROM (SELECT *, row_number() OVER (PARTITION BY lang, rule ORDER BY bad - k DESC, step) AS i FROM b WHERE worst <= {DELTA} / ladders) WHERE i = 1
+  SELECT lang, mask, step FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY bad - k DESC, step, bit_count(mask), mask) AS i FROM b WHERE worst <= {DELTA} / ladders) WHERE i = 1
 ), o AS (
-  SELECT DISTINCT doc_id FROM y JOIN z USING (lang) WHERE {measure}
+  SELECT DISTINCT doc_id FROM h JOIN z USING (lang) WHERE {rejects}
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM o) AS kept FROM y
 """
