@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 
 
-def _digest(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one lesser neighbour at most and none that has a lesser one itself; then all is done."""
+    ends = edges.select(F.col("a").alias("u"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(edges.select("b", F.lit(0), F.lit(1)))
+    per = ends.groupBy("u").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return not per.agg(F.max((F.col("below") > 1) | ((F.col("below") > 0) & (F.col("above") > 0)))).first()[0]
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -26,7 +29,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.filter(F.col("v") != F.col("m")).select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("w"), F.col("m")))
-    out = materialize(out.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    out = out.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    # Large stars give no more edges than there were; small ones, which follow, remove the repeated.
+    out = materialize(out if large else out.distinct(), "edges")
     discard(edges, least)
     return out
 
@@ -34,16 +39,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b): component is the least node reachable.
 
-    Large and small stars alternate until nothing changes; the number of rounds grows with the logarithm of the
+    Large and small stars alternate until only stars are left; the number of rounds grows with the logarithm of the
     longest path. Edges from a node to itself or with a null end don't count; an empty table gives an empty one.
     """
     own = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     own = materialize(own, "edges")
-    state = _digest(own)
-    while state[0]:
+    while not _are_stars(own):
         own = _star(_star(own, True), False)
-        if (now := _digest(own)) == state:
-            break
-        state = now
     nodes = own.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.union(own.select(F.col("b"), F.col("b")).distinct())

@@ -7,11 +7,11 @@ bounds. BANDS bands of ROWS coordinates make candidates: a pair of similarity 0.
 (1 - 0.75**6)**64 < 4e-6.
 
 Documents of one shingle set are one class from the start. In a bucket all members are tied to the least one by
-verified links. Where that leaves a bucket with several components, its members are dealt out at random into small
-hands, again and again while that joins components, each round making fewer pairs than members. What is left then is
-settled exactly: sets of open buckets that are in different components meet where a prefix of their rarest shingles
-does, and bitmaps rule out what can't be linked. So no group of copies is expanded into its pairs, and no link of a
-bucket is lost.
+verified links. Where that leaves a bucket with several components, its sets are settled exactly by a prefix filter:
+those in different components meet where a prefix of their rarest shingles does, and sizes, places and bitmaps rule out
+what can't be linked. If very many still meet, they are first dealt out at random into small hands, each round making
+fewer pairs than members, which joins what is linked densely. So no group of copies is expanded into its pairs, and no
+link of a bucket is lost.
 """
 
 from __future__ import annotations
@@ -31,8 +31,9 @@ from .hashing import A, mix, shingle_set, words_of
 
 BANDS, ROWS = 64, 6
 T = BANDS * ROWS
-#: Members of a hand, and rounds of dealing at most; what they leave is settled exactly.
-HAND, TURNS = 4, 6
+#: Pairs for each row of rare shingles that are held against each other at once; beyond that, members of a hand, and
+#: rounds of dealing at most. What dealing leaves is settled exactly.
+DENSE, HAND, TURNS = 256, 4, 6
 #: Bits of a set's bitmap.
 BITS = 1024
 LOW = np.uint64(0xFFFFFFFF)
@@ -143,86 +144,86 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components so far."""
+    """The pairs whose ends aren't known to be in one component: label (node, component), each node once."""
     at = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
     of = lambda c: F.coalesce(f"of_{c}", c)
     return pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").filter(of("a") != of("b")).select("a", "b")
 
 
-class Links:
-    """Verified links and the components that they make so far; both are stored tables, replaced as links are added."""
+def labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """rows (node, ...) with the component c of each node."""
+    return rows.join(label, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
 
-    def __init__(self, sets: DataFrame, percent: int):
-        self.sets, self.percent = sets, percent
-        spark = sets.sparkSession
-        self.links = materialize(spark.createDataFrame([], "a bigint, b bigint"), "links")
-        self.label = materialize(spark.createDataFrame([], "node bigint, component bigint"), "labels")
 
-    def add(self, pairs: DataFrame) -> None:
-        """Verify pairs, a stored table that is used up, and bring components up to date."""
-        old = self.links, self.label
-        fine = verified(pairs, self.sets, self.percent)
-        # Links within old components are done with: each old component stands for them as one star.
-        self.links = materialize(fine.union(self.label.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))), "links")
-        self.label = materialize(components(self.links), "labels")
-        discard(pairs, fine, *old)
+def joined(links: DataFrame, label: DataFrame | None = None) -> DataFrame:
+    """A stored table (node, component) for links (a, b) and the components label, stored and used up, that were known before.
 
-    def of(self, members: DataFrame) -> DataFrame:
-        """members (node, ...) with the component c of each."""
-        return members.join(self.label, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-
-
-def open_buckets(members: DataFrame, links: Links) -> DataFrame:
-    """The members of buckets whose members aren't all in one component; with c and the size of the bucket."""
-    known = materialize(links.of(members.select("key", "node", "n")), "known")
-    mixed = known.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("size")).filter("low <> high").select("key", "size")
-    out = materialize(known.join(materialize(mixed, "mixed").hint("merge"), "key"), "open")
-    discard(known)
+    Old components are single nodes here, so only what links them is gone through again.
+    """
+    if label is None:
+        return materialize(components(links), "labels")
+    ends = lambda c, x: label.select(F.col("node").alias(c), F.col("component").alias(x))
+    found = links.join(ends("a", "x"), "a", "left").join(ends("b", "y"), "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+    new = materialize(components(found), "merged")
+    old = label.join(new.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    alone = new.join(label, "node", "left_anti")
+    out = materialize(old.union(alone.select("node", "component")), "labels")
+    discard(new, label)
     return out
 
 
-def cross_pairs(known: DataFrame) -> int:
-    """How many pairs of a bucket are in different components, summed over buckets."""
-    per = known.groupBy("key", "c").agg(F.count(F.lit(1)).cast("double").alias("m")).groupBy("key").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("x"))
-    return int((per.agg(F.sum("x")).first()[0] or 0) / 2)
-
-
-def dealt(known: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components: the members of a bucket are dealt out into hands of about HAND at random, and
-    each is paired with the least of its hand. That makes fewer pairs than members, whatever the size of a bucket."""
-    hands = known.withColumn("hand", F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("size") / HAND)))
-    least = hands.groupBy("key", "hand").agg(F.min("node").alias("b")).join(known.select(F.col("key").alias("k"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("c").alias("e")), ["b"]).filter(F.col("key") == F.col("k")).drop("k")
-    fit = (F.col("c") != F.col("e")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
-    return hands.join(materialize(least, "hands").hint("merge"), ["key", "hand"]).filter(fit).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
+def rare_first(known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(key, node, n, at): the first n - ceil(t n) + 1 shingles of each set in known (node, n), rare ones first, from at = 0.
 
-
-def rest_pairs(known: DataFrame, bitmaps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Every pair (a, b) of different components in known that may be linked, by the prefix filter: exact.
-
-    With the shingles of all sets in one order, rare ones first, two sets of n and m shingles that are linked share one
-    among the first n - ceil(t n) + 1 and m - ceil(t m) + 1, and from the first that they share on, both have enough
-    shingles left. So copies of a template that differ too much to be linked don't meet at the template's shingles.
+    All sets are in one order, by the number of sets that have a shingle and then by its hash. Two sets that are linked
+    share a shingle of these, and from the first that they share on, both have enough left for the link. So copies of
+    a template that differ too much to be linked don't meet at the template's shingles.
     """
-    nodes = materialize(known.select("node", "n", "c").distinct(), "nodes")
 
     def spread(node, s):
         each = [np.frombuffer(x, np.int64) for x in s]
         return {"node": np.repeat(np.array(node, np.int64), [len(x) for x in each]), "shingle": np.concatenate(each) if each else []}
 
-    own = sets.join(nodes.select("node").hint("merge"), "node", "left_semi")
+    own = sets.join(known.select("node").hint("merge"), "node", "left_semi")
     flat = materialize(arrow_map(own, ["node", "s"], spread, "node bigint, shingle bigint"), "shingles")
     often = materialize(flat.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")), "often")
     ranked = flat.join(often.hint("merge"), "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("s"))
-    keep = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    heads = ranked.join(nodes.hint("merge"), "node").select("node", "n", "c", F.posexplode(F.slice("s", 1, keep.cast("int"))).alias("at", "x"))
-    # A shingle of one document alone meets nothing.
-    heads = materialize(heads.filter("x.often > 1").select("node", "n", "c", "at", F.col("x.shingle").alias("shingle")), "heads")
-    discard(flat, often, nodes)
-    other = heads.select("shingle", F.col("node").alias("b"), F.col("n").alias("m"), F.col("c").alias("e"), F.col("at").alias("to"))
+    keep = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    heads = ranked.join(known.hint("merge"), "node").select("node", "n", F.posexplode(F.slice("s", 1, keep.cast("int"))).alias("at", "x"))
+    # A shingle of one set alone meets nothing.
+    out = materialize(heads.filter("x.often > 1").select(F.col("x.shingle").alias("key"), "node", "n", "at"), "heads")
+    discard(flat, often)
+    return out
+
+
+def cross_pairs(heads: DataFrame) -> float:
+    """How many pairs of a key's rows are in different components c, summed over keys."""
+    per = heads.groupBy("key", "c").agg(F.count(F.lit(1)).cast("double").alias("m")).groupBy("key").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("x"))
+    return (per.agg(F.sum("x")).first()[0] or 0) / 2
+
+
+def sizes_fit(percent: int) -> Column:
+    return (F.col("c") != F.col("e")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
+
+
+def dealt(heads: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components: the rows of a key are dealt out into hands of about HAND at random, and each is
+    paired with the least of its hand. That makes fewer pairs than rows, however many rows a key has."""
+    size = materialize(heads.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    hands = heads.join(size.hint("merge"), "key").withColumn("hand", F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("size") / HAND)))
+    least = hands.groupBy("key", "hand").agg(F.min(F.struct("node", "n", "c")).alias("l")).select("key", "hand", F.col("l.node").alias("b"), F.col("l.n").alias("m"), F.col("l.c").alias("e"))
+    out = hands.join(materialize(least, "hands").hint("merge"), ["key", "hand"]).filter(sizes_fit(percent))
+    out = materialize(out.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct(), "dealt")
+    discard(size)
+    return out
+
+
+def met(heads: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """A stored table of every pair (a, b) of different components that meets at a key and may be linked by sizes, places and bitmaps."""
+    other = heads.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("c").alias("e"), F.col("at").alias("to"))
     need = F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent))
     fit = (F.col("node") > F.col("b")) & (F.col("c") != F.col("e")) & (F.least(F.col("n") - F.col("at"), F.col("m") - F.col("to")) >= need)
-    pairs = materialize(heads.join(other.hint("merge"), "shingle").filter(fit).select(F.col("node").alias("a"), "b").distinct(), "pairs")
-    discard(heads)
+    pairs = materialize(heads.join(other.hint("merge"), "key").filter(fit).select(F.col("node").alias("a"), "b").distinct(), "pairs")
     end = lambda c, x, k: bitmaps.select(F.col("node").alias(c), F.col("bits").alias(x), F.col("n").alias(k))
     both = pairs.join(end("a", "x", "n"), "a").join(end("b", "y", "m"), "b")
     out = materialize(both.filter(hopeful(F.col("x"), F.col("y"), F.col("n"), F.col("m"), percent)).select("a", "b"), "rest")
@@ -233,23 +234,29 @@ def rest_pairs(known: DataFrame, bitmaps: DataFrame, sets: DataFrame, percent: i
 def linked(members: DataFrame, bitmaps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """A stored table (node, component) from bucket members (key, node, n, leader) and bitmaps (node, n, bits)."""
     tied = materialize(members.filter(F.col("node") != F.col("leader")).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "tied")
-    links = Links(sets, percent)
-    links.add(materialize(tied.groupBy("a").agg(F.min("b").alias("b")), "first"))
-    links.add(materialize(apart(tied, links.label), "others"))
-    discard(tied)
-    known = open_buckets(members, links)
-    turn, left = 0, cross_pairs(known)
-    while left > known.count() * HAND and turn < TURNS:
-        links.add(materialize(dealt(known, turn, percent), "dealt"))
-        discard(known)
-        known = open_buckets(members, links)
-        turn, before, left = turn + 1, left, cross_pairs(known)
-        if left > before * 0.8:
+    # The least leader first; nodes that are linked to one leader needn't be held against it again.
+    first = verified(tied.groupBy("a").agg(F.min("b").alias("b")), sets, percent)
+    more = verified(apart(tied, first.select(F.col("a").alias("node"), F.col("b").alias("component"))), sets, percent)
+    label = joined(first.union(more))
+    discard(tied, first, more)
+    known = labelled(members.select("key", "node", "n"), label)
+    mixed = materialize(known.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key"), "mixed")
+    known = materialize(members.select("key", "node", "n").join(mixed.hint("merge"), "key", "left_semi").select("node", "n").distinct(), "open")
+    heads = rare_first(known, sets, percent)
+    discard(mixed, known)
+    total = heads.count()
+    for turn in range(TURNS):
+        if cross_pairs(labelled(heads, label)) <= DENSE * total:
             break
-    if left:
-        links.add(rest_pairs(known, bitmaps, sets, percent))
-    discard(known, links.links)
-    return links.label
+        pairs = dealt(labelled(heads, label), turn, percent)
+        found = verified(pairs, sets, percent)
+        label = joined(found, label)
+        discard(pairs, found)
+    pairs = met(labelled(heads, label), bitmaps, percent)
+    found = verified(pairs, sets, percent)
+    label = joined(found, label)
+    discard(heads, pairs, found)
+    return label
 
 
 def judged(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
