@@ -12,7 +12,7 @@ from itertools import pairwise
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, n_partitions
@@ -62,13 +62,18 @@ def numbered(turns: DataFrame) -> DataFrame:
     return joined.withColumn("place", F.col("place") + F.coalesce("base", F.lit(0))).drop("pid", "row", "at", "of", "base")
 
 
+def unmarked(text: Column) -> Column:
+    """Marker strings broken up by a blank, so that they can't pass for structure."""
+    return F.replace(text, F.lit("<|im_"), F.lit("< |im_"))
+
+
 def rotate(conversations: DataFrame, context_roles: tuple[str, ...] = ("system",), block: int = BLOCK) -> DataFrame:
     """conv_id, assistant, block, n_turns, text, spans (array of start and end, code points within the block's text).
 
     conversations: conv_id, turn, role, text. A null role is the speaker "unknown"; a null text is empty; a null turn
     comes first; rows without conv_id form one conversation; rows of one turn are ordered by speaker and text, and
-    repeated rows all stay. Marker strings within texts are broken up by a blank, so they can't pass for structure. A
-    conversation of context roles alone has no participant and yields nothing; an empty table nothing; extra columns
+    repeated rows all stay. Marker strings within texts and speakers are broken up by a blank and line ends within
+    speakers become blanks, so neither can pass for structure; assistant is the role as it is. A conversation of context roles alone has no participant and yields nothing; an empty table nothing; extra columns
     aren't read. Rows out are turns times participants.
     """
     speaker = F.coalesce(F.col("role"), F.lit("unknown"))
@@ -76,8 +81,9 @@ def rotate(conversations: DataFrame, context_roles: tuple[str, ...] = ("system",
     people = turns.filter(~F.col("speaker").isin(*context_roles)).select(F.col("conv_id").alias("of"), F.col("speaker").alias("assistant")).distinct()
     rows = numbered(turns).join(materialize(people, "participants"), F.col("conv_id").eqNullSafe(F.col("of")))
     own = F.col("speaker") == F.col("assistant")
-    head = F.when(own, F.lit(f"{START}assistant\n")).when(F.col("speaker").isin(*context_roles), F.concat(F.lit(START), F.col("speaker"), F.lit("\n"))).otherwise(F.concat(F.lit(f"{START}user name="), F.col("speaker"), F.lit("\n")))
-    said = F.replace(F.col("text"), F.lit("<|im_"), F.lit("< |im_"))
+    name = F.translate(unmarked(F.col("speaker")), "\n\r", "  ")
+    head = F.when(own, F.lit(f"{START}assistant\n")).when(F.col("speaker").isin(*context_roles), F.concat(F.lit(START), name, F.lit("\n"))).otherwise(F.concat(F.lit(f"{START}user name="), name, F.lit("\n")))
+    said = unmarked(F.col("text"))
     segment = F.struct(F.col("place"), F.concat(head, said, F.lit(END)).alias("all"), F.length(head).alias("start"), F.length(said).alias("size"), own.alias("own"))
     grouped = rows.select("conv_id", "assistant", F.floor(F.col("place") / block).cast("long").alias("block"), segment.alias("s")).groupBy("conv_id", "assistant", "block").agg(F.sort_array(F.collect_list("s")).alias("s"))
     spans = """transform(filter(transform(s, (x, i) -> named_struct('own', x.own, 'start', aggregate(slice(s, 1, i), 0L, (a, y) -> a + length(y.all)) + x.start, 'size', x.size)), x -> x.own),
@@ -94,7 +100,7 @@ WITH t AS (
   SELECT DISTINCT conv_id AS of, speaker AS assistant FROM t WHERE speaker <> 'system'
 ), s AS (
   SELECT conv_id, assistant, place // {BLOCK} AS block, place, speaker = assistant AS own, replace(text, '<|im_', '< |im_') AS said,
-         CASE WHEN speaker = assistant THEN '{START}assistant' WHEN speaker = 'system' THEN '{START}system' ELSE '{START}user name=' || speaker END || chr(10) AS head
+         CASE WHEN speaker = assistant THEN '{START}assistant' WHEN speaker = 'system' THEN '{START}system' ELSE '{START}user name=' || translate(replace(speaker, '<|im_', '< |im_'), chr(10) || chr(13), '  ') END || chr(10) AS head
   FROM n JOIN p ON conv_id IS NOT DISTINCT FROM of
 ), o AS (
   SELECT *, head || said || '<|im_end|>' || chr(10) AS whole, coalesce(sum(length(head) + length(said) + {len(END)}) OVER (PARTITION BY conv_id, assistant, block ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start FROM s
