@@ -57,7 +57,6 @@ def fresh(ids: int) -> dict[str, np.ndarray]:
 
 
 MASK = np.triu(np.full((WIDTH, WIDTH), -1e9, np.float32), 1)
-SEEN = np.tri(WIDTH, dtype=np.float32)
 
 
 def class_logs(w: dict, pair: PairModel, ids: np.ndarray, keep: dict | None = None) -> np.ndarray:
@@ -147,16 +146,16 @@ def target_logs(w: dict, pair: PairModel, ids: np.ndarray, target: np.ndarray, s
     x = w["E"][ids] + w["P"]
     q, own = x[:, skip:] @ (w["Q"] * np.float32(DIM**-0.5)), ids[:, skip:]
     a = q @ (x @ w["K"]).transpose(0, 2, 1)
-    np.minimum(a, 80, out=a)
+    a += MASK[skip:]
+    a -= a.max(axis=2, keepdims=True)
     np.exp(a, out=a)
-    a *= SEEN[skip:]
     o = a @ (x @ w["V"])
     o /= a.sum(axis=2, keepdims=True)
     h = x[:, skip:] + o @ w["O"]
     h += np.maximum(h @ w["A"], 0) @ w["B"]
     y = h @ w["U"]
     y += pair.of[own]
-    np.minimum(y, 80, out=y)
+    y -= y.max(axis=2, keepdims=True)
     said = np.take_along_axis(y, pair.own[target][:, :, None], axis=2)[:, :, 0]
     np.exp(y, out=y)
     return said - np.log(y.sum(axis=2)) + pair.within[own, target]

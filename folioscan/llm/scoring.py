@@ -31,6 +31,8 @@ SUBWORDS, HEAD = 2048, 262_144
 WINDOWS, BATCH, STEPS = 120_000, 128, 1000
 #: Words and windows that a worker gathers before it hands them on.
 FLUSH, HELD = 200_000, 20_000
+#: Pairs of ids that are counted at once.
+PAIRS = 1_000_000
 #: Words that are scored at once.
 SLICE = 150_000
 #: Weight of a word's own share in the score, next to the attention model's; the log of words without a count at hand.
@@ -104,7 +106,13 @@ def gathered(train: DataFrame, path: str, size: int, text_col: str) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array([0] * len(words), pa.int8()), pa.array(list(words), pa.binary()), pa.nulls(len(words), pa.int64()), pa.array(list(words.values()), pa.int64())], ["kind", "item", "code", "n"])
             words.clear()
 
-        windows = []
+        windows, codes, held = [], [], 0
+
+        def count_pairs():
+            if codes:
+                code, n = np.unique(np.concatenate(codes), return_counts=True)
+                pairs[code] += n
+                codes.clear()
 
         def cuts():
             yield pa.RecordBatch.from_arrays([pa.array([2] * len(windows), pa.int8()), pa.array(windows, pa.binary()), pa.nulls(len(windows), pa.int64()), pa.nulls(len(windows), pa.int64())], ["kind", "item", "code", "n"])
@@ -116,7 +124,11 @@ def gathered(train: DataFrame, path: str, size: int, text_col: str) -> DataFrame
                 words.update(own)
                 words[b""] += 1
                 x = np.concatenate(([end], encode(own), [end])).astype(np.int64)
-                np.add.at(pairs, x[:-1] * ids + x[1:], 1)
+                codes.append(x[:-1] * ids + x[1:])
+                held += len(x)
+                if held > PAIRS:
+                    count_pairs()
+                    held = 0
                 x = x.astype("<i2")
                 for f in attention.cut(len(x) - 1).tolist():
                     windows.append(x[f : f + attention.WIDTH + 1].tobytes())
@@ -126,6 +138,7 @@ def gathered(train: DataFrame, path: str, size: int, text_col: str) -> DataFrame
                     yield from counts()
         yield from cuts()
         yield from counts()
+        count_pairs()
         seen = np.flatnonzero(pairs)
         yield pa.RecordBatch.from_arrays([pa.array([1] * len(seen), pa.int8()), pa.nulls(len(seen), pa.binary()), pa.array(seen), pa.array(pairs[seen])], ["kind", "item", "code", "n"])
 
