@@ -7,8 +7,11 @@ equivalent without them; what SQL can't tell at all has no SQL and is held again
 from __future__ import annotations
 
 from collections.abc import Callable
+from statistics import median
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -16,6 +19,7 @@ from ..operators import bibliography, content, identity, layout, liveness, pagef
 from ..sources.papers import Tables, empty, from_texts
 from . import audit as audits
 from . import seeds
+from .findings import RULES
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,6 +27,13 @@ SQL: dict[str, str] = {}
 CONTENT = seeds.sql(seeds.PAGES)
 
 
+class Placed(NamedTuple):
+    """What the run rules look at of a line."""
+
+    text: str
+    y0: float
+
+
 def query(name: str, sql: str | None = None):
     def keep(f: Query) -> Query:
         QUERIES[name] = f
@@ -87,7 +98,17 @@ def repeated_words(spark, sf_dir):
     return matches(spark, sf_dir, "R13").select("paper_id").distinct()
 
 
-@query("r12_draft_contexts")
+def spelt_contexts(pattern: str) -> str:
+    """SQL for contexts(): a match starts behind all matches and rests before it."""
+    return rf"""
+WITH t AS (SELECT paper_id, page_num, raw_text, regexp_extract_all(raw_text, '{pattern}') AS m, regexp_split_to_array(raw_text, '{pattern}') AS r FROM ({CONTENT})),
+i AS (SELECT *, unnest(range(1, least(len(m), {P.PREVIEW}) + 1)) AS i FROM t WHERE len(m) > 0),
+s AS (SELECT *, list_sum(list_transform(r[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS s FROM i),
+c AS (SELECT paper_id, page_num, i, trim(regexp_replace(substring(raw_text, CAST(greatest(s - {P.CONTEXT}, 0) + 1 AS BIGINT), CAST(s + length(m[i]) + {P.CONTEXT} - greatest(s - {P.CONTEXT}, 0) AS BIGINT)), '\s+', ' ', 'g')) AS c FROM s)
+SELECT paper_id, page_num, string_agg(c, ' | ' ORDER BY i) AS contexts FROM c GROUP BY ALL"""
+
+
+@query("r12_draft_contexts", spelt_contexts(r"(?i)\b(?:TODO|FIXME|XXX|TBD)\b"))
 def draft_contexts(spark, sf_dir):
     return matches(spark, sf_dir, "R12").select("paper_id", "page_num", F.array_join("examples", " | ").alias("contexts"))
 
@@ -101,7 +122,20 @@ def bracket_balance(spark, sf_dir):
     return content.bracket_balance(pages(spark, sf_dir)).withColumn("diff", F.col("diff").cast("bigint"))
 
 
-@query("r16_bracket_places")
+#: A closer is stray where the running balance reaches a new low; an opener stays open where no later balance comes back to the one before it.
+PLACES = rf"""
+WITH t AS (SELECT paper_id, string_agg(raw_text, chr(10) ORDER BY page_num) AS text, max(length(raw_text)) FILTER (WHERE page_num = 1) AS one FROM ({CONTENT}) GROUP BY paper_id),
+u AS (SELECT paper_id FROM t, unnest(['()', '[]', '{{}}']) AS u(k) WHERE length(replace(text, k[1], '')) <> length(replace(text, k[2], '')) GROUP BY paper_id),
+h AS (SELECT paper_id, text, one, unnest(range(1, length(text) + 1)) AS i FROM t SEMI JOIN u USING (paper_id)),
+b AS (SELECT paper_id, text, one, kind, i, CASE WHEN text[i] = kind[1] THEN 1 ELSE -1 END AS d FROM h, unnest(['()', '[]', '{{}}']) AS k(kind) WHERE text[i] IN (kind[1], kind[2])),
+s AS (SELECT *, sum(d) OVER (PARTITION BY paper_id, kind ORDER BY i) AS s FROM b),
+m AS (SELECT *, coalesce(min(s) OVER (PARTITION BY paper_id, kind ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low, min(s) OVER (PARTITION BY paper_id, kind ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS later FROM s),
+x AS (SELECT *, row_number() OVER (PARTITION BY paper_id, kind, d ORDER BY i DESC) AS last, row_number() OVER (PARTITION BY paper_id, kind, d ORDER BY i) AS first FROM m WHERE d = -1 AND s < least(low, 0) OR d = 1 AND later > s - 1),
+y AS (SELECT *, 'page ' || CASE WHEN i - 1 < one + 1 THEN '1' ELSE '2' END || ' "' || trim(regexp_replace(substring(text, greatest(0, i - 1 - {P.CONTEXT}) + 1, i + {P.CONTEXT} - greatest(0, i - 1 - {P.CONTEXT})), '\s+', ' ', 'g')) || '": ' || chr(39) || text[i] || chr(39) || CASE d WHEN 1 THEN ' not closed' ELSE ' has no matching opener' END AS said FROM x WHERE d = 1 AND last <= 3 OR d = -1 AND first <= 3)
+SELECT u.paper_id, coalesce(string_agg(said, ' | ' ORDER BY list_position(['()', '[]', '{{}}'], kind), d DESC, i), '') AS places FROM u LEFT JOIN y USING (paper_id) GROUP BY u.paper_id"""
+
+
+@query("r16_bracket_places", PLACES)
 def bracket_places(spark, sf_dir):
     own = pages(spark, sf_dir)
     return content.bracket_places(own, content.bracket_balance(own)).select("paper_id", F.array_join("examples", " | ").alias("places"))
@@ -278,9 +312,12 @@ WITH e AS (SELECT paper_id, list_sort(list(x1)) AS v FROM ({seeds.sql(seeds.EDGE
 SELECT paper_id, list_median(v) AS middle, v[CAST(round_even(0.95 * (len(v) - 1), 0) AS INTEGER) + 1] AS nearest, v[CAST(floor((len(v) - 1) * 0.1) AS INTEGER) + 1] AS low FROM e""".replace("list_median(v)", "list_aggregate(v, 'median')"),
 )
 def order_statistics(spark, sf_dir):
-    own = seeds.frame(spark, sf_dir, seeds.EDGES).groupBy("paper_id").agg(F.median("x1").alias("middle"), F.sort_array(F.collect_list("x1")).alias("v"))
-    last = F.size("v") - 1
-    return own.select("paper_id", "middle", F.get("v", F.bround(last * 0.95).cast("int")).alias("nearest"), F.get("v", F.floor(last * 0.1).cast("int")).alias("low"))
+    @F.pandas_udf("middle double, nearest double, low double")
+    def ranks(values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"middle": values.map(median), "nearest": values.map(lambda v: layout.nearest_rank(list(v), 0.95)), "low": values.map(lambda v: layout.floor_rank(list(v), 0.1))})
+
+    own = seeds.frame(spark, sf_dir, seeds.EDGES).groupBy("paper_id").agg(F.collect_list("x1").alias("v"))
+    return own.select("paper_id", ranks("v").alias("r")).select("paper_id", "r.*")
 
 
 @query(
@@ -292,13 +329,17 @@ r AS (SELECT *, sum(cut) OVER (PARTITION BY paper_id ORDER BY y, number ROWS UNB
 SELECT paper_id, CAST(run AS BIGINT) AS run, CAST(min(number) AS BIGINT) AS first, count(*) AS n FROM r GROUP BY paper_id, run""",
 )
 def consecutive_runs(spark, sf_dir):
-    from pyspark.sql import Window
+    @F.pandas_udf("array<struct<run:bigint,first:bigint,n:bigint>>")
+    def runs(numbers: pd.Series) -> pd.Series:
+        def found(own):
+            rows = [Placed(str(x["number"]), x["y"]) for x in own]
+            return [{"run": k + 1, "first": int(r[0].text), "n": len(r)} for k, r in enumerate(layout.counting_runs(rows))]
+
+        return numbers.map(found)
 
-    own = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("paper_id"), F.col("l_linenumber").alias("number"), F.col("l_partkey").alias("y")).distinct()
-    w = Window.partitionBy("paper_id").orderBy("y", "number")
-    on = (F.col("number") == F.lag("number").over(w) + 1) & (F.col("y") > F.lag("y").over(w) + 2)
-    runs = own.withColumn("cut", F.when(on, 0).otherwise(1)).withColumn("run", F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("paper_id", "run").agg(F.min("number").cast("bigint").alias("first"), F.count(F.lit(1)).alias("n"))
+    own = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("paper_id"), F.struct(F.col("l_partkey").alias("y"), F.col("l_linenumber").alias("number")).alias("x"))
+    each = own.groupBy("paper_id").agg(F.sort_array(F.collect_set("x")).alias("x"))
+    return each.select("paper_id", F.explode(runs("x")).alias("r")).select("paper_id", "r.*")
 
 
 ENTRIES = r"""
@@ -339,7 +380,10 @@ def bibliographies(spark, sf_dir):
     return bibliography.bibliographies(lines.withColumn("text", heading), paper_pages(lines))
 
 
-@query("j01_link_liveness")
+@query(
+    "j01_link_liveness",
+    f"SELECT paper_id, CASE list_sum(list_transform(string_split(url, ''), lambda c: unicode(c))) % 4 WHEN 0 THEN '' WHEN 1 THEN url || ' (HTTP 404)' WHEN 2 THEN url || ' (HTTP 503)' ELSE url || ' (redirect loop)' END AS said FROM ({ANNOTATED})",
+)
 def link_liveness(spark, sf_dir):
     """Liveness of the planted links against a transport that answers by the address; nothing is requested."""
     own = urls.annotations(links(spark, sf_dir)).select("paper_id", "url")
@@ -369,7 +413,52 @@ def all_text_findings(spark, sf_dir):
     return text_findings(spark, sf_dir).select("paper_id", "seq", "level", "check_type", "rule_id", "n", csv("pages").alias("pages"), F.array_join("examples", "|").alias("examples"), "message_en")
 
 
-@query("a10_summary")
+def one_each(name: str, rule: str) -> str:
+    """A finding of the rule for each paper that the query of that name returns."""
+    return f"SELECT DISTINCT paper_id, '{rule}' AS rule_id FROM ({SQL[name]})"
+
+
+#: The rules that find something in each paper; R20 finds something once a field.
+FOUND = " UNION ALL ".join([
+    f"SELECT paper_id, CASE level WHEN 'Pass' THEN 'R01P' ELSE 'R01' END AS rule_id FROM ({SQL['r01_file_size']})",
+    *(one_each(q, r) for q, r in (
+        ("r09_long_numbers", "R09"), ("r10_unreadable_pages", "R10"), ("r11_unresolved_references", "R11"), ("r12_draft_markers", "R12"), ("r13_repeated_words", "R13"), ("r14_odd_punctuation", "R14"),
+        ("r15_lower_case_floats", "R15"), ("r16_bracket_balance", "R16"), ("r17_number_gaps", "R17"), ("r18_author_metadata", "R18"), ("r19_word_processor", "R19"), ("r21_first_page_identity", "R21"),
+        ("r22_acknowledgments", "R22"),
+    )),
+    f"SELECT paper_id, 'R20' AS rule_id FROM ({SQL['r20_local_paths']})",
+    f"SELECT DISTINCT paper_id, 'R23' AS rule_id FROM ({TEXTED}) WHERE {REVEALING}",
+])
+LEVELS = "CASE rule_id " + " ".join(f"WHEN '{r}' THEN '{v[1]}'" for r, v in RULES.items()) + " END"
+TYPES = "CASE rule_id " + " ".join(f"WHEN '{r}' THEN '{v[2]}'" for r, v in RULES.items()) + " END"
+RANK = "list_position(['Pass', 'Unchecked', 'Warning', 'Error'], level)"
+
+
+@query("h04_finding_levels", f"SELECT paper_id, {LEVELS} AS level, {TYPES} AS check_type, substring(rule_id, 1, 3) AS rule_id, count(*) AS n FROM ({FOUND}) GROUP BY ALL")
+def finding_levels(spark, sf_dir):
+    """How many findings each rule makes in a paper: the union of all text rules without what they say."""
+    return text_findings(spark, sf_dir).groupBy("paper_id", "level", "check_type", "rule_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "a09_report_order",
+    f"""
+WITH f AS (SELECT paper_id, rule_id, {LEVELS} AS level FROM ({FOUND}))
+SELECT paper_id, path, CAST({RANK} AS INTEGER) AS rank, CAST(substring(rule_id, 2, 2) AS INTEGER) AS seq, row_number() OVER (PARTITION BY paper_id ORDER BY {RANK}, rule_id) AS place FROM f JOIN ({PAPERS}) USING (paper_id)""",
+)
+def report_order(spark, sf_dir):
+    """The report's lines by their places within their papers, without their wording."""
+    lines = audits.report(text_findings(spark, sf_dir), papers(spark, sf_dir), "en")
+    return lines.select("paper_id", "path", "rank", "seq", F.row_number().over(Window.partitionBy("paper_id").orderBy("rank", "seq")).cast("bigint").alias("place"))
+
+
+@query(
+    "a10_summary",
+    f"""
+WITH f AS (SELECT paper_id, {LEVELS} AS level FROM ({FOUND})),
+s AS (SELECT p.paper_id, count(*) FILTER (WHERE level = 'Error') AS errors, count(*) FILTER (WHERE level = 'Warning') AS warnings, coalesce(bool_or(level = 'Unchecked'), false) AS has_unchecked FROM ({PAPERS}) p LEFT JOIN f USING (paper_id) GROUP BY p.paper_id)
+SELECT *, false AS failed, errors + warnings > 0 AS has_issues, errors + warnings = 0 AND NOT has_unchecked AS all_clear FROM s""",
+)
 def summaries(spark, sf_dir):
     return audits.summary(text_findings(spark, sf_dir), papers(spark, sf_dir))
 
