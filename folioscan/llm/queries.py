@@ -64,10 +64,41 @@ QUERIES = {
     "op10_bit_sliced_top_k": op10_bit_sliced_top_k,
 }
 
+WORDS = r"SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents)"
+
 ORACLES: dict[str, str] = {
     "op1_perspective_chat": chat.ORACLE,
     "op2_risk_controlled_rules": quality.oracle_sql(),
     "op5_deletion_neighbourhood": lines.ORACLE,
+    "op6_fast_similarity_sketch": f"""
+WITH RECURSIVE w AS ({WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}
+), g AS (
+  SELECT doc_id, i, string_agg(word, ' ') OVER five AS g, count(*) OVER five AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM w WINDOW five AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)
+), s AS (
+  SELECT DISTINCT doc_id, g FROM g WHERE k = 5 OR n < 5 AND i = 1
+), z AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM s x JOIN s y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * m >= 75 * (x.n + y.n - m)
+), r AS (
+  SELECT doc_id, doc_id AS c FROM documents UNION SELECT b, c FROM r JOIN l ON a = doc_id
+)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(c) AS component_id, d.doc_id = min(c) AS kept FROM documents d JOIN r USING (doc_id) LEFT JOIN z USING (doc_id) GROUP BY d.doc_id
+""",
+    "op9_relative_lempel_ziv": f"""
+WITH w AS ({WORDS.format(text="coalesce(text, '')")}
+), g AS (
+  SELECT *, CASE WHEN count(*) OVER o = 13 THEN string_agg(word, ' ') OVER o END AS g FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)
+), f AS (
+  SELECT g, min(doc_id) AS first FROM g WHERE g IS NOT NULL GROUP BY g
+), c AS (
+  SELECT doc_id, i, word, coalesce(bool_or(first < doc_id) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW), false) AS gone FROM g LEFT JOIN f USING (g)
+)
+SELECT d.doc_id, count(i) AS n_words, count(i) FILTER (WHERE gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM documents d LEFT JOIN c USING (doc_id) GROUP BY d.doc_id
+""",
     "op10_bit_sliced_top_k": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
