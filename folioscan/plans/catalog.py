@@ -396,9 +396,14 @@ def canned(url: str) -> tuple[int, str | None]:
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    out = from_texts(papers(spark, sf_dir), seeds.frame(spark, sf_dir, seeds.PAGES))
-    out.lines = empty(spark, "lines")
-    return out
+    """Papers with texts and with lines, words, links, fonts and images of their own."""
+    read = lambda text: seeds.frame(spark, sf_dir, text)
+    texts = from_texts(papers(spark, sf_dir), read(seeds.PAGES))
+    lines = seeds.layout_lines(spark, sf_dir).withColumn("page_num", F.col("page_num") + 2).unionByName(read(seeds.REFERENCES))
+    rect = {c: F.lit(v) for c, v in (("x0", 0.0), ("y0", 0.0), ("x1", 612.0), ("y1", 792.0))}
+    laid_out = lines.select("paper_id", "page_num").distinct().withColumns(rect | {"raw_text": F.lit("laid out"), "n_images": F.lit(0), "n_drawings": F.lit(0)})
+    pages = texts.pages.withColumns(rect).unionByName(laid_out.select(*texts.pages.columns))
+    return Tables(papers=texts.papers, pages=pages, lines=lines, words=read(seeds.WORDS), links=read(seeds.PAPER_LINKS), fonts=read(seeds.PAPER_FONTS), images=read(seeds.PAPER_IMAGES))
 
 
 def text_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -470,7 +475,7 @@ def reports(spark, sf_dir):
 
 @query("k01_full_audit")
 def full_audit(spark, sf_dir):
-    """Every rule over the seeded papers, liveness against canned answers."""
+    """Every rule over papers with texts, layout, bibliography, words, links, fonts and images; liveness against canned answers."""
     found = audits.audit(tables(spark, sf_dir), audits.Options(max_pages=9, transport=canned, lang="en"))
     return found.select("paper_id", "level", "rule_id", "n", "message_en")
 

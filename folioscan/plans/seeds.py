@@ -49,6 +49,27 @@ SELECT l_orderkey AS paper_id, CAST(l_linenumber AS INT) AS page_num, CAST(l_lin
        CAST(l_partkey % 50 - 5 AS DOUBLE) AS wide, CAST(l_suppkey % 40 AS DOUBLE) AS high, CAST(l_quantity AS INT) AS width_px, CAST(l_quantity * 2 AS INT) AS height_px FROM {lineitem}"""
 EDGES = "SELECT CAST(floor(l_orderkey / 16) AS BIGINT) AS paper_id, CAST(l_partkey % 97 AS DOUBLE) AS x0, CAST(l_partkey % 97 + 100 + l_suppkey % 31 AS DOUBLE) AS x1 FROM {lineitem}"
 
+#: A laid-out paper beside its text: a last page with a bibliography of six entries, whose titles repeat in every third paper
+#: and are cut off in every fifth, and line numbers of a review copy in every second.
+REFERENCES = """
+SELECT doc_id AS paper_id, 900 AS page_num, CAST(k AS INT) AS block_no, 0 AS block_type, 0 AS line_no,
+       named_struct('x0', IF(k > 100, 20.0D, 72.0D), 'y0', 60.0D + 14 * (k % 100), 'x1', IF(k > 100, 32.0D, 72.0D + least(440, 5 * length(text))), 'y1', 70.0D + 14 * (k % 100)) AS bbox,
+       text, IF(k > 100, 5.0D, 10.0D) AS font_size, 68.0D + 14 * (k % 100) AS baseline
+FROM (SELECT doc_id, posexplode(array('References', '[1] Field, A. A first study of large things. In Venue, 2019.', '[2] Stone, B. Another tale of many small works. 2020.',
+             CASE WHEN doc_id % 3 = 0 THEN '[3] Field, A. A first study of large things. Journal, 2021.' ELSE '[3] Rivers, C. Water in its own words. 2021.' END,
+             CASE WHEN doc_id % 5 = 0 THEN '[4]' ELSE '[4] Hill, D. High ground and what is beyond it. 2018.' END, '[5] Meadow, E. Green fields seen from afar. 2017.', '[6] Wood, F. Trees of every kind. 2016.')) AS (k, text) FROM {documents}
+      UNION ALL SELECT doc_id, 100 + n, CAST(17 + n AS STRING) FROM {documents} LATERAL VIEW explode(sequence(1, 6)) s AS n WHERE doc_id % 2 = 0)"""
+WORDS = """
+SELECT doc_id AS paper_id, 2 AS page_num, CAST(n AS INT) AS word_no, 72.0D AS x0, 60.0D + 12 * n AS y0, 200.0D AS x1, 70.0D + 12 * n AS y1, word AS text
+FROM (SELECT doc_id, posexplode(array('see', 'https://x.org/long/', concat('path', CAST(doc_id % 10 AS STRING), '.'), 'and', concat('https://github.com/a', CAST(doc_id DIV 2 % 4 AS STRING)))) AS (n, word) FROM {documents} WHERE doc_id % 2 = 0)"""
+PAPER_LINKS = """
+SELECT doc_id AS paper_id, 2 AS page_num, 0 AS link_no, concat('https://x.org/long/path', CAST(doc_id % 10 AS STRING)) AS uri, named_struct('x0', 70.0D, 'y0', 70.0D, 'x1', 205.0D, 'y1', 96.0D) AS rect FROM {documents} WHERE doc_id % 2 = 0"""
+PAPER_FONTS = """
+SELECT doc_id AS paper_id, 1 AS page_num, CAST(k AS INT) AS xref, CASE k WHEN 0 THEN 'ABCDEF+Times-Roman' WHEN 1 THEN 'Arial' ELSE 'CMR10' END AS font_name, k = 2 OR doc_id % (k + 2) > 0 AS embedded
+FROM {documents} LATERAL VIEW explode(array(0, 1, 2)) s AS k"""
+PAPER_IMAGES = """
+SELECT doc_id AS paper_id, 1 AS page_num, 0 AS img_no, named_struct('x0', IF(doc_id % 4 = 0, 2.0D, 100.0D), 'y0', 300.0D, 'x1', 172.0D, 'y1', 372.0D) AS bbox, CAST(100 + 50 * (doc_id % 3) AS INT) AS width_px, 300 AS height_px FROM {documents} WHERE doc_id % 7 < 3"""
+
 TABLES = ("documents", "pages", "orders", "lineitem")
 
 

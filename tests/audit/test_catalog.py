@@ -35,3 +35,9 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_query_runs(spark, name):
     catalog.queries()[name](spark, SF).collect()
+
+
+def test_the_full_audit_has_every_kind_of_finding(spark):
+    got = {(r.rule_id, r.level) for r in catalog.full_audit(spark, SF).select("rule_id", "level").distinct().collect()}
+    missing = {f"R{k:02}" for k in range(1, 34)} - {r for r, _ in got}
+    assert missing <= {"R24", "R28", "R30"}, missing
