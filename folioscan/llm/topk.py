@@ -12,6 +12,7 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,8 +133,8 @@ def matrix(vectors: list[list[int]]) -> np.ndarray:
     return out
 
 
-def blocks(vectors: DataFrame, size: int, build) -> DataFrame:
-    """Vectors dealt out evenly and gathered into pickled blocks of up to size rows."""
+def blocks(vectors: DataFrame, size: int, build) -> tuple[DataFrame, int]:
+    """(lot, block): vectors dealt out evenly to lots of about size rows, gathered into pickled blocks of size rows at most; and the number of lots."""
     n = vectors.count()
     parts = max(1, -(-n // size))
 
@@ -150,9 +151,10 @@ def blocks(vectors: DataFrame, size: int, build) -> DataFrame:
             yield made(ids, own)
 
     def made(ids, own):
-        return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(build(np.array(ids, np.int64), matrix(own)))], pa.binary())], ["block"])
+        block = pickle.dumps(build(np.array(ids, np.int64), matrix(own)))
+        return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([block], pa.binary())], ["lot", "block"])
 
-    return vectors.repartition(parts).mapInArrow(run, "block binary")
+    return vectors.repartition(parts).mapInArrow(run, "lot int, block binary"), parts
 
 
 def quantised(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
@@ -174,8 +176,9 @@ def top_k(vectors: DataFrame, query_filter, k: int = 5, scale: int = 256, id_col
     """
     all_rows = materialize(quantised(vectors, scale, id_col, vector_col), "quantised")
     asked = all_rows.filter(query_filter).dropDuplicates(["id", "q"])
-    index = materialize(blocks(all_rows, BLOCK, SliceBlock), "slices")
-    queries = materialize(blocks(asked, QUERIES, lambda ids, q: (ids, q)), "queries")
+    index, lots = blocks(all_rows, BLOCK, SliceBlock)
+    index = materialize(index, "slices")
+    queries = materialize(blocks(asked, QUERIES, lambda ids, q: (ids, q))[0], "queries")
 
     def score(batches):
         for b in batches:
@@ -187,7 +190,9 @@ def top_k(vectors: DataFrame, query_filter, k: int = 5, scale: int = 256, id_col
                 if sum(n):
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))], ["query_id", "vec_id", "score"])
 
-    pairs = queries.select(F.col("block").alias("asked")).crossJoin(index)
+    # Query blocks go to every lot of the index; the index, which is the larger side, isn't sent around.
+    sent = queries.select(F.explode(F.sequence(F.lit(0), F.lit(lots - 1))).alias("lot"), F.col("block").alias("asked"))
+    pairs = sent.join(index.hint("shuffle_hash"), "lot").select("asked", "block")
     best = pairs.mapInArrow(score, "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
