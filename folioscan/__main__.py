@@ -27,7 +27,7 @@ def main(argv: list[str] | None = None) -> int:
         print(e, file=sys.stderr)
     if files.isEmpty():
         return 2
-    tables = pdf.read_pdf(spark, files)
+    tables = pdf.read_pdf(spark, [p for p in a.paths if not any(e.startswith(f"{p}: ") for e in errors)])
     found = audit(tables, Options(a.max_pages, a.min_dpi, a.margin_pt, a.disable_link_check, a.lang, a.num_workers)).cache()
     for row in report(found, tables.papers, a.lang).toLocalIterator():
         print(f"{row.path}: {row.line}")

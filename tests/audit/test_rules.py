@@ -277,3 +277,76 @@ def test_discovery(spark, tmp_path):
     rows = files.collect()
     assert [r.path.rsplit("/", 1)[1] for r in rows] == ["a.pdf", "b.PDF"] and rows[0].file_bytes == 3
     assert len(errors) == 1
+
+
+def test_intermediate_tables_need_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from folioscan.sources.store import shared_dir
+
+    def session(**conf):
+        own = dict(conf)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, default=None: own.get(k.rpartition("spark.")[2], default), set=lambda k, v: own.update({k.rpartition("spark.")[2]: v})))
+
+    assert shared_dir(session(**{"checkpoint.dir": "s3a://b/x/", "master": "yarn"})) == "s3a://b/x"
+    assert shared_dir(session(master="local[4]")).startswith("/")
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            shared_dir(session(master=master))
+
+
+def test_recorded_pages_become_tables_and_findings(spark, tmp_path):
+    from folioscan.sources.pdf import read_pdf
+
+    class RecordedPage:
+        """What the PDF library answers for a page, as plain values."""
+
+        rect = (0, 0, 612, 792)
+
+        def get_text(self, kind="text", flags=None):
+            line = {"bbox": (72, 60, 300, 70), "spans": [{"text": "TODO see ", "size": 10, "origin": (72, 68)}, {"text": "[?]", "size": 9, "origin": (200, 69)}]}
+            return {"text": "TODO see [?]", "words": [(72, 60, 100, 70, "TODO", 0, 0, 0)], "dict": {"blocks": [{"type": 0, "lines": [line]}, {"type": 1}]}}[kind]
+
+        def get_image_info(self):
+            return [{"bbox": (0, 0, 72, 72), "width": 100, "height": 90}]
+
+        def get_drawings(self):
+            return []
+
+        def get_fonts(self):
+            return [(5, "", "", "ABCDEF+Odd"), (6, "", "", "Good")]
+
+        def get_links(self):
+            return [{"uri": "https://github.com/a", "from": (1, 2, 3, 4)}, {"kind": 1}]
+
+    class RecordedDocument(list):
+        metadata, page_count = {"author": "Alice", "creator": None}, 1
+
+        def xref_length(self):
+            return 10
+
+        def xref_get_key(self, xref, key):
+            return ("xref", "7 0 R") if (xref, key) == (6, "FontDescriptor") else ("xref", "8 0 R") if (xref, key) == (7, "FontFile2") else ("null", "null")
+
+        def xref_is_stream(self, xref):
+            return xref == 8
+
+        def xref_stream(self, xref):
+            return b"font"
+
+    def opened(content):
+        if content == b"bad":
+            raise ValueError("not a PDF")
+        return RecordedDocument([RecordedPage()])
+
+    (tmp_path / "a.pdf").write_bytes(b"good")
+    (tmp_path / "b.PDF").write_bytes(b"bad")
+    save(read_pdf(spark, [str(tmp_path), str(tmp_path / "a.pdf")], opened), str(tmp_path / "tables"))
+    t = load(spark, str(tmp_path / "tables"))
+    assert {(r.path.rsplit("/", 1)[1], r.read_error) for r in t.papers.collect()} == {("a.pdf", None), ("b.PDF", "ValueError: not a PDF")}
+    line = t.lines.first()
+    assert (line.text, line.font_size, line.baseline, line.block_no) == ("TODO see [?]", 10.0, 68.5, 0)
+    assert {r.font_name: r.embedded for r in t.fonts.collect()} == {"ABCDEF+Odd": False, "Good": True}
+    assert [r.uri for r in t.links.sort("link_no").collect()] == ["https://github.com/a", None] and t.words.first().text == "TODO"
+    found = {(r.rule_id, r.level) for r in audit(t, Options(disable_link_check=True)).collect()}
+    assert {("R04", "Error"), ("R07", "Warning"), ("R11", "Error"), ("R12", "Error"), ("R18", "Error"), ("R23", "Warning"), ("R34", "Error")} <= found
