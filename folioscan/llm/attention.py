@@ -59,24 +59,42 @@ def fresh(ids: int) -> dict[str, np.ndarray]:
 MASK = np.triu(np.full((WIDTH, WIDTH), -1e9, np.float32), 1)
 
 
+def largest(a: np.ndarray) -> np.ndarray:
+    """The maximum over the last axis, which stays with length 1, by halves: a reduction along a short axis is slow."""
+    while (n := a.shape[-1]) > 1:
+        half = (n + 1) // 2
+        a = np.maximum(a[..., :half], a[..., n - half :])
+    return a
+
+
+def total(a: np.ndarray) -> np.ndarray:
+    """The sum over the last axis, which stays with length 1."""
+    return (a @ np.ones(a.shape[-1], a.dtype))[..., None]
+
+
+def turned(a: np.ndarray) -> np.ndarray:
+    """Each matrix transposed, in an order that products take at full speed."""
+    return np.ascontiguousarray(a.transpose(0, 2, 1))
+
+
 def class_logs(w: dict, pair: PairModel, ids: np.ndarray, keep: dict | None = None) -> np.ndarray:
     """Log shares of the next id's class at every place of windows ids (n, WIDTH); a place sees itself and those before."""
-    x = w["E"][ids] + w["P"]
-    q, k, v = x @ w["Q"], x @ w["K"], x @ w["V"]
-    a = q @ k.transpose(0, 2, 1)
-    a *= DIM**-0.5
+    x = w["E"].take(ids, axis=0)
+    x += w["P"]
+    q, k, v = x @ (w["Q"] * np.float32(DIM**-0.5)), x @ w["K"], x @ w["V"]
+    a = q @ turned(k)
     a += MASK
-    a -= a.max(axis=2, keepdims=True)
+    a -= largest(a)
     np.exp(a, out=a)
-    a /= a.sum(axis=2, keepdims=True)
+    a /= total(a)
     o = a @ v
     h = x + o @ w["O"]
     r = np.maximum(h @ w["A"], 0)
     g = h + r @ w["B"]
     y = g @ w["U"]
-    y += pair.of[ids]
-    y -= y.max(axis=2, keepdims=True)
-    y -= np.log(np.exp(y).sum(axis=2, keepdims=True))
+    y += pair.of.take(ids, axis=0)
+    y -= largest(y)
+    y -= np.log(total(np.exp(y)))
     if keep is not None:
         keep |= {"x": x, "q": q, "k": k, "v": v, "a": a, "o": o, "h": h, "r": r, "g": g}
     return y
@@ -101,9 +119,11 @@ def gradients(w: dict, pair: PairModel, ids: np.ndarray, target: np.ndarray, wei
     out["O"] = flat(f["o"]).T @ flat(dh)
     do = dh @ w["O"].T
     dv = f["a"].transpose(0, 2, 1) @ do
-    da = do @ f["v"].transpose(0, 2, 1)
-    ds = f["a"] * (da - (da * f["a"]).sum(axis=2, keepdims=True)) * DIM**-0.5
-    dq, dk = ds @ f["k"], ds.transpose(0, 2, 1) @ f["q"]
+    ds = do @ turned(f["v"])
+    ds -= total(ds * f["a"])
+    ds *= f["a"]
+    # q is scaled already, so its own gradient is scaled here and k's there.
+    dq, dk = ds @ f["k"] * np.float32(DIM**-0.5), ds.transpose(0, 2, 1) @ f["q"]
     out |= {name: flat(f["x"]).T @ flat(part) for name, part in (("Q", dq), ("K", dk), ("V", dv))}
     dx = dh + dq @ w["Q"].T + dk @ w["K"].T + dv @ w["V"].T
     out["P"] = dx.sum(axis=0)
@@ -136,49 +156,62 @@ def train(w: dict, pair: PairModel, windows: np.ndarray, steps: int, batch: int
     return w
 
 
-def cut(n: int) -> np.ndarray:
-    """First places of the windows over n ids: each but the first repeats OVERLAP places for context alone."""
-    return np.arange(0, max(1, n - OVERLAP), WIDTH - OVERLAP)
+def cuts(n: np.ndarray) -> np.ndarray:
+    """How many windows score texts of n ids: each but the first repeats OVERLAP places for context alone."""
+    return np.maximum(1, -(-(n - OVERLAP) // (WIDTH - OVERLAP)))
+
+
+def places(of: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each text, of of them for each."""
+    return np.arange(of.sum()) - np.repeat(np.cumsum(of) - of, of)
 
 
 def target_logs(w: dict, pair: PairModel, ids: np.ndarray, target: np.ndarray, skip: int) -> np.ndarray:
     """Log probabilities of the targets (n, WIDTH - skip) at the places from skip on; as class_logs, without what only training needs."""
-    x = w["E"][ids] + w["P"]
-    q, own = x[:, skip:] @ (w["Q"] * np.float32(DIM**-0.5)), ids[:, skip:]
-    a = q @ (x @ w["K"]).transpose(0, 2, 1)
+    x = w["E"].take(ids, axis=0)
+    x += w["P"]
+    rest = np.ascontiguousarray(x[:, skip:])
+    own = ids[:, skip:]
+    a = (rest @ (w["Q"] * np.float32(DIM**-0.5))) @ turned(x @ w["K"])
     a += MASK[skip:]
-    a -= a.max(axis=2, keepdims=True)
+    a -= largest(a)
     np.exp(a, out=a)
     o = a @ (x @ w["V"])
-    o /= a.sum(axis=2, keepdims=True)
-    h = x[:, skip:] + o @ w["O"]
+    o /= total(a)
+    h = rest + o @ w["O"]
     h += np.maximum(h @ w["A"], 0) @ w["B"]
     y = h @ w["U"]
-    y += pair.of[own]
-    y -= y.max(axis=2, keepdims=True)
+    y += pair.of.take(own, axis=0)
+    y -= largest(y)
     said = np.take_along_axis(y, pair.own[target][:, :, None], axis=2)[:, :, 0]
     np.exp(y, out=y)
-    return said - np.log(y.sum(axis=2)) + pair.within[own, target]
-
-
-def score(w: dict, pair: PairModel, texts: list[np.ndarray], end: int, chunk: int = 512) -> np.ndarray:
-    """Natural log probability of every id of the texts and of the end after each, one after another; every one scored once."""
-    flat = np.concatenate([p for ids in texts for p in ([end], ids, [end])] + [np.zeros(WIDTH + 1)]).astype(np.int64)
-    sizes = np.array([len(ids) + 1 for ids in texts])
-    cuts = [cut(n) for n in sizes.tolist()]
-    n = np.array([len(c) for c in cuts])
-    begin = np.repeat(np.cumsum(sizes + 1) - sizes - 1, n)
-    local = np.concatenate(cuts)
-    out = np.empty(len(flat), np.float64)
-    place = np.arange(WIDTH)
+    return said - np.log(total(y)[:, :, 0]) + pair.within[own, target]
+
+
+def score_stream(w: dict, pair: PairModel, ids: np.ndarray, ends: np.ndarray, chunk: int = 128) -> np.ndarray:
+    """Natural log probability of every id but the first, given those before it in its text; every one scored once.
+
+    ids are texts one after another with an end before the first and behind each; ends are the places of the ends.
+    """
+    flat = np.concatenate((ids, np.zeros(WIDTH + 1, np.int64)))
+    n = np.diff(ends)
+    of = cuts(n)
+    begin, size = np.repeat(ends[:-1], of), np.repeat(n, of)
+    local = places(of) * (WIDTH - OVERLAP)
+    out, place = np.empty(len(ids), np.float64), np.arange(WIDTH)
     for skip in (0, OVERLAP):
         mine = np.flatnonzero((local > 0) == (skip > 0))
         for k in range(0, len(mine), chunk):
-            at = (begin + local)[mine[k : k + chunk], None] + place
+            some = mine[k : k + chunk]
+            at = (begin + local)[some, None] + place
             logs = target_logs(w, pair, flat[at], flat[at[:, skip:] + 1], skip)
-            left = np.repeat(sizes, n)[mine[k : k + chunk]] - local[mine[k : k + chunk]] - skip
-            live = place[: WIDTH - skip] < left[:, None]
+            live = place[: WIDTH - skip] < (size[some] - local[some] - skip)[:, None]
             out[at[:, skip:][live]] = logs[live]
-    keep = np.ones(int((sizes + 1).sum()), bool)
-    keep[np.cumsum(sizes + 1) - 1] = False
-    return out[: len(keep)][keep]
+    return out[:-1]
+
+
+def score(w: dict, pair: PairModel, texts: list[np.ndarray], end: int) -> np.ndarray:
+    """As score_stream, for separate texts of ids: of every id and of the end after each text."""
+    sizes = np.array([len(t) + 1 for t in texts])
+    stream = np.concatenate([np.array([end]), *(np.append(t, end) for t in texts)]).astype(np.int64)
+    return score_stream(w, pair, stream, np.concatenate(([0], np.cumsum(sizes))))

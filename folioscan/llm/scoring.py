@@ -14,7 +14,9 @@ import pickle
 import uuid
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,17 +26,14 @@ from pyspark.sql import functions as F
 
 from . import attention
 from .common import BoundedCache, crc32_of_id, discard, materialize
+from .hashing import words_of
 
 #: Subword ids (the first ranks of the vocabulary, which are a vocabulary of their own), and word counts that every worker holds.
 SUBWORDS, HEAD = 2048, 262_144
 #: Windows of one trainer, windows of a step, and steps that a trainer of fewer windows takes at most, over and over them.
 WINDOWS, BATCH, STEPS = 120_000, 128, 1000
-#: Words and windows that a worker gathers before it hands them on.
-FLUSH, HELD = 200_000, 20_000
-#: Pairs of ids that are counted at once.
-PAIRS = 1_000_000
-#: Words that are scored at once.
-SLICE = 150_000
+#: Distinct words that a worker gathers before it hands them on, and pairs of ids that are counted at once.
+FLUSH, PAIRS = 200_000, 1_000_000
 #: Weight of a word's own share in the score, next to the attention model's; the log of words without a count at hand.
 SHARE, UNSEEN = 0.5, -1e9
 
@@ -52,7 +51,7 @@ class Subwords:
         self.words = BoundedCache(self.ids, cap=250_000)
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u2")
+        return np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u2").astype(np.int64)
 
 
 class Known:
@@ -73,16 +72,52 @@ class Known:
         return cls.last[1]
 
 
-def slices(words: list[list[bytes]]):
-    """Ranges of texts of about SLICE words."""
-    first = n = 0
-    for k, t in enumerate(words):
-        n += len(t)
-        if n >= SLICE:
-            yield first, k + 1
-            first, n = k + 1, 0
-    if first < len(words):
-        yield first, len(words)
+class Coded(NamedTuple):
+    """Words of some rows by codes: the rows' first row, each word's code (the last code is a row's end), the distinct words,
+    and where each row's words begin, its end counted."""
+
+    first: int
+    code: np.ndarray
+    words: list[bytes]
+    offsets: np.ndarray
+
+    @property
+    def rows(self) -> int:
+        return len(self.offsets) - 1
+
+
+def coded(texts: pa.Array) -> Iterator[Coded]:
+    """Lower-cased words of a column of texts, some rows at a time; Python meets each distinct word of these rows once."""
+    data = texts.cast(pa.large_string()).cast(pa.large_binary())
+    for w in words_of(data, lower=True, seeds=2, spans=True):
+        one, two = w.hashes
+        _, first, code = np.unique(one, return_index=True, return_inverse=True)
+        if not (two == two[first][code]).all():  # two words that share 64 bits
+            _, first, code = np.unique(np.stack((one, two), axis=1), axis=0, return_index=True, return_inverse=True)
+        row = np.searchsorted(w.offsets, first, "right") - 1
+        at = {r: data[w.first + r].as_py() for r in np.unique(row).tolist()}
+        words = [at[r][a:e].lower() for r, a, e in zip(row.tolist(), w.start[first].tolist(), w.end[first].tolist(), strict=True)]
+        n = len(w.offsets) - 1
+        yield Coded(w.first, np.insert(code.ravel(), w.offsets[1:], len(words)), words, w.offsets + np.arange(n + 1))
+
+
+class Stream(NamedTuple):
+    """Ids of all texts one after another, an end before the first and behind each; places of the ends; each word's number of ids, an end's is 1."""
+
+    ids: np.ndarray
+    ends: np.ndarray
+    sizes: np.ndarray
+
+
+def stream_of(c: Coded, ids: list[bytes], end: int) -> Stream:
+    """ids: those of each distinct word, little-endian unsigned 16-bit."""
+    flat = np.frombuffer(b"".join([*ids, np.array([end], "<u2").tobytes()]), "<u2").astype(np.int64)
+    size = np.array([len(x) >> 1 for x in ids] + [1])
+    begin = np.cumsum(size) - size
+    sizes = size[c.code]
+    at = np.repeat(begin[c.code], sizes) + attention.places(sizes)
+    ends = np.cumsum(sizes)[c.offsets[1:] - 1]
+    return Stream(np.concatenate(([end], flat[at])), np.concatenate(([0], ends)), sizes)
 
 
 @cache
@@ -90,57 +125,56 @@ def subwords(path: str, size: int) -> Subwords:
     return Subwords(path, size)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").lower().split()
-
-
 def gathered(train: DataFrame, path: str, size: int, text_col: str) -> DataFrame:
-    """(kind, item, code, n): 0 counts of a word (empty: the end), 1 counts of a pair of ids, 2 training windows."""
+    """(kind, item, code, n): 0 counts of a word (empty: the end), 1 counts of a pair of ids, 2 training windows.
+
+    Training windows stand side by side, so that every id is a target once.
+    """
     ids = size + 1
+    names = ["kind", "item", "code", "n"]
 
     def run(batches):
         encode, end = subwords(path, size), size
         words, pairs = Counter(), np.zeros(ids * ids, np.int64)
+        codes, held = [], 0
 
         def counts():
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(words), pa.int8()), pa.array(list(words), pa.binary()), pa.nulls(len(words), pa.int64()), pa.array(list(words.values()), pa.int64())], ["kind", "item", "code", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(words), pa.int8()), pa.array(list(words), pa.binary()), pa.nulls(len(words), pa.int64()), pa.array(list(words.values()), pa.int64())], names)
             words.clear()
 
-        windows, codes, held = [], [], 0
-
         def count_pairs():
             if codes:
-                code, n = np.unique(np.concatenate(codes), return_counts=True)
-                pairs[code] += n
+                np.add(pairs, np.bincount(np.concatenate(codes), minlength=len(pairs)), out=pairs)
                 codes.clear()
 
-        def cuts():
-            yield pa.RecordBatch.from_arrays([pa.array([2] * len(windows), pa.int8()), pa.array(windows, pa.binary()), pa.nulls(len(windows), pa.int64()), pa.nulls(len(windows), pa.int64())], ["kind", "item", "code", "n"])
-            windows.clear()
+        def windows(s: Stream):
+            n = np.diff(s.ends)
+            of = -(-n // attention.WIDTH)
+            begin = np.repeat(s.ends[:-1], of) + attention.WIDTH * attention.places(of)
+            long = np.minimum(attention.WIDTH, np.repeat(s.ends[1:], of) - begin) + 1
+            at = np.repeat(begin, long) + attention.places(long)
+            edges = np.concatenate(([0], np.cumsum(2 * long))).astype(np.int32)
+            item = pa.Array.from_buffers(pa.binary(), len(long), [None, pa.py_buffer(edges), pa.py_buffer(s.ids[at].astype("<i2"))])
+            none = pa.nulls(len(long), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(long), 2, np.int8)), item, none, none], names)
 
         for b in batches:
-            for text in b.column(0).to_pylist():
-                own = words_of(text)
-                words.update(own)
-                words[b""] += 1
-                x = np.concatenate(([end], encode(own), [end])).astype(np.int64)
-                codes.append(x[:-1] * ids + x[1:])
-                held += len(x)
+            for c in coded(b.column(0)):
+                for word, n in zip([*c.words, b""], np.bincount(c.code, minlength=len(c.words) + 1).tolist(), strict=True):
+                    words[word] += n
+                s = stream_of(c, list(map(encode.words.__getitem__, c.words)), end)
+                codes.append(s.ids[:-1] * ids + s.ids[1:])
+                held += len(s.ids)
                 if held > PAIRS:
                     count_pairs()
                     held = 0
-                x = x.astype("<i2")
-                for f in attention.cut(len(x) - 1).tolist():
-                    windows.append(x[f : f + attention.WIDTH + 1].tobytes())
-                    if len(windows) == HELD:
-                        yield from cuts()
+                yield windows(s)
                 if len(words) > FLUSH:
                     yield from counts()
-        yield from cuts()
         yield from counts()
         count_pairs()
         seen = np.flatnonzero(pairs)
-        yield pa.RecordBatch.from_arrays([pa.array([1] * len(seen), pa.int8()), pa.nulls(len(seen), pa.binary()), pa.array(seen), pa.array(pairs[seen])], ["kind", "item", "code", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([1] * len(seen), pa.int8()), pa.nulls(len(seen), pa.binary()), pa.array(seen), pa.array(pairs[seen])], names)
 
     return train.select(text_col).mapInArrow(run, "kind tinyint, item binary, code bigint, n bigint")
 
@@ -217,46 +251,36 @@ def score_documents(docs: DataFrame, ranks_path: str, subword_ids: int = SUBWORD
     del known
     run_id = uuid.uuid4().hex
 
-    def score(texts: list[str | None]) -> dict:
+    def score(c: Coded) -> dict:
         own = Known.of(run_id, model, subwords(ranks_path, subword_ids))
-        words = list(map(words_of, texts))
-        out = {k: [] for k in ("seen", "base", "score", "attention_score", "rest")}
-        end = own.log.get(b"", UNSEEN)
-        for a, z in slices(words):
-            some = words[a:z]
-            parts = [list(map(own.words.__getitem__, t)) for t in some]
-            ids = [np.frombuffer(b"".join([p[0] for p in t]), "<u2") for t in parts]
-            first = np.cumsum([0] + [n for t in parts for n in (*[len(p[0]) >> 1 for p in t], 1)])[:-1]
-            context = np.add.reduceat(attention.score(own.weights, shared.value, ids, subword_ids), first)
-            alone = np.array([x for t in parts for x in (*[p[1] for p in t], end)])
-            met = alone > UNSEEN
-            both = np.logaddexp(context + math.log(1 - SHARE), alone * math.log(10) + math.log(SHARE)) / math.log(10)
-            sizes = [len(t) + 1 for t in some]
-            text = np.repeat(np.arange(len(some)), sizes)
-            total = lambda x: np.bincount(text, x, len(some))  # noqa: E731, B023
-            out["seen"] += total(met).astype(np.int64).tolist()
-            out["base"] += total(np.where(met, alone, 0.0)).tolist()
-            out["score"] += total(np.where(met, both, 0.0)).tolist()
-            out["attention_score"] += (total(context) / math.log(10)).tolist()
-            begin = np.cumsum([0, *sizes])
-            far: list[dict[bytes, list[float]]] = [{} for _ in some]
-            for i in np.flatnonzero(~met).tolist():
-                k = text[i]
-                at = i - begin[k]
-                far[k].setdefault(some[k][at] if at < len(some[k]) else b"", []).append(context[i])
-            out["rest"] += [[{"item": w, "logs": x} for w, x in f.items()] for f in far]
-        return out | {"n_tokens": [len(t) + 1 for t in words]}
+        known = list(map(own.words.__getitem__, c.words))
+        s = stream_of(c, [x[0] for x in known], subword_ids)
+        logs = attention.score_stream(own.weights, shared.value, s.ids, s.ends)
+        context = np.add.reduceat(logs, np.cumsum(s.sizes) - s.sizes)
+        alone = np.array([x[1] for x in known] + [own.log.get(b"", UNSEEN)])[c.code]
+        met = alone > UNSEEN
+        both = np.logaddexp(context + math.log(1 - SHARE), alone * math.log(10) + math.log(SHARE)) / math.log(10)
+        n = np.diff(c.offsets)
+        text = np.repeat(np.arange(c.rows), n)
+        total = lambda x: np.bincount(text, x, c.rows)
+        far: list[dict[bytes, list[float]]] = [{} for _ in range(c.rows)]
+        said = [*c.words, b""]
+        for i in np.flatnonzero(~met).tolist():
+            far[text[i]].setdefault(said[c.code[i]], []).append(context[i])
+        return {
+            "n_tokens": n, "seen": total(met).astype(np.int64), "base": total(np.where(met, alone, 0.0)), "score": total(np.where(met, both, 0.0)), "attention_score": total(context) / math.log(10),
+            "rest": [[{"item": w, "logs": x} for w, x in f.items()] for f in far],
+        }
 
     def run(batches):
         row = TaskContext.get().partitionId() << 40
-        rest = pa.list_(pa.struct([("item", pa.binary()), ("logs", pa.list_(pa.float64()))]))
-        for whole in batches:
-            for k in range(0, len(whole), 500):
-                b = whole.slice(k, 500)
-                got = score(b.column(2).to_pylist())
-                columns = [pa.array(range(row, row + len(b)), pa.int64()), b.column(0), b.column(1), *(pa.array(got[c], t) for c, t in (("n_tokens", pa.int64()), ("seen", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("attention_score", pa.float64()), ("rest", rest)))]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "id", "held_out", "n_tokens", "seen", "base", "score", "attention_score", "rest"])
-                row += len(b)
+        kinds = {"n_tokens": pa.int64(), "seen": pa.int64(), "base": pa.float64(), "score": pa.float64(), "attention_score": pa.float64(), "rest": pa.list_(pa.struct([("item", pa.binary()), ("logs", pa.list_(pa.float64()))]))}
+        for b in batches:
+            for c in coded(b.column(2)):
+                got = score(c)
+                columns = [pa.array(range(row, row + c.rows), pa.int64()), *(b.column(k).slice(c.first, c.rows) for k in (0, 1)), *(pa.array(got[k], t) for k, t in kinds.items())]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "id", "held_out", *kinds])
+                row += c.rows
 
     every = docs.select(F.col(id_col).alias("id"), held.alias("held_out"), F.col(text_col).alias("text"))
     scored = every.mapInArrow(run, f"row bigint, id {kind}, held_out boolean, n_tokens bigint, seen bigint, base double, score double, attention_score double, rest array<struct<item:binary,logs:array<double>>>")

@@ -6,11 +6,15 @@ import numpy as np
 import public_tokenizers as P
 
 from folioscan.llm import attention
-from folioscan.llm.scoring import BATCH, Subwords, gathered, score_documents, steps_for, words_of
+from folioscan.llm.scoring import BATCH, Subwords, gathered, score_documents, steps_for
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
 
 
+def words_of(text):
+    return (text or "").encode("utf-8", "replace").lower().split()
+
+
 def model(seed=0, ids=20):
     rng = np.random.default_rng(seed)
     pairs = rng.integers(0, 50, (ids, ids)).astype(float) + 5 * np.eye(ids, k=1)
@@ -84,7 +88,7 @@ def test_training_takes_every_window(spark, monkeypatch):
     own, want = Subwords(RANKS, 300), Counter()
     for t in texts:
         x = np.concatenate(([300], own(words_of(t)), [300])).astype("<i2")
-        want.update(x[f : f + attention.WIDTH + 1].tobytes() for f in attention.cut(len(x) - 1))
+        want.update(x[f : f + attention.WIDTH + 1].tobytes() for f in range(0, len(x) - 1, attention.WIDTH))
     assert got == want
 
     met = Counter()
