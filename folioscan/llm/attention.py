@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from .hashing import places
+
 WIDTH, OVERLAP = 32, 8
 DIM, HIDDEN, CLASSES = 16, 32, 32
 #: Weight of single-id shares in the pair model.
@@ -161,11 +163,6 @@ def cuts(n: np.ndarray) -> np.ndarray:
     return np.maximum(1, -(-(n - OVERLAP) // (WIDTH - OVERLAP)))
 
 
-def places(of: np.ndarray) -> np.ndarray:
-    """0, 1, ... for each text, of of them for each."""
-    return np.arange(of.sum()) - np.repeat(np.cumsum(of) - of, of)
-
-
 def target_logs(w: dict, pair: PairModel, ids: np.ndarray, target: np.ndarray, skip: int) -> np.ndarray:
     """Log probabilities of the targets (n, WIDTH - skip) at the places from skip on; as class_logs, without what only training needs."""
     x = w["E"].take(ids, axis=0)

@@ -50,9 +50,12 @@ class BoundedCache(dict):
 
     def __missing__(self, key):
         value = self.compute(key)
+        self.keep(key, value)
+        return value
+
+    def keep(self, key, value) -> None:
         if len(self) < self.cap and len(key) <= self.max_key:
             self[key] = value
-        return value
 
 
 def arrow_map(df: DataFrame, columns: list[str], fn: Callable[..., Iterator[dict] | dict], schema: str) -> DataFrame:

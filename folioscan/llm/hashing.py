@@ -148,6 +148,40 @@ def words_of(texts: pa.Array, lower: bool = False, seeds: int = 1, spans: bool =
         row = to
 
 
+def places(of: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each text, of of them for each."""
+    return np.arange(of.sum()) - np.repeat(np.cumsum(of) - of, of)
+
+
+class Coded(NamedTuple):
+    """Words of some rows by codes: the rows' first row, each word's code (the last code is a row's end), the distinct words,
+    lower-cased, and where each row's words begin, its end counted."""
+
+    first: int
+    code: np.ndarray
+    words: list[bytes]
+    offsets: np.ndarray
+
+    @property
+    def rows(self) -> int:
+        return len(self.offsets) - 1
+
+
+def coded(texts: pa.Array) -> Iterator[Coded]:
+    """Lower-cased words of a column of texts, some rows at a time; Python meets each distinct word of these rows once."""
+    data = texts.cast(pa.large_string()).cast(pa.large_binary())
+    for w in words_of(data, lower=True, seeds=2, spans=True):
+        one, two = w.hashes
+        _, first, code = np.unique(one, return_index=True, return_inverse=True)
+        if not (two == two[first][code]).all():  # two words that share 64 bits
+            _, first, code = np.unique(np.stack((one, two), axis=1), axis=0, return_index=True, return_inverse=True)
+        row = np.searchsorted(w.offsets, first, "right") - 1
+        at = {r: data[w.first + r].as_py() for r in np.unique(row).tolist()}
+        words = [at[r][a:e].lower() for r, a, e in zip(row.tolist(), w.start[first].tolist(), w.end[first].tolist(), strict=True)]
+        n = len(w.offsets) - 1
+        yield Coded(w.first, np.insert(code.ravel(), w.offsets[1:], len(words)), words, w.offsets + np.arange(n + 1))
+
+
 def run_hashes(h: np.ndarray, size: int) -> np.ndarray:
     """A hash for each run of size words."""
     n = len(h) - size + 1

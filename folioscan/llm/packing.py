@@ -16,21 +16,29 @@ from __future__ import annotations
 
 import os
 import zlib
+from collections.abc import Iterator
 from functools import cache
+from itertools import chain, pairwise
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BoundedCache, materialize
+from .hashing import coded, places
 
 #: Lengths that most pricings look at: the longest open, those that lag most, and random ones; and rounds from one pricing over all lengths to the next.
 LONGEST, LAGGING, SPREAD, FULL = 4, 24, 56, 50
 
 
+#: Stops that may part from a word, and words that are encoded at once.
+STOPS, TOGETHER = (b".", b",", b";", b":", b"!", b"?"), 256
+
+
 class WordTokens:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, looked up word by word.
 
@@ -45,11 +53,37 @@ class WordTokens:
         self.words = BoundedCache(self.ids, cap=800_000)
 
     def ids(self, word: bytes) -> bytes:
+        return self.many([word])[0]
+
+    @staticmethod
+    def parts(word: bytes) -> tuple[bytes, ...]:
         """A stop behind a small letter is a pre-token of its own; other letters may fold to several characters."""
-        text = word.decode("utf-8", "replace")
-        if len(text) > 1 and text[-1] in ".,;:!?" and text[-2].isalpha() and text[-2].islower():
-            return self.words[word[:-1]] + self.words[word[-1:]]
-        return np.array(self.own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(word) > 1 and word[-1:] in STOPS:
+            before = word[:-1].decode("utf-8", "replace")[-1]
+            if before.isalpha() and before.islower():
+                return word[:-1], word[-1:]
+        return (word,)
+
+    def together(self, words: list[bytes]) -> Iterator[bytes]:
+        """The ids of each word. Words are encoded some at a time, a blank between them, and their ids told apart by places."""
+        for k in range(0, len(words), TOGETHER):
+            texts = [w.decode("utf-8", "replace") for w in words[k : k + TOGETHER]]
+            got = self.own.encode(" ".join(texts), add_special_tokens=False)
+            begin = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+            of = np.searchsorted(begin, np.array([o[0] for o in got.offsets], np.int64), "right") - 1
+            data = np.array(got.ids, "<u4").tobytes()
+            edges = 4 * np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(texts)))))
+            yield from (data[a:z] for a, z in pairwise(edges.tolist()))
+
+    def many(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word; parts that aren't known yet are encoded together, and kept while there is room."""
+        known, split = self.words, [() if w in self.words else self.parts(w) for w in words]
+        need = list({p for parts in split for p in parts if p not in known})
+        new = dict(zip(need, self.together(need), strict=True))
+        out = [b"".join([new[p] if p in new else known[p] for p in parts]) if parts else known[w] for w, parts in zip(words, split, strict=True)]
+        for w, x in chain(new.items(), zip(words, out, strict=True)):
+            known.keep(w, x)
+        return out
 
     def __call__(self, text: str | None) -> bytes:
         """Letters A-Z are folded first, as the tokenizer does anyway, unless the text may hold special strings, which aren't folded."""
@@ -194,21 +228,37 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
     kind = docs.schema[id_col].dataType.simpleString()
     ids = ", ids binary" if with_ids else ""
 
+    names = ["id", "piece", "start", "length", "ids_crc32", "pid", "rank", "ids"]
+    kinds = [pa.int32(), *[pa.int64()] * 3, pa.int32(), pa.int64(), pa.binary()]
+
     def run(batches):
         tokens, end, pid, seen = word_tokens(tokenizer_path), int(end_id).to_bytes(4, "little"), TaskContext.get().partitionId(), {}
+
+        def documents(texts):
+            """The ids of each text and the end id, in order, as little-endian bytes."""
+            # Texts that may hold special strings go by themselves: those aren't folded.
+            special = pc.fill_null(pc.match_substring(texts, "<|"), False).to_numpy(zero_copy_only=False)
+            for c in coded(texts):
+                ids = [*tokens.many(c.words), end]
+                flat, size = np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) >> 2 for x in ids])
+                sizes = size[c.code]
+                whole = memoryview(flat[np.repeat((np.cumsum(size) - size)[c.code], sizes) + places(sizes)].tobytes())
+                edges = 4 * np.concatenate(([0], np.cumsum(sizes)))[c.offsets]
+                for k, (a, z) in enumerate(pairwise(edges.tolist()), c.first):
+                    yield tokens(texts[k].as_py()) + end if special[k] else whole[a:z]
+
         for b in batches:
-            rows = []
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                data = tokens(text) + end
+            row, rows = [], []
+            for at, data in enumerate(documents(b.column(1))):
                 n = len(data) // 4
                 for k, start in enumerate(range(0, n, capacity)):
                     part = data[4 * start : 4 * (start + capacity)]
                     length = len(part) // 4
                     seen[length] = rank = seen.get(length, -1) + 1
-                    rows.append((key, k, start, length, zlib.crc32(part), pid, rank, part))
-            columns = [list(c) for c in zip(*rows, strict=True)] or [[]] * 8
-            arrays = [pa.array(columns[0], b.schema.field(0).type)] + [pa.array(c, t) for c, t in zip(columns[1:], (pa.int32(), *[pa.int64()] * 3, pa.int32(), pa.int64(), pa.binary()), strict=True)]
-            names = ["id", "piece", "start", "length", "ids_crc32", "pid", "rank", "ids"]
+                    row.append(at)
+                    rows.append((k, start, length, zlib.crc32(part), pid, rank, bytes(part) if with_ids else None))
+            columns = [list(c) for c in zip(*rows, strict=True)] or [[]] * 7
+            arrays = [b.column(0).take(pa.array(row, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))]
             yield pa.RecordBatch.from_arrays(arrays[: 7 + with_ids], names[: 7 + with_ids])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, pid int, rank bigint{ids}")

@@ -14,7 +14,6 @@ import pickle
 import uuid
 import zlib
 from collections import Counter
-from collections.abc import Iterator
 from functools import cache
 from typing import NamedTuple
 
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import attention
 from .common import BoundedCache, crc32_of_id, discard, materialize
-from .hashing import words_of
+from .hashing import Coded, coded, places
 
 #: Subword ids (the first ranks of the vocabulary, which are a vocabulary of their own), and word counts that every worker holds.
 SUBWORDS, HEAD = 2048, 262_144
@@ -72,35 +71,6 @@ class Known:
         return cls.last[1]
 
 
-class Coded(NamedTuple):
-    """Words of some rows by codes: the rows' first row, each word's code (the last code is a row's end), the distinct words,
-    and where each row's words begin, its end counted."""
-
-    first: int
-    code: np.ndarray
-    words: list[bytes]
-    offsets: np.ndarray
-
-    @property
-    def rows(self) -> int:
-        return len(self.offsets) - 1
-
-
-def coded(texts: pa.Array) -> Iterator[Coded]:
-    """Lower-cased words of a column of texts, some rows at a time; Python meets each distinct word of these rows once."""
-    data = texts.cast(pa.large_string()).cast(pa.large_binary())
-    for w in words_of(data, lower=True, seeds=2, spans=True):
-        one, two = w.hashes
-        _, first, code = np.unique(one, return_index=True, return_inverse=True)
-        if not (two == two[first][code]).all():  # two words that share 64 bits
-            _, first, code = np.unique(np.stack((one, two), axis=1), axis=0, return_index=True, return_inverse=True)
-        row = np.searchsorted(w.offsets, first, "right") - 1
-        at = {r: data[w.first + r].as_py() for r in np.unique(row).tolist()}
-        words = [at[r][a:e].lower() for r, a, e in zip(row.tolist(), w.start[first].tolist(), w.end[first].tolist(), strict=True)]
-        n = len(w.offsets) - 1
-        yield Coded(w.first, np.insert(code.ravel(), w.offsets[1:], len(words)), words, w.offsets + np.arange(n + 1))
-
-
 class Stream(NamedTuple):
     """Ids of all texts one after another, an end before the first and behind each; places of the ends; each word's number of ids, an end's is 1."""
 
@@ -115,7 +85,7 @@ def stream_of(c: Coded, ids: list[bytes], end: int) -> Stream:
     size = np.array([len(x) >> 1 for x in ids] + [1])
     begin = np.cumsum(size) - size
     sizes = size[c.code]
-    at = np.repeat(begin[c.code], sizes) + attention.places(sizes)
+    at = np.repeat(begin[c.code], sizes) + places(sizes)
     ends = np.cumsum(sizes)[c.offsets[1:] - 1]
     return Stream(np.concatenate(([end], flat[at])), np.concatenate(([0], ends)), sizes)
 
@@ -150,9 +120,9 @@ def gathered(train: DataFrame, path: str, size: int, text_col: str) -> DataFrame
         def windows(s: Stream):
             n = np.diff(s.ends)
             of = -(-n // attention.WIDTH)
-            begin = np.repeat(s.ends[:-1], of) + attention.WIDTH * attention.places(of)
+            begin = np.repeat(s.ends[:-1], of) + attention.WIDTH * places(of)
             long = np.minimum(attention.WIDTH, np.repeat(s.ends[1:], of) - begin) + 1
-            at = np.repeat(begin, long) + attention.places(long)
+            at = np.repeat(begin, long) + places(long)
             edges = np.concatenate(([0], np.cumsum(2 * long))).astype(np.int32)
             item = pa.Array.from_buffers(pa.binary(), len(long), [None, pa.py_buffer(edges), pa.py_buffer(s.ids[at].astype("<i2"))])
             none = pa.nulls(len(long), pa.int64())

@@ -20,6 +20,17 @@ def test_tokens_match_library():
         assert np.frombuffer(own(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_words_encoded_together_match_words_alone():
+    own, library = WordTokens(WORDS), Tokenizer.from_file(WORDS)
+    rng = random.Random(5)
+    pool = list("abC deTH's\x1c\x85\xa0.,;#019éÉÜß漢ñ😀́ΣİA\u200d\u3000\ufb01") + [" the", "'LL", "ing", "\ufffd"]
+    texts = ["".join(rng.choices(pool, k=rng.randint(1, 12))) for _ in range(5000)]
+    words = list(dict.fromkeys(w for t in texts for w in t.encode().lower().split()))
+    for part in (words[:300], words[300:301], words):
+        for w, got in zip(part, own.many(part), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == library.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, w
+
+
 def test_plan_uses_each_piece_once_and_is_near_the_bound():
     rng = random.Random(1)
     for sizes in ([min(4096, int(rng.lognormvariate(6, 1)) + 1) for _ in range(20000)], [1400] * 1000, [4096] * 7 + [2049] * 9, [1] * 5000, [3000, 1000, 96] * 50, []):
