@@ -53,9 +53,11 @@ class BoundedCache(dict):
         self.keep(key, value)
         return value
 
-    def keep(self, key, value) -> None:
-        if len(self) < self.cap and len(key) <= self.max_key:
+    def keep(self, key, value) -> bool:
+        """Whether there was room for the key."""
+        if fine := len(self) < self.cap and len(key) <= self.max_key:
             self[key] = value
+        return fine
 
 
 def arrow_map(df: DataFrame, columns: list[str], fn: Callable[..., Iterator[dict] | dict], schema: str) -> DataFrame:

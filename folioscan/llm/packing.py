@@ -16,27 +16,25 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import chain, pairwise
+from itertools import pairwise
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BoundedCache, materialize
-from .hashing import coded, places
 
 #: Lengths that most pricings look at: the longest open, those that lag most, and random ones; and rounds from one pricing over all lengths to the next.
 LONGEST, LAGGING, SPREAD, FULL = 4, 24, 56, 50
 
 
-#: Stops that may part from a word, and words that are encoded at once.
-STOPS, TOGETHER = (b".", b",", b";", b":", b"!", b"?"), 256
+#: Stops that may part from a word, words that are encoded at once, and texts whose unknown words are gathered.
+STOPS, TOGETHER, GROUP = (b".", b",", b";", b":", b"!", b"?"), 256, 256
 
 
 class WordTokens:
@@ -53,7 +51,7 @@ class WordTokens:
         self.words = BoundedCache(self.ids, cap=800_000)
 
     def ids(self, word: bytes) -> bytes:
-        return self.many([word])[0]
+        return self.many([word])[word]
 
     @staticmethod
     def parts(word: bytes) -> tuple[bytes, ...]:
@@ -75,15 +73,26 @@ class WordTokens:
             edges = 4 * np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(texts)))))
             yield from (data[a:z] for a, z in pairwise(edges.tolist()))
 
-    def many(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word; parts that aren't known yet are encoded together, and kept while there is room."""
-        known, split = self.words, [() if w in self.words else self.parts(w) for w in words]
-        need = list({p for parts in split for p in parts if p not in known})
+    def many(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
+        """The ids of words that aren't known yet. Their parts are encoded together."""
+        split = {w: self.parts(w) for w in words}
+        need = list({p for parts in split.values() for p in parts if p not in self.words})
         new = dict(zip(need, self.together(need), strict=True))
-        out = [b"".join([new[p] if p in new else known[p] for p in parts]) if parts else known[w] for w, parts in zip(words, split, strict=True)]
-        for w, x in chain(new.items(), zip(words, out, strict=True)):
-            known.keep(w, x)
-        return out
+        return new | {w: b"".join([new[p] if p in new else self.words[p] for p in parts]) for w, parts in split.items()}
+
+    def each(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text, in order. Texts are taken GROUP at a time, and the words among them that aren't known are met
+        once and kept while there is room."""
+        known = self.words
+        for k in range(0, len(texts), GROUP):
+            data = [(t or "").encode("utf-8", "replace") for t in texts[k : k + GROUP]]
+            split = [(d if b"<|" in d else d.lower()).split() for d in data]
+            new = self.many(set().union(*(w for w, d in zip(split, data, strict=True) if b"<|" not in d)).difference(known))
+            over = [w for w, x in new.items() if not known.keep(w, x)]
+            known.update((w, new[w]) for w in over)
+            yield from (b"".join(map(known.__getitem__, words)) for words in split)
+            for w in over:
+                del known[w]
 
     def __call__(self, text: str | None) -> bytes:
         """Letters A-Z are folded first, as the tokenizer does anyway, unless the text may hold special strings, which aren't folded."""
@@ -234,29 +243,17 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
     def run(batches):
         tokens, end, pid, seen = word_tokens(tokenizer_path), int(end_id).to_bytes(4, "little"), TaskContext.get().partitionId(), {}
 
-        def documents(texts):
-            """The ids of each text and the end id, in order, as little-endian bytes."""
-            # Texts that may hold special strings go by themselves: those aren't folded.
-            special = pc.fill_null(pc.match_substring(texts, "<|"), False).to_numpy(zero_copy_only=False)
-            for c in coded(texts):
-                ids = [*tokens.many(c.words), end]
-                flat, size = np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) >> 2 for x in ids])
-                sizes = size[c.code]
-                whole = memoryview(flat[np.repeat((np.cumsum(size) - size)[c.code], sizes) + places(sizes)].tobytes())
-                edges = 4 * np.concatenate(([0], np.cumsum(sizes)))[c.offsets]
-                for k, (a, z) in enumerate(pairwise(edges.tolist()), c.first):
-                    yield tokens(texts[k].as_py()) + end if special[k] else whole[a:z]
-
         for b in batches:
             row, rows = [], []
-            for at, data in enumerate(documents(b.column(1))):
+            for at, data in enumerate(tokens.each(b.column(1).to_pylist())):
+                data += end
                 n = len(data) // 4
                 for k, start in enumerate(range(0, n, capacity)):
                     part = data[4 * start : 4 * (start + capacity)]
                     length = len(part) // 4
                     seen[length] = rank = seen.get(length, -1) + 1
                     row.append(at)
-                    rows.append((k, start, length, zlib.crc32(part), pid, rank, bytes(part) if with_ids else None))
+                    rows.append((k, start, length, zlib.crc32(part), pid, rank, part if with_ids else None))
             columns = [list(c) for c in zip(*rows, strict=True)] or [[]] * 7
             arrays = [b.column(0).take(pa.array(row, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))]
             yield pa.RecordBatch.from_arrays(arrays[: 7 + with_ids], names[: 7 + with_ids])

@@ -27,8 +27,14 @@ def test_words_encoded_together_match_words_alone():
     texts = ["".join(rng.choices(pool, k=rng.randint(1, 12))) for _ in range(5000)]
     words = list(dict.fromkeys(w for t in texts for w in t.encode().lower().split()))
     for part in (words[:300], words[300:301], words):
-        for w, got in zip(part, own.many(part), strict=True):
-            assert np.frombuffer(got, "<u4").tolist() == library.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, w
+        got = own.many(part)
+        for w in part:
+            assert np.frombuffer(got[w], "<u4").tolist() == library.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, w
+    own.words.cap = 500
+    texts += ["".join(rng.choices([*pool, " ", "\n", "<|endoftext|>"], k=rng.randint(0, 40))) for _ in range(2000)] + [None, ""]
+    for t, got in zip(texts, own.each(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == library.encode(t or "", add_special_tokens=False).ids, repr(t)
+    assert len(own.words) <= 500
 
 
 def test_plan_uses_each_piece_once_and_is_near_the_bound():
