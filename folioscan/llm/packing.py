@@ -85,14 +85,24 @@ class WordTokens:
         once and kept while there is room."""
         known = self.words
         for k in range(0, len(texts), GROUP):
-            data = [(t or "").encode("utf-8", "replace") for t in texts[k : k + GROUP]]
-            split = [(d if b"<|" in d else d.lower()).split() for d in data]
-            new = self.many(set().union(*(w for w, d in zip(split, data, strict=True) if b"<|" not in d)).difference(known))
-            over = [w for w, x in new.items() if not known.keep(w, x)]
-            known.update((w, new[w]) for w in over)
-            yield from (b"".join(map(known.__getitem__, words)) for words in split)
-            for w in over:
-                del known[w]
+            split, found, missing = [], [], set()
+            for t in texts[k : k + GROUP]:
+                data = (t or "").encode("utf-8", "replace")
+                if b"<|" in data:
+                    words, ids = [], [self(t)]
+                else:
+                    words = data.lower().split()
+                    ids = list(map(known.get, words))
+                    if None in ids:
+                        missing.update([w for w, x in zip(words, ids, strict=True) if x is None])
+                split.append(words)
+                found.append(ids)
+            new = self.many(missing)
+            for w, x in new.items():
+                if not known.keep(w, x):
+                    break
+            for words, ids in zip(split, found, strict=True):
+                yield b"".join([new[w] if x is None else x for w, x in zip(words, ids, strict=True)] if None in ids else ids)
 
     def __call__(self, text: str | None) -> bytes:
         """Letters A-Z are folded first, as the tokenizer does anyway, unless the text may hold special strings, which aren't folded."""
