@@ -23,7 +23,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -289,6 +289,15 @@ def matches(found: DataFrame, size: int, anchor: int) -> DataFrame:
     return materialize(met.mapInArrow(run, f"id {kind}, mark bigint, start int, n int, ref {kind}, ref_start int, w1 bigint, w2 bigint"), "matches")
 
 
+def late_windows(ends: DataFrame) -> DataFrame:
+    """The rows (w1, w2, id, mark, start) of ends whose window a smaller id has too.
+
+    Equal windows are sorted together and compared with the least id among them, so no more rows come out than went in,
+    however large a group of near copies is.
+    """
+    return ends.withColumn("low", F.min("id").over(Window.partitionBy("w1", "w2"))).filter(F.col("low") < F.col("id")).drop("low")
+
+
 def duplicate_runs(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, mark, runs): for each document that has any, its matches (start, n, ref, ref_start) of size words or more and
     its windows (ref null) that start in another earlier document. id and mark are as in common.row_key."""
@@ -298,15 +307,12 @@ def duplicate_runs(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR, id_c
     discard(parts)
     every = matches(found, size, anchor)
     discard(found)
-    ends = every.filter(F.col("w1").isNotNull()).select("w1", "w2", "id", "mark", "start")
-    early = ends.groupBy("w1", "w2").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter(F.col("low") != F.col("high")).select("w1", "w2", "low")
-    early = materialize(early, "early")
-    late = ends.join(early.hint("merge"), ["w1", "w2"]).filter(F.col("low") < F.col("id"))
+    late = late_windows(every.filter(F.col("w1").isNotNull()).select("w1", "w2", "id", "mark", "start"))
     run = lambda n: F.struct("start", n.cast("int").alias("n"), "ref", "ref_start")
     spans = every.filter(F.col("n") >= size).select("id", "mark", run(F.col("n")).alias("r"))
     late = late.select("id", "mark", "start", F.lit(None).cast(dict(every.dtypes)["ref"]).alias("ref"), F.lit(None).cast("int").alias("ref_start")).select("id", "mark", run(F.lit(size)).alias("r"))
     out = materialize(spans.union(late).groupBy("id", "mark").agg(F.collect_set("r").alias("runs")), "runs")
-    discard(every, early)
+    discard(every)
     return out
 
 

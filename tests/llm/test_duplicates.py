@@ -9,7 +9,7 @@ import pyarrow as pa
 from folioscan.llm import hashing
 from folioscan.llm.components import components
 from folioscan.llm.minhash import bitmap, hopeful, keep_one, near_duplicates, sketch
-from folioscan.llm.substrings import digests, remove_repeats
+from folioscan.llm.substrings import digests, late_windows, remove_repeats
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -192,6 +192,27 @@ def test_repeats_equal_brute_force(spark):
     assert {r.doc_id: r.gone for r in small.collect() if r.doc_id is not None} == {i: v[1] for i, v in brute_repeats(rows[:60], 4).items()}
 
 
+def test_windows_of_a_large_group_are_found_in_one_pass(spark):
+    """Near copies that share their edits: windows that the first occurrence lacks, each in many documents."""
+    rng = random.Random(21)
+    base = [f"b{k}" for k in range(40)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for _ in range(2):
+            w[rng.randrange(40)] = f"e{rng.randrange(4)}"
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in digests(frame(spark, rows)).collect()}
+    assert got == brute_repeats(rows)
+    ends = [(k % 7, k % 3, 1000 - k, k, 5) for k in range(900)] + [(1, 1, 50, 1, 1), (1, 1, 50, 2, 9), (8, 8, 3, 1, 1), (8, 8, 3, 1, 4)]
+    out = late_windows(spark.createDataFrame(ends, "w1 long, w2 long, id long, mark long, start int").repartition(5))
+    least = {}
+    for a, b, i, *_ in ends:
+        least[a, b] = min(i, least.get((a, b), i))
+    assert sorted(map(tuple, out.collect())) == sorted(e for e in ends if e[2] > least[e[:2]])
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def brute_parse(words, earlier, least=13):
     out, at = [], 0
     while at < len(words):
