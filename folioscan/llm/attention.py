@@ -45,7 +45,7 @@ class PairModel:
         of = np.full((len(share), CLASSES), 1e-30, np.float32)
         for c in range(CLASSES):
             of[:, c] += share[:, self.own == c].sum(axis=1)
-        self.of = np.log(of)
+        self.odds, self.of = of, np.log(of)
         np.log(share, out=share)
         for c in range(CLASSES):
             share[:, self.own == c] -= self.of[:, c : c + 1]
@@ -59,6 +59,9 @@ def fresh(ids: int) -> dict[str, np.ndarray]:
 
 
 MASK = np.triu(np.full((WIDTH, WIDTH), -1e9, np.float32), 1)
+SEEN = np.tril(np.ones((WIDTH, WIDTH), np.float32))
+#: Logits that exp takes as they are; those of classes come on top of log shares down to -69. Windows of one lot.
+FAR, NEAR, LOT = 60.0, 15.0, 64
 
 
 def largest(a: np.ndarray) -> np.ndarray:
@@ -75,60 +78,108 @@ def total(a: np.ndarray) -> np.ndarray:
 
 
 def turned(a: np.ndarray) -> np.ndarray:
-    """Each matrix transposed, in an order that products take at full speed."""
-    return np.ascontiguousarray(a.transpose(0, 2, 1))
+    """Each matrix transposed, as a view that products take as it is."""
+    return a.transpose(0, 2, 1)
 
 
-def class_logs(w: dict, pair: PairModel, ids: np.ndarray, keep: dict | None = None) -> np.ndarray:
+def folded(w: dict) -> np.ndarray:
+    """What turns an input into its query, to be held against inputs themselves, and into what it adds to places that see
+    it: Q times K transposed, scaled, beside V times O. Products with four matrices become products with two."""
+    return np.concatenate((w["Q"] @ w["K"].T * np.float32(DIM**-0.5), w["V"] @ w["O"]), axis=1)
+
+
+def attend(s: np.ndarray, skip: int = 0) -> np.ndarray:
+    """exp of the logits s of places from skip on, in place, 0 for what a place doesn't see; rows aren't divided by their sums.
+
+    Rows are set against their largest only where exp could leave the range of 32-bit floats.
+    """
+    if s.size and max(s.max(), -s.min()) > FAR:
+        s += MASK[skip:]
+        s -= largest(s)
+        return np.exp(s, out=s)
+    np.exp(s, out=s)
+    s *= SEEN[skip:]
+    return s
+
+
+def odds(y: np.ndarray, pair: PairModel, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
+    """In place: from what the layer adds to the log odds of classes behind the ids, numbers in proportion to the classes'
+    shares; and the logs by which they are too small."""
+    if y.size and max(y.max(), -y.min()) > NEAR:
+        y += pair.of.take(ids, axis=0)
+        top = largest(y)
+        y -= top
+        return np.exp(y, out=y), top[..., 0]
+    np.exp(y, out=y)
+    y *= pair.odds.take(ids, axis=0)
+    return y, 0.0
+
+
+def class_logs(w: dict, pair: PairModel, ids: np.ndarray) -> np.ndarray:
     """Log shares of the next id's class at every place of windows ids (n, WIDTH); a place sees itself and those before."""
-    x = w["E"].take(ids, axis=0)
-    x += w["P"]
-    q, k, v = x @ (w["Q"] * np.float32(DIM**-0.5)), x @ w["K"], x @ w["V"]
-    a = q @ turned(k)
-    a += MASK
-    a -= largest(a)
-    np.exp(a, out=a)
-    a /= total(a)
-    o = a @ v
-    h = x + o @ w["O"]
-    r = np.maximum(h @ w["A"], 0)
-    g = h + r @ w["B"]
-    y = g @ w["U"]
-    y += pair.of.take(ids, axis=0)
+    x = w["E"].take(ids, axis=0) + w["P"]
+    both = x @ folded(w)
+    a = attend(both[:, :, :DIM] @ turned(x))
+    h = x + a @ both[:, :, DIM:] / total(a)
+    y = (h + np.maximum(h @ w["A"], 0) @ w["B"]) @ w["U"] + pair.of.take(ids, axis=0)
     y -= largest(y)
-    y -= np.log(total(np.exp(y)))
-    if keep is not None:
-        keep |= {"x": x, "q": q, "k": k, "v": v, "a": a, "o": o, "h": h, "r": r, "g": g}
-    return y
-
-
-def gradients(w: dict, pair: PairModel, ids: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[dict, float]:
-    """Of the weighted mean negative log share of the target classes."""
-    f: dict[str, np.ndarray] = {}
-    y = class_logs(w, pair, ids, f)
-    n, t = np.indices(ids.shape)
-    loss = -float((y[n, t, target] * weight).sum() / weight.sum())
-    d = np.exp(y)
-    d[n, t, target] -= 1
-    d *= (weight / weight.sum())[:, :, None].astype(np.float32)
-    flat = lambda m: m.reshape(-1, m.shape[2])
-    out = {"U": flat(f["g"]).T @ flat(d)}
-    dg = d @ w["U"].T
-    out["B"] = flat(f["r"]).T @ flat(dg)
-    dz = (dg @ w["B"].T) * (f["r"] > 0)
-    out["A"] = flat(f["h"]).T @ flat(dz)
-    dh = dg + dz @ w["A"].T
-    out["O"] = flat(f["o"]).T @ flat(dh)
-    do = dh @ w["O"].T
-    dv = f["a"].transpose(0, 2, 1) @ do
-    ds = do @ turned(f["v"])
-    ds -= total(ds * f["a"])
-    ds *= f["a"]
-    # q is scaled already, so its own gradient is scaled here and k's there.
-    dq, dk = ds @ f["k"] * np.float32(DIM**-0.5), ds.transpose(0, 2, 1) @ f["q"]
-    out |= {name: flat(f["x"]).T @ flat(part) for name, part in (("Q", dq), ("K", dk), ("V", dv))}
-    dx = dh + dq @ w["Q"].T + dk @ w["K"].T + dv @ w["V"].T
-    out["P"] = dx.sum(axis=0)
+    return y - np.log(total(np.exp(y)))
+
+
+def gradients(w: dict, pair: PairModel, ids: np.ndarray, target: np.ndarray, weight: np.ndarray, tell: bool = True) -> tuple[dict, float]:
+    """Of the weighted mean negative log share of the target classes, which comes with them if tell is set.
+
+    Windows are taken LOT at a time, so that what one step makes is still at hand for the next.
+    """
+    both_w, kind = folded(w), w["E"].dtype
+    a_w, b_w, u_w, one = w["A"], w["B"], w["U"], weight / weight.sum()
+    out = {k: np.zeros_like(w[k]) for k in "ABU"}
+    d_both, dx, loss = np.zeros_like(both_w), np.empty((*ids.shape, DIM), kind), 0.0
+    for k in range(0, len(ids), LOT):
+        own, part = ids[k : k + LOT], one[k : k + LOT].ravel().astype(np.float32)
+        n = len(own)
+        deep = lambda m: m.reshape(n, WIDTH, -1)  # noqa: E731, B023
+        x = w["E"].take(own.ravel(), axis=0)
+        deep(x)[:] += w["P"]
+        both = x @ both_w
+        query, adds = deep(both)[:, :, :DIM], deep(both)[:, :, DIM:]
+        a = attend(query @ turned(deep(x)))
+        a *= np.reciprocal(total(a))
+        o = (a @ adds).reshape(-1, DIM)
+        h = x + o
+        r = h @ a_w
+        np.maximum(r, 0, out=r)
+        g = r @ b_w
+        g += h
+        d = g @ u_w
+        at = np.arange(len(d)) * CLASSES + target[k : k + LOT].ravel()
+        said = d.ravel()[at] if tell else None
+        d, top = odds(d, pair, own.ravel())
+        z = total(d)
+        if tell:
+            loss -= float(((said + pair.of.ravel()[own.ravel() * CLASSES + target[k : k + LOT].ravel()] - np.log(z[:, 0]) - top) * part).sum())
+        d *= part[:, None] / z
+        d.ravel()[at] -= part
+        out["U"] += g.T @ d
+        dg = d @ u_w.T
+        out["B"] += r.T @ dg
+        dz = dg @ b_w.T
+        dz *= r > 0
+        out["A"] += h.T @ dz
+        dh = dz @ a_w.T
+        dh += dg
+        ds = deep(dh) @ turned(adds)
+        # A row's sum of ds times a is what its gradient makes with its own output.
+        ds -= deep(total(dh * o))
+        ds *= a
+        d_in = np.concatenate((ds @ deep(x), turned(a) @ deep(dh)), axis=2).reshape(-1, 2 * DIM)
+        d_both += x.T @ d_in
+        mine = dx[k : k + LOT]
+        np.matmul(turned(ds), query, out=mine)
+        mine += deep(dh)
+        mine += deep(d_in @ both_w.T)
+    scale, dn, dm = np.float32(DIM**-0.5), d_both[:, :DIM], d_both[:, DIM:]
+    out |= {"Q": dn @ w["K"] * scale, "K": dn.T @ w["Q"] * scale, "V": dm @ w["O"].T, "O": w["V"].T @ dm, "P": dx.sum(axis=0)}
     place = (ids.reshape(-1, 1) * DIM + np.arange(DIM)).ravel()
     out["E"] = np.bincount(place, dx.ravel(), w["E"].size).reshape(w["E"].shape)
     return out, loss
@@ -139,8 +190,11 @@ def train(w: dict, pair: PairModel, windows: np.ndarray, steps: int, batch: int
 
     Windows are taken in a random order, each once before any again, so n / batch steps see them all.
     """
-    w = {k: v.copy() for k, v in w.items()}
-    m, s = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+    names = list(w)
+    flat = np.concatenate([w[k].ravel() for k in names])
+    edges = np.cumsum([0, *(w[k].size for k in names)])
+    w = {k: flat[a:e].reshape(w[k].shape) for k, a, e in zip(names, edges, edges[1:], strict=False)}
+    m, s, g, now = (np.zeros_like(flat) for _ in range(4))
     rng = np.random.default_rng(2)
     order, at = rng.permutation(len(windows)), 0
     for step in range(steps):
@@ -149,12 +203,23 @@ def train(w: dict, pair: PairModel, windows: np.ndarray, steps: int, batch: int
         own = windows[order[at : at + batch]].astype(np.int64)
         at += batch
         target, weight = own[:, 1:], (own[:, 1:] >= 0).astype(np.float32)
-        grad, _ = gradients(w, pair, np.maximum(own[:, :-1], 0), pair.own[np.maximum(target, 0)], weight)
-        for k, g in grad.items():
-            m[k] = 0.9 * m[k] + 0.1 * g
-            s[k] = 0.99 * s[k] + 0.01 * g * g
-            now = (m[k] / (1 - 0.9 ** (step + 1))) / (np.sqrt(s[k] / (1 - 0.99 ** (step + 1))) + 1e-8)
-            w[k] -= (rate * (1 - step / steps) * now).astype(np.float32)
+        grad, _ = gradients(w, pair, np.maximum(own[:, :-1], 0), pair.own[np.maximum(target, 0)], weight, False)
+        for k, a, e in zip(names, edges, edges[1:], strict=False):
+            g[a:e] = grad[k].ravel()
+        # All in place: m and s are running means of g and of its square, now is the step.
+        m *= np.float32(0.9)
+        s *= np.float32(0.99)
+        np.multiply(g, np.float32(0.1), out=now)
+        m += now
+        np.multiply(g, g, out=now)
+        now *= np.float32(0.01)
+        s += now
+        np.multiply(s, np.float32(1 / (1 - 0.99 ** (step + 1))), out=now)
+        np.sqrt(now, out=now)
+        now += np.float32(1e-8)
+        np.divide(m, now, out=now)
+        now *= np.float32(rate * (1 - step / steps) / (1 - 0.9 ** (step + 1)))
+        flat -= now
     return w
 
 
@@ -163,29 +228,35 @@ def cuts(n: np.ndarray) -> np.ndarray:
     return np.maximum(1, -(-(n - OVERLAP) // (WIDTH - OVERLAP)))
 
 
-def target_logs(w: dict, pair: PairModel, ids: np.ndarray, target: np.ndarray, skip: int) -> np.ndarray:
-    """Log probabilities of the targets (n, WIDTH - skip) at the places from skip on; as class_logs, without what only training needs."""
-    x = w["E"].take(ids, axis=0)
-    x += w["P"]
-    rest = np.ascontiguousarray(x[:, skip:])
-    own = ids[:, skip:]
-    a = (rest @ (w["Q"] * np.float32(DIM**-0.5))) @ turned(x @ w["K"])
-    a += MASK[skip:]
-    a -= largest(a)
-    np.exp(a, out=a)
-    o = a @ (x @ w["V"])
-    o /= total(a)
-    h = rest + o @ w["O"]
-    h += np.maximum(h @ w["A"], 0) @ w["B"]
+def tables(w: dict) -> tuple[np.ndarray, np.ndarray]:
+    """For every id, and for every place of a window, its part of the input and of what folded makes of that."""
+    both = folded(w)
+    return tuple(np.concatenate((w[k], w[k] @ both), axis=1) for k in "EP")
+
+
+def target_logs(w: dict, made: tuple, pair: PairModel, ids: np.ndarray, target: np.ndarray, skip: int) -> np.ndarray:
+    """Log probabilities of the targets (n, WIDTH - skip) at the places from skip on; made is what tables makes of w."""
+    f = made[0].take(ids, axis=0)
+    f += made[1]
+    a = attend(f[:, skip:, DIM : 2 * DIM] @ turned(f[:, :, :DIM]), skip)
+    h = a @ f[:, :, 2 * DIM :]
+    h *= np.reciprocal(total(a))
+    h += f[:, skip:, :DIM]
+    h = h.reshape(-1, DIM)
+    r = h @ w["A"]
+    np.maximum(r, 0, out=r)
+    h += r @ w["B"]
     y = h @ w["U"]
-    y += pair.of.take(own, axis=0)
-    y -= largest(y)
-    said = np.take_along_axis(y, pair.own[target][:, :, None], axis=2)[:, :, 0]
-    np.exp(y, out=y)
-    return said - np.log(total(y)[:, :, 0]) + pair.within[own, target]
+    own, target = ids[:, skip:].ravel(), target.ravel()
+    group = pair.own[target]
+    said = y.ravel()[np.arange(len(y)) * CLASSES + group] + pair.of.ravel()[own * CLASSES + group]
+    y, top = odds(y, pair, own)
+    said -= np.log(total(y)[:, 0]) + top
+    said += pair.within.ravel()[own * len(pair.within) + target]
+    return said.reshape(len(ids), -1)
 
 
-def score_stream(w: dict, pair: PairModel, ids: np.ndarray, ends: np.ndarray, chunk: int = 128) -> np.ndarray:
+def score_stream(w: dict, pair: PairModel, ids: np.ndarray, ends: np.ndarray, chunk: int = LOT) -> np.ndarray:
     """Natural log probability of every id but the first, given those before it in its text; every one scored once.
 
     ids are texts one after another with an end before the first and behind each; ends are the places of the ends.
@@ -195,13 +266,13 @@ def score_stream(w: dict, pair: PairModel, ids: np.ndarray, ends: np.ndarray, ch
     of = cuts(n)
     begin, size = np.repeat(ends[:-1], of), np.repeat(n, of)
     local = places(of) * (WIDTH - OVERLAP)
-    out, place = np.empty(len(ids), np.float64), np.arange(WIDTH)
+    out, place, made = np.empty(len(ids), np.float64), np.arange(WIDTH), tables(w)
     for skip in (0, OVERLAP):
         mine = np.flatnonzero((local > 0) == (skip > 0))
         for k in range(0, len(mine), chunk):
             some = mine[k : k + chunk]
             at = (begin + local)[some, None] + place
-            logs = target_logs(w, pair, flat[at], flat[at[:, skip:] + 1], skip)
+            logs = target_logs(w, made, pair, flat[at], flat[at[:, skip:] + 1], skip)
             live = place[: WIDTH - skip] < (size[some] - local[some] - skip)[:, None]
             out[at[:, skip:][live]] = logs[live]
     return out[:-1]

@@ -176,8 +176,8 @@ def coded(texts: pa.Array) -> Iterator[Coded]:
         if not (two == two[first][code]).all():  # two words that share 64 bits
             _, first, code = np.unique(np.stack((one, two), axis=1), axis=0, return_index=True, return_inverse=True)
         row = np.searchsorted(w.offsets, first, "right") - 1
-        at = {r: data[w.first + r].as_py() for r in np.unique(row).tolist()}
-        words = [at[r][a:e].lower() for r, a, e in zip(row.tolist(), w.start[first].tolist(), w.end[first].tolist(), strict=True)]
+        at = {r: data[w.first + r].as_py().lower() for r in np.unique(row).tolist()}
+        words = [at[r][a:e] for r, a, e in zip(row.tolist(), w.start[first].tolist(), w.end[first].tolist(), strict=True)]
         n = len(w.offsets) - 1
         yield Coded(w.first, np.insert(code.ravel(), w.offsets[1:], len(words)), words, w.offsets + np.arange(n + 1))
 

@@ -45,29 +45,53 @@ class Subwords:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        own = tiktoken.Encoding("prefix", pat_str=r"[\s\S]+", mergeable_ranks={k: v for k, v in ranks.items() if v < size}, special_tokens={})
-        self.ids = lambda w: np.array(own.encode_ordinary(" " + w.decode("utf-8", "replace")), "<u2").tobytes()
-        self.words = BoundedCache(self.ids, cap=250_000)
+        ranks = {k: v for k, v in ranks.items() if v < size}
+        # A word has no blank inside, so texts of words are parted into the words again, each with the blank before it.
+        self.own = tiktoken.Encoding("prefix", pat_str=r"\x20[^\x20]*", mergeable_ranks=ranks, special_tokens={})
+        self.sizes = np.zeros(size, np.int64)
+        self.sizes[list(ranks.values())] = [len(k) for k in ranks]
+        self.words: dict[bytes, bytes] = BoundedCache(lambda w: self.fresh([w])[0], cap=250_000)
+
+    def fresh(self, words: list[bytes]) -> list[bytes]:
+        """Ids of some words, encoded together and parted by their numbers of bytes."""
+        text = b"".join([b" " + w for w in words])
+        try:
+            text = text.decode()
+        except UnicodeDecodeError:
+            words = [w.decode("utf-8", "replace").encode() for w in words]
+            text = b"".join([b" " + w for w in words]).decode()
+        found = np.array(self.own.encode_ordinary(text), "<u2")
+        ends = np.cumsum([len(w) + 1 for w in words])
+        cut = 2 * (np.searchsorted(np.cumsum(self.sizes[found]), ends) + 1)
+        data, at = found.tobytes(), [0, *cut.tolist()]
+        return [data[a:e] for a, e in zip(at, at[1:], strict=False)]
+
+    def many(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each of some distinct words: those at hand looked up, the others met together."""
+        out = list(map(self.words.get, words))
+        lacking = [k for k, x in enumerate(out) if x is None]
+        for k, x in zip(lacking, self.fresh([words[k] for k in lacking]) if lacking else [], strict=True):
+            out[k] = x
+            self.words.keep(words[k], x)
+        return out
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u2").astype(np.int64)
 
 
 class Known:
-    """For a word its ids and the log10 of its share, or UNSEEN; one for each run."""
+    """The log10 of the share of each word that every worker holds, and the model's weights; one for each run."""
 
     last: tuple[str, Known] | None = None
 
-    def __init__(self, model: bytes, own: Subwords):
+    def __init__(self, model: bytes):
         self.log, self.weights = pickle.loads(model)
-        self.words = BoundedCache(lambda w: (own.ids(w), self.log.get(w, UNSEEN)), cap=250_000)
 
     @classmethod
-    def of(cls, run: str, model, own: Subwords) -> Known:
+    def of(cls, run: str, model) -> Known:
         if cls.last is None or cls.last[0] != run:
             cls.last = None
-            own.words.clear()
-            cls.last = run, cls(model.value, own)
+            cls.last = run, cls(model.value)
         return cls.last[1]
 
 
@@ -132,7 +156,7 @@ def gathered(train: DataFrame, path: str, size: int, text_col: str) -> DataFrame
             for c in coded(b.column(0)):
                 for word, n in zip([*c.words, b""], np.bincount(c.code, minlength=len(c.words) + 1).tolist(), strict=True):
                     words[word] += n
-                s = stream_of(c, list(map(encode.words.__getitem__, c.words)), end)
+                s = stream_of(c, encode.many(c.words), end)
                 codes.append(s.ids[:-1] * ids + s.ids[1:])
                 held += len(s.ids)
                 if held > PAIRS:
@@ -162,9 +186,11 @@ def trained(windows: DataFrame, n: int, shared, size: int) -> dict[str, np.ndarr
     def run(batches):
         own = [np.full((0, attention.WIDTH + 1), -1, np.int16)]
         for b in batches:
+            item = pa.concat_arrays([b.column(0)])
+            edges = np.frombuffer(item.buffers()[1], np.int32, len(item) + 1, item.offset * 4)
+            flat = np.frombuffer(item.buffers()[2], "<i2", (edges[-1] - edges[0]) // 2, edges[0])
             part = np.full((len(b), attention.WIDTH + 1), -1, np.int16)
-            for k, x in enumerate(b.column(0).to_pylist()):
-                part[k, : len(x) // 2] = np.frombuffer(x, "<i2")
+            part[np.arange(attention.WIDTH + 1) < (np.diff(edges) // 2)[:, None]] = flat
             own.append(part)
         own = np.concatenate(own)
         if len(own):
@@ -222,24 +248,28 @@ def score_documents(docs: DataFrame, ranks_path: str, subword_ids: int = SUBWORD
     run_id = uuid.uuid4().hex
 
     def score(c: Coded) -> dict:
-        own = Known.of(run_id, model, subwords(ranks_path, subword_ids))
-        known = list(map(own.words.__getitem__, c.words))
-        s = stream_of(c, [x[0] for x in known], subword_ids)
+        own = Known.of(run_id, model)
+        s = stream_of(c, subwords(ranks_path, subword_ids).many(c.words), subword_ids)
         logs = attention.score_stream(own.weights, shared.value, s.ids, s.ends)
         context = np.add.reduceat(logs, np.cumsum(s.sizes) - s.sizes)
-        alone = np.array([x[1] for x in known] + [own.log.get(b"", UNSEEN)])[c.code]
+        alone = np.array([own.log.get(w, UNSEEN) for w in [*c.words, b""]])[c.code]
         met = alone > UNSEEN
         both = np.logaddexp(context + math.log(1 - SHARE), alone * math.log(10) + math.log(SHARE)) / math.log(10)
         n = np.diff(c.offsets)
         text = np.repeat(np.arange(c.rows), n)
         total = lambda x: np.bincount(text, x, c.rows)
-        far: list[dict[bytes, list[float]]] = [{} for _ in range(c.rows)]
+        # Words beyond those at hand, by row and word: each with the logs of all its places.
+        far = np.flatnonzero(~met)
+        far = far[np.lexsort((c.code[far], text[far]))]
+        first = np.flatnonzero(np.diff(text[far], prepend=-1) | np.diff(c.code[far], prepend=-1))
         said = [*c.words, b""]
-        for i in np.flatnonzero(~met).tolist():
-            far[text[i]].setdefault(said[c.code[i]], []).append(context[i])
+        item = pa.array([said[k] for k in c.code[far[first]].tolist()], pa.binary())
+        each = pa.ListArray.from_arrays(pa.array(np.append(first, len(far)).astype(np.int32)), pa.array(context[far]))
+        rest = pa.StructArray.from_arrays([item, each], ["item", "logs"])
+        edges = np.searchsorted(text[far[first]], np.arange(c.rows + 1)).astype(np.int32)
         return {
             "n_tokens": n, "seen": total(met).astype(np.int64), "base": total(np.where(met, alone, 0.0)), "score": total(np.where(met, both, 0.0)), "attention_score": total(context) / math.log(10),
-            "rest": [[{"item": w, "logs": x} for w, x in f.items()] for f in far],
+            "rest": pa.ListArray.from_arrays(pa.array(edges), rest),
         }
 
     def run(batches):
@@ -248,7 +278,7 @@ def score_documents(docs: DataFrame, ranks_path: str, subword_ids: int = SUBWORD
         for b in batches:
             for c in coded(b.column(2)):
                 got = score(c)
-                columns = [pa.array(range(row, row + c.rows), pa.int64()), *(b.column(k).slice(c.first, c.rows) for k in (0, 1)), *(pa.array(got[k], t) for k, t in kinds.items())]
+                columns = [pa.array(range(row, row + c.rows), pa.int64()), *(b.column(k).slice(c.first, c.rows) for k in (0, 1)), *(got[k] if isinstance(got[k], pa.Array) else pa.array(got[k], t) for k, t in kinds.items())]
                 yield pa.RecordBatch.from_arrays(columns, ["row", "id", "held_out", *kinds])
                 row += c.rows
 

@@ -152,3 +152,43 @@ def test_held_out_texts_on_a_table(spark):
 def test_subwords_are_a_prefix_of_the_vocabulary():
     own = Subwords(RANKS, 300)
     assert own(words_of("Hello thé")).max() < 300
+
+
+def test_words_are_encoded_together_as_each_alone():
+    import tiktoken
+
+    own = Subwords(RANKS, 2048)
+    words = [*dict.fromkeys(words_of("The cat's thé 漢字  x a\u0085b \x1c \x00 é é it''s 12345 <|endoftext|> " + "z" * 3000 + " naïve the"))]
+    ranks = {k: v for k, v in own.own._mergeable_ranks.items()}
+    alone = tiktoken.Encoding("alone", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    words.append(b"caf\xff\xe9")
+    want = [np.array(alone.encode_ordinary(" " + w.decode("utf-8", "replace")), "<u2").tobytes() for w in words]
+    assert own.many(words) == want == own.many(words[::-1])[::-1] == [own.words[w] for w in words]
+    assert own.many([]) == []
+
+
+def test_extreme_logits_stay_exact():
+    """Where exp would leave the range of floats, rows are set against their largest; elsewhere both ways agree."""
+    w, pair, rng = model()
+    ids = rng.integers(0, 20, (3, attention.WIDTH))
+    for k in (1, 300):
+        big = w | {"Q": w["Q"] * k, "U": w["U"] * k}
+        y = attention.class_logs(big, pair, ids)
+        assert np.isfinite(y).all() and np.allclose(np.exp(y).sum(axis=2), 1, atol=1e-3)
+        target = rng.integers(0, 20, ids.shape)
+        group = pair.own[target]
+        logs = attention.target_logs(big, attention.tables(big), pair, ids, target, 0)
+        n, t = np.indices(ids.shape)
+        assert np.allclose(logs, y[n, t, group] + pair.within[ids, target], rtol=1e-3, atol=1e-3)
+        grad, loss = attention.gradients(big, pair, ids, group, np.ones(ids.shape, np.float32))
+        assert abs(loss + y[n, t, group].mean()) < 1e-3 * max(1, abs(loss)) and all(np.isfinite(g).all() for g in grad.values())
+
+
+def test_folded_matrices_equal_the_four():
+    w, pair, _ = model()
+    made = attention.tables(w)
+    assert made[0].shape == (20, 3 * attention.DIM) and attention.folded(w).shape == (attention.DIM, 2 * attention.DIM)
+    x = w["E"] + w["P"][0]
+    scale = attention.DIM**-0.5
+    assert np.allclose((x @ attention.folded(w)[:, : attention.DIM]) @ x.T, (x @ w["Q"] * scale) @ (x @ w["K"]).T, atol=1e-4)
+    assert np.allclose((made[0] + made[1][0])[:, 2 * attention.DIM :], x @ w["V"] @ w["O"], atol=1e-4)
