@@ -60,8 +60,9 @@ def fresh(ids: int) -> dict[str, np.ndarray]:
 
 MASK = np.triu(np.full((WIDTH, WIDTH), -1e9, np.float32), 1)
 SEEN = np.tril(np.ones((WIDTH, WIDTH), np.float32))
-#: Logits that exp takes as they are; those of classes come on top of log shares down to -69. Windows of one lot.
-FAR, NEAR, LOT = 60.0, 15.0, 64
+#: Logits that exp takes as they are; those of classes come on top of log shares down to -69. Windows of one lot in training
+#: and in scoring.
+FAR, NEAR, LOT, SCORED = 60.0, 15.0, 64, 128
 
 
 def largest(a: np.ndarray) -> np.ndarray:
@@ -143,16 +144,19 @@ def gradients(w: dict, pair: PairModel, ids: np.ndarray, target: np.ndarray, wei
         deep(x)[:] += w["P"]
         both = x @ both_w
         query, adds = deep(both)[:, :, :DIM], deep(both)[:, :, DIM:]
+        # Rows of a stay as they are; what is made of them is divided by their sums, which is half as wide.
         a = attend(query @ turned(deep(x)))
-        a *= np.reciprocal(total(a))
+        by = np.reciprocal(total(a)).reshape(-1, 1)
         o = (a @ adds).reshape(-1, DIM)
+        o *= by
         h = x + o
         r = h @ a_w
-        np.maximum(r, 0, out=r)
+        on = (r > 0).astype(kind)
+        r *= on
         g = r @ b_w
         g += h
         d = g @ u_w
-        at = np.arange(len(d)) * CLASSES + target[k : k + LOT].ravel()
+        at = np.arange(0, len(d) * CLASSES, CLASSES) + target[k : k + LOT].ravel()
         said = d.ravel()[at] if tell else None
         d, top = odds(d, pair, own.ravel())
         z = total(d)
@@ -164,24 +168,30 @@ def gradients(w: dict, pair: PairModel, ids: np.ndarray, target: np.ndarray, wei
         dg = d @ u_w.T
         out["B"] += r.T @ dg
         dz = dg @ b_w.T
-        dz *= r > 0
+        dz *= on
         out["A"] += h.T @ dz
         dh = dz @ a_w.T
         dh += dg
+        mine = dx[k : k + LOT].reshape(-1, DIM)
+        mine[:] = dh
+        dh *= by
         ds = deep(dh) @ turned(adds)
         # A row's sum of ds times a is what its gradient makes with its own output.
-        ds -= deep(total(dh * o))
+        o *= dh
+        ds -= deep(total(o))
         ds *= a
-        d_in = np.concatenate((ds @ deep(x), turned(a) @ deep(dh)), axis=2).reshape(-1, 2 * DIM)
+        d_in = np.empty_like(both)
+        np.matmul(ds, deep(x), out=deep(d_in)[:, :, :DIM])
+        np.matmul(turned(a), deep(dh), out=deep(d_in)[:, :, DIM:])
         d_both += x.T @ d_in
-        mine = dx[k : k + LOT]
-        np.matmul(turned(ds), query, out=mine)
-        mine += deep(dh)
-        mine += deep(d_in @ both_w.T)
+        mine += (turned(ds) @ query).reshape(-1, DIM)
+        mine += d_in @ both_w.T
     scale, dn, dm = np.float32(DIM**-0.5), d_both[:, :DIM], d_both[:, DIM:]
     out |= {"Q": dn @ w["K"] * scale, "K": dn.T @ w["Q"] * scale, "V": dm @ w["O"].T, "O": w["V"].T @ dm, "P": dx.sum(axis=0)}
-    place = (ids.reshape(-1, 1) * DIM + np.arange(DIM)).ravel()
-    out["E"] = np.bincount(place, dx.ravel(), w["E"].size).reshape(w["E"].shape)
+    out["E"] = np.zeros_like(w["E"])
+    # Two numbers of a row are added at once, as the parts of a complex one.
+    two = np.result_type(kind, np.complex64)
+    np.add.at(out["E"].view(two).ravel(), (ids.reshape(-1, 1) * (DIM // 2) + np.arange(DIM // 2)).ravel(), dx.view(two).ravel())
     return out, loss
 
 
@@ -244,7 +254,7 @@ def target_logs(w: dict, made: tuple, pair: PairModel, ids: np.ndarray, target:
     h += f[:, skip:, :DIM]
     h = h.reshape(-1, DIM)
     r = h @ w["A"]
-    np.maximum(r, 0, out=r)
+    r *= (r > 0).astype(r.dtype)
     h += r @ w["B"]
     y = h @ w["U"]
     own, target = ids[:, skip:].ravel(), target.ravel()
@@ -256,7 +266,7 @@ def target_logs(w: dict, made: tuple, pair: PairModel, ids: np.ndarray, target:
     return said.reshape(len(ids), -1)
 
 
-def score_stream(w: dict, pair: PairModel, ids: np.ndarray, ends: np.ndarray, chunk: int = LOT) -> np.ndarray:
+def score_stream(w: dict, pair: PairModel, ids: np.ndarray, ends: np.ndarray, chunk: int = SCORED) -> np.ndarray:
     """Natural log probability of every id but the first, given those before it in its text; every one scored once.
 
     ids are texts one after another with an end before the first and behind each; ends are the places of the ends.

@@ -11,6 +11,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 FACTOR, A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 S30, S27, S31 = np.uint64(30), np.uint64(27), np.uint64(31)
@@ -167,19 +168,34 @@ class Coded(NamedTuple):
         return len(self.offsets) - 1
 
 
-def coded(texts: pa.Array) -> Iterator[Coded]:
-    """Lower-cased words of a column of texts, some rows at a time; Python meets each distinct word of these rows once."""
-    data = texts.cast(pa.large_string()).cast(pa.large_binary())
-    for w in words_of(data, lower=True, seeds=2, spans=True):
-        one, two = w.hashes
-        _, first, code = np.unique(one, return_index=True, return_inverse=True)
-        if not (two == two[first][code]).all():  # two words that share 64 bits
-            _, first, code = np.unique(np.stack((one, two), axis=1), axis=0, return_index=True, return_inverse=True)
-        row = np.searchsorted(w.offsets, first, "right") - 1
-        at = {r: data[w.first + r].as_py().lower() for r in np.unique(row).tolist()}
-        words = [at[r][a:e] for r, a, e in zip(row.tolist(), w.start[first].tolist(), w.end[first].tolist(), strict=True)]
-        n = len(w.offsets) - 1
-        yield Coded(w.first, np.insert(code.ravel(), w.offsets[1:], len(words)), words, w.offsets + np.arange(n + 1))
+def coded(texts: pa.Array, size: int) -> Iterator[Coded]:
+    """Lower-cased words of a column of texts, rows of size bytes at a time; Python meets each distinct word of these rows once.
+
+    Arrow parts texts by the same blanks as BLANK and folds A-Z alone; blanks at the ends of a text make empty words there,
+    which are left out.
+    """
+    own = pa.concat_arrays([texts.cast(pa.large_string()).fill_null("")])
+    edges = np.frombuffer(own.buffers()[1], np.int64, len(own) + 1, own.offset * 8)
+    row = 0
+    while row < len(own):
+        to = max(row + 1, int(np.searchsorted(edges, edges[row] + size, "right")) - 1)
+        parts = pc.ascii_split_whitespace(pc.ascii_lower(own.slice(row, to - row)))
+        found = parts.flatten().dictionary_encode()
+        code, kept = found.indices.to_numpy(), np.diff(parts.offsets.to_numpy())
+        each = found.dictionary
+        at = np.frombuffer(each.buffers()[1], np.int64, len(each) + 1, each.offset * 8).tolist()
+        data = each.buffers()[2].to_pybytes() if at[-1] else b""
+        words = [data[a:e] for a, e in zip(at, at[1:], strict=False)]
+        if b"" in words:
+            none = words.index(b"")
+            live = code != none
+            kept = np.diff(np.concatenate(([0], np.cumsum(live)))[np.concatenate(([0], np.cumsum(kept)))])
+            code = code[live]
+            code = code - (code > none)
+            del words[none]
+        ends = np.cumsum(kept)
+        yield Coded(row, np.insert(code.astype(np.int64), ends, len(words)), words, np.concatenate(([0], ends)) + np.arange(len(kept) + 1))
+        row = to
 
 
 def run_hashes(h: np.ndarray, size: int) -> np.ndarray:

@@ -13,7 +13,6 @@ import math
 import pickle
 import uuid
 import zlib
-from collections import Counter
 from functools import cache
 from typing import NamedTuple
 
@@ -33,6 +32,8 @@ SUBWORDS, HEAD = 2048, 262_144
 WINDOWS, BATCH, STEPS = 120_000, 128, 1000
 #: Distinct words that a worker gathers before it hands them on, and pairs of ids that are counted at once.
 FLUSH, PAIRS = 200_000, 1_000_000
+#: Bytes of texts whose words are coded together, where words are counted and where texts are scored, which takes more memory.
+COUNTED, SCORED = 1 << 21, 1 << 20
 #: Weight of a word's own share in the score, next to the attention model's; the log of words without a count at hand.
 SHARE, UNSEEN = 0.5, -1e9
 
@@ -48,12 +49,13 @@ class Subwords:
         ranks = {k: v for k, v in ranks.items() if v < size}
         # A word has no blank inside, so texts of words are parted into the words again, each with the blank before it.
         self.own = tiktoken.Encoding("prefix", pat_str=r"\x20[^\x20]*", mergeable_ranks=ranks, special_tokens={})
-        self.sizes = np.zeros(size, np.int64)
-        self.sizes[list(ranks.values())] = [len(k) for k in ranks]
+        # Ids that open a word.
+        self.opens = np.zeros(size, bool)
+        self.opens[[v for k, v in ranks.items() if k.startswith(b" ")]] = True
         self.words: dict[bytes, bytes] = BoundedCache(lambda w: self.fresh([w])[0], cap=250_000)
 
     def fresh(self, words: list[bytes]) -> list[bytes]:
-        """Ids of some words, encoded together and parted by their numbers of bytes."""
+        """Ids of some words, encoded together and parted where an id begins with a blank, as there is none inside a word."""
         text = b"".join([b" " + w for w in words])
         try:
             text = text.decode()
@@ -61,18 +63,22 @@ class Subwords:
             words = [w.decode("utf-8", "replace").encode() for w in words]
             text = b"".join([b" " + w for w in words]).decode()
         found = np.array(self.own.encode_ordinary(text), "<u2")
-        ends = np.cumsum([len(w) + 1 for w in words])
-        cut = 2 * (np.searchsorted(np.cumsum(self.sizes[found]), ends) + 1)
-        data, at = found.tobytes(), [0, *cut.tolist()]
-        return [data[a:e] for a, e in zip(at, at[1:], strict=False)]
+        at = (2 * np.flatnonzero(self.opens[found])).tolist()
+        data = found.tobytes()
+        return [data[a:e] for a, e in zip(at, [*at[1:], len(data)], strict=True)]
 
     def many(self, words: list[bytes]) -> list[bytes]:
         """Ids of each of some distinct words: those at hand looked up, the others met together."""
         out = list(map(self.words.get, words))
         lacking = [k for k, x in enumerate(out) if x is None]
-        for k, x in zip(lacking, self.fresh([words[k] for k in lacking]) if lacking else [], strict=True):
-            out[k] = x
-            self.words.keep(words[k], x)
+        if lacking:
+            new = [words[k] for k in lacking]
+            room = self.words.cap - len(self.words)
+            for k, w, x in zip(lacking, new, self.fresh(new), strict=True):
+                out[k] = x
+                if room > 0 and len(w) <= self.words.max_key:
+                    self.words[w] = x
+                    room -= 1
         return out
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
@@ -107,10 +113,12 @@ def stream_of(c: Coded, ids: list[bytes], end: int) -> Stream:
     """ids: those of each distinct word, little-endian unsigned 16-bit."""
     flat = np.frombuffer(b"".join([*ids, np.array([end], "<u2").tobytes()]), "<u2").astype(np.int64)
     size = np.array([len(x) >> 1 for x in ids] + [1])
-    begin = np.cumsum(size) - size
     sizes = size[c.code]
-    at = np.repeat(begin[c.code], sizes) + places(sizes)
-    ends = np.cumsum(sizes)[c.offsets[1:] - 1]
+    behind = np.cumsum(sizes)
+    # What leads from a place in the stream to that in flat, for each word.
+    at = np.repeat((np.cumsum(size) - size)[c.code] - behind + sizes, sizes)
+    at += np.arange(len(at))
+    ends = behind[c.offsets[1:] - 1]
     return Stream(np.concatenate(([end], flat[at])), np.concatenate(([0], ends)), sizes)
 
 
@@ -129,8 +137,8 @@ def gathered(train: DataFrame, path: str, size: int, text_col: str) -> DataFrame
 
     def run(batches):
         encode, end = subwords(path, size), size
-        words, pairs = Counter(), np.zeros(ids * ids, np.int64)
-        codes, held = [], 0
+        words, pairs = {}, np.zeros(ids * ids, np.int64)
+        codes, held, met = [], 0, words.get
 
         def counts():
             yield pa.RecordBatch.from_arrays([pa.array([0] * len(words), pa.int8()), pa.array(list(words), pa.binary()), pa.nulls(len(words), pa.int64()), pa.array(list(words.values()), pa.int64())], names)
@@ -153,9 +161,9 @@ def gathered(train: DataFrame, path: str, size: int, text_col: str) -> DataFrame
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(long), 2, np.int8)), item, none, none], names)
 
         for b in batches:
-            for c in coded(b.column(0)):
+            for c in coded(b.column(0), COUNTED):
                 for word, n in zip([*c.words, b""], np.bincount(c.code, minlength=len(c.words) + 1).tolist(), strict=True):
-                    words[word] += n
+                    words[word] = met(word, 0) + n
                 s = stream_of(c, encode.many(c.words), end)
                 codes.append(s.ids[:-1] * ids + s.ids[1:])
                 held += len(s.ids)
@@ -276,7 +284,7 @@ def score_documents(docs: DataFrame, ranks_path: str, subword_ids: int = SUBWORD
         row = TaskContext.get().partitionId() << 40
         kinds = {"n_tokens": pa.int64(), "seen": pa.int64(), "base": pa.float64(), "score": pa.float64(), "attention_score": pa.float64(), "rest": pa.list_(pa.struct([("item", pa.binary()), ("logs", pa.list_(pa.float64()))]))}
         for b in batches:
-            for c in coded(b.column(2)):
+            for c in coded(b.column(2), SCORED):
                 got = score(c)
                 columns = [pa.array(range(row, row + c.rows), pa.int64()), *(b.column(k).slice(c.first, c.rows) for k in (0, 1)), *(got[k] if isinstance(got[k], pa.Array) else pa.array(got[k], t) for k, t in kinds.items())]
                 yield pa.RecordBatch.from_arrays(columns, ["row", "id", "held_out", *kinds])

@@ -4,8 +4,10 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 
 from folioscan.llm import attention
+from folioscan.llm.hashing import coded
 from folioscan.llm.scoring import BATCH, Subwords, gathered, score_documents, steps_for
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
@@ -167,6 +169,21 @@ def test_words_are_encoded_together_as_each_alone():
     assert own.many([]) == []
 
 
+def test_words_of_several_chunks_of_texts_are_coded_together():
+    """Distinct words are looked up once in some megabytes of texts; what is coded is what bytes.split() finds."""
+    rng = np.random.default_rng(5)
+    signs = ["", " ", "\t\n", "\x0b", "\x0c\r", "\x1c", "\u0085", "\u00a0", "A", "É", "漢", "\x00", "zz", " b "]
+    texts = ["".join(rng.choice(signs, n)) for n in range(60)] + [None, "", " ", "The cat " * 200_000]
+    for own in (pa.array(texts, pa.string()), pa.array([*texts, "x"], pa.large_string()).slice(5, 50), pa.array([" "]), pa.array([None], pa.string())):
+        (c,) = coded(own, 1 << 22)
+        assert len(set(c.words)) == len(c.words) and b"" not in c.words
+        said = [*c.words, None]
+        assert [[said[k] for k in c.code[a:e]] for a, e in zip(c.offsets, c.offsets[1:], strict=False)] == [[*words_of(t), None] for t in own.to_pylist()]
+    assert list(coded(pa.array([], pa.string()), 1 << 22)) == []
+    parts = list(coded(pa.array(["ab " * 500_000] * 7), 1 << 22))
+    assert [(c.first, c.rows, len(c.code)) for c in parts] == [(0, 2, 1_000_002), (2, 2, 1_000_002), (4, 2, 1_000_002), (6, 1, 500_001)]
+
+
 def test_extreme_logits_stay_exact():
     """Where exp would leave the range of floats, rows are set against their largest; elsewhere both ways agree."""
     w, pair, rng = model()
